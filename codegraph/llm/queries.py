@@ -1,9 +1,9 @@
 """Registry of the corpus queries."""
 
-from . import mixing, warc
+from . import langid, mixing, quality, warc
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _module in (mixing, warc):
+for _module in (langid, quality, warc, mixing):
     QUERIES |= _module.QUERIES
     ORACLE |= getattr(_module, "ORACLE", {})
