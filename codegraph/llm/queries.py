@@ -1,9 +1,9 @@
 """Registry of the corpus queries."""
 
-from . import langid, mixing, quality, warc
+from . import langid, mixing, neardup, quality, warc
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _module in (langid, quality, warc, mixing):
+for _module in (langid, quality, neardup, warc, mixing):
     QUERIES |= _module.QUERIES
     ORACLE |= getattr(_module, "ORACLE", {})
