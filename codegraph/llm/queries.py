@@ -1,9 +1,9 @@
 """Registry of the corpus queries."""
 
-from . import langid, mixing, neardup, quality, substring, suffixdedup, warc
+from . import langid, media, mixing, neardup, quality, substring, suffixdedup, warc
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _module in (langid, quality, neardup, substring, warc, suffixdedup, mixing):
+for _module in (langid, media, quality, neardup, substring, warc, suffixdedup, mixing):
     QUERIES |= _module.QUERIES
     ORACLE |= getattr(_module, "ORACLE", {})
