@@ -28,18 +28,24 @@ WORDS, RADIUS = 5, 16
 BROADCAST = 1_000_000
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """body with name bound to value, which is evaluated once (a column alias may be inlined into each use)."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def tokens(text: str) -> Column:
     return F.expr(f"transform(filter(split(lower(coalesce({text}, '')), '[^\\\\p{{L}}\\\\p{{N}}]+'), x -> x <> ''), x -> xxhash64(x))")
 
 
 def shingles(words: str, size: str) -> Column:
     """Hashes of the runs of `size` words (1 to 5) in the array of hashed words."""
-    run = ", ".join(f"case when {size} > {k} then {words}[i + {k}] end" for k in range(WORDS))
-    return F.expr(f"case when size({words}) >= {size} then transform(sequence(0, size({words}) - {size}), i -> xxhash64({size}, {run})) else array() end")
+    run = ", ".join(f"case when {size} > {k} then w[i + {k}] end" for k in range(WORDS))
+    return F.expr(_let(words, "w", f"case when size(w) >= {size} then transform(sequence(0, size(w) - {size}), i -> xxhash64({size}, {run})) else array() end"))
 
 
 def simhash(hashes: str) -> Column:
-    return F.expr(f"aggregate(sequence(0, 63), 0L, (out, b) -> out | case when aggregate({hashes}, 0, (n, h) -> n + case when (shiftright(h, b) & 1L) = 1L then 1 else -1 end) > 0 then shiftleft(1L, b) else 0L end)")
+    bit = "case when aggregate(hs, 0, (n, h) -> n + case when (shiftright(h, b) & 1L) = 1L then 1 else -1 end) > 0 then shiftleft(1L, b) else 0L end"
+    return F.expr(_let(hashes, "hs", f"aggregate(sequence(0, 63), 0L, (out, b) -> out | {bit})"))
 
 
 def _blocks(print_: str) -> Column:
@@ -52,24 +58,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: int = 80) -> Data
     """Pairs (doc_id, item_id, window_start, distance, similarity), one per document row and item, at the best window."""
     items = benchmark.select("item_id", tokens("text").alias("words")).where("size(words) > 0")
     items = items.select(F.xxhash64("item_id", "words").alias("item"), "item_id", F.size("words").alias("size"), F.expr(f"least({WORDS}, size(words))").alias("k"), "words")
-    items = items.withColumn("hashes", shingles("words", "k")).drop("words").withColumn("fingerprint", simhash("hashes"))
-    items = materialise(items, "items")
+    items = items.withColumn("hashes", shingles("words", "k")).drop("words")
+    items = materialise(items.withColumn("fingerprint", simhash("hashes")), "items")
     index = items.select("size", "k", F.posexplode("hashes").alias("place", "hash")).distinct()
     facts = items.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0)).alias("n"), F.collect_set("k").alias("ks")).first()
     hint = F.broadcast if facts.n <= BROADCAST else (lambda x: x)
-    words = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", tokens("text").alias("words"))
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
     spots = None
     for k in sorted(facts.ks) or [WORDS]:
-        own = words.select("key", F.size("words").alias("n"), shingles("words", str(k)).alias("hashes")).select("key", "n", F.posexplode("hashes").alias("at", "hash"))
-        own = own.join(hint(index.where(f"k = {k}").select("size", "place", "hash")), "hash")
-        own = own.select("key", "size", F.expr("greatest(0, least(at - place, n - size))").alias("start"), F.lit(k).alias("k"))
+        own = texts.select("key", tokens("text").alias("words")).select("key", shingles("words", str(k)).alias("hashes"))
+        own = own.select("key", F.posexplode("hashes").alias("at", "hash")).join(hint(index.where(f"k = {k}").select("size", "place", "hash")), "hash")
+        own = own.select("key", "size", (F.col("at") - F.col("place")).alias("start"), F.lit(k).alias("k"))
         spots = own if spots is None else spots.unionByName(own)
     spots = spots.groupBy("key").agg(F.collect_set(F.struct("size", "start", "k")).alias("spots"))
     spots = materialise(spots, "spots")
-    window = words.join(spots, "key").select("key", "doc_id", "words", F.explode("spots").alias("s"))
-    window = window.select("key", "doc_id", F.col("s.size").alias("size"), F.col("s.start").alias("start"), F.col("s.k").alias("k"), F.expr("slice(words, s.start + 1, s.size)").alias("part"))
+    window = texts.join(spots, "key").select("key", "doc_id", tokens("text").alias("words"), "spots").select("key", "doc_id", "words", F.explode("spots").alias("s"))
+    window = window.select("key", "doc_id", F.col("s.size").alias("size"), F.expr("greatest(0, least(s.start, size(words) - s.size))").alias("start"), F.col("s.k").alias("k"), "words").distinct()
+    window = window.withColumn("part", F.expr("slice(words, start + 1, size)")).drop("words")
     window = window.withColumn("hashes", shingles("part", "k")).drop("part").withColumn("fingerprint", simhash("hashes")).withColumn("window", F.xxhash64("key", "size", "start", "k"))
-    window = materialise(window, "windows")
+    window = materialise(window.dropDuplicates(["window"]), "windows")
     left = window.select("window", "size", "fingerprint", F.explode(_blocks("fingerprint")).alias("b")).select("window", "size", "fingerprint", "b.*")
     right = items.select("item", "size", F.col("fingerprint").alias("other"), F.explode(_blocks("fingerprint")).alias("b")).select("item", "size", "other", "b.*")
     pairs = left.join(right, ["size", "block", "bits"]).withColumn("distance", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("other"))))
