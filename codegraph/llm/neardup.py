@@ -166,6 +166,7 @@ def near_duplicates(docs: DataFrame, share: int = 85) -> DataFrame:
     reps = materialise(whole.join(classes.select("one", "two", "n", F.col("u").alias("doc_id")), ["one", "two", "n", "doc_id"]).select("doc_id", "n", "regs").dropDuplicates(["doc_id"]), "reps")
     bands = materialise(reps.mapInArrow(_bands, "band long, doc_id long, n long"), "bands")
     hubs = bands.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("most")).where("hub < most").select("band", "hub")
+    hubs = materialise(hubs, "hubs")  # so that the join deals both sides anew and splits a band that many documents hold
     members = materialise(bands.join(hubs, "band"), "members")
     needed = members.select("doc_id").unionByName(members.select(F.col("hub").alias("doc_id"))).distinct()
     sets = materialise(rows.join(needed, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, hashes binary").dropDuplicates(["doc_id"]), "sets")

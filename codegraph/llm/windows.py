@@ -203,7 +203,8 @@ def repeated(rows: DataFrame, rule: Rule, pick: Judge) -> DataFrame:
     part = rows.select("key", "doc", "text").mapInArrow(_scan(rule), "key long, doc long, seed long, context long, start int, count int")
     part = materialise(part, "superwindows")
     seeds = part.groupBy("seed").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("times"))
-    seeds = seeds.where("least < most" if rule.earlier else "times > 1").select("seed", F.col("least").alias("seed_doc"))
+    # Written, so that the join deals both sides anew and splits a seed that many rows hold.
+    seeds = materialise(seeds.where("least < most" if rule.earlier else "times > 1").select("seed", F.col("least").alias("seed_doc")), "seeds")
     shared = materialise(part.join(seeds, "seed"), "shared")
     classes = shared.groupBy("context", "seed", "seed_doc").agg(
         F.min("doc").alias("context_doc"), F.count("*").alias("times"), F.min(F.struct("doc", "key", "start", "count")).alias("rep"),
