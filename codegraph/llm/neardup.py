@@ -8,7 +8,9 @@ collision-corrected Jaccard estimate of its registers and then confirmed on the
 
 No pairs within groups: each member of a band's bucket is first compared with the bucket's
 least member, and the confirmed links are joined to components. What is left, members of one
-bucket in different components, is compared pair by pair, so no link is lost to the shortcut.
+bucket in different components, is compared pair by pair, so no link is lost to the shortcut;
+pairs whose shingles without a match in any document left already rule the similarity out are
+skipped.
 A pair at similarity s shares no band with chance (1 - s^4)^32: 6e-11 at 0.85, 5e-8 at 0.8.
 The estimate's slack is six standard deviations.
 
@@ -110,6 +112,13 @@ def _sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([x.tobytes() for x in shingle_sets(data, offs)], pa.binary())], names=["doc_id", "hashes"])
 
 
+def _explode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in rows:
+        sets = column(batch, "hashes").to_pylist()
+        own = np.repeat(np.arange(len(sets)), [len(x) // 8 for x in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(sets), np.int64)), column(batch, "doc_id").take(pa.array(own))], names=["hash", "doc_id"])
+
+
 def _near(share: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -177,9 +186,17 @@ def near_duplicates(docs: DataFrame, share: int = 85) -> DataFrame:
     placed = members.join(root, "doc_id", "left").select("band", "doc_id", "n", "hub", F.coalesce("root", "doc_id").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
     left = materialise(placed.join(mixed, "band"), "left")
-    other = left.select("band", F.col("doc_id").alias("v"), F.col("n").alias("m"), F.col("root").alias("other"))
-    more = left.join(other, "band").where(f"root <> other and doc_id < v and hub <> doc_id and hub <> v and 100 * least(n, m) >= {share} * greatest(n, m)")
-    more = _links(more.select(F.col("doc_id").alias("u"), "v").distinct(), reps, sets, share)
+    # A shingle that no other document left has is in no intersection: it bounds each similarity from above.
+    ids = left.select("doc_id").distinct()
+    single = sets.join(ids, "doc_id").mapInArrow(_explode, "hash long, doc_id long").groupBy("hash").agg(F.count("*").alias("times"), F.min("doc_id").alias("doc_id")).where("times = 1")
+    single = single.groupBy("doc_id").agg(F.count("*").alias("alone"))
+    keys = left.groupBy("doc_id", "n").agg(F.collect_list("band").alias("bands")).join(single, "doc_id", "left").withColumn("most", F.expr("n - coalesce(alone, 0)")).where(f"100 * most >= {share} * n")
+    left = materialise(left.join(keys.select("doc_id", "bands", "most"), "doc_id"), "feasible")
+    other = left.select("band", F.col("doc_id").alias("v"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("most").alias("least"), F.col("bands").alias("theirs"))
+    # Each pair comes up once, in the least of the buckets that it shares.
+    fits = f"root <> other and doc_id < v and hub <> doc_id and 100 * least(most, least) >= {share} * (n + m - least(most, least))"
+    more = left.join(other, "band").where(f"{fits} and band = array_min(array_intersect(bands, theirs))")
+    more = _links(more.select(F.col("doc_id").alias("u"), "v"), reps, sets, share)
     root = components(links.unionByName(more).unionByName(copies)).toDF("doc_id", "root")
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(root, "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("root", "doc_id"))
