@@ -24,7 +24,7 @@ from .common import table
 from .textops import _LOWER, _SPACE, batches, column, prefix, range_hash, word_spans
 
 #: Hash bits of a feature; labelled rows the fit may use, the least by hash of doc_id; passes of the fit.
-BITS, SAMPLE, EPOCHS = 20, 20_000, 12
+BITS, SAMPLE, EPOCHS = 20, 12_000, 12
 #: First step size; what a share counts against a word; rows of the sample that must set a slot.
 RATE, SHARE, LEAST = 0.7, 8.0, 20
 #: Bytes of the word beginnings that count as features besides the word.
@@ -86,15 +86,16 @@ def score(w: np.ndarray, slots: np.ndarray) -> float:
 def fit(indptr: np.ndarray, slots: np.ndarray, rating: np.ndarray, grades: int, epochs: int = EPOCHS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) by mini-batch gradient steps; ratings weigh inversely to their share, within limits."""
     n = len(rating)
-    # A slot that few rows set can't carry over to other texts.
-    common = np.bincount(slots, minlength=WIDTH) >= max(1, min(LEAST, n // 100))
-    row = np.repeat(np.arange(n), np.diff(indptr))[common[slots]]
-    slots = slots[common[slots]]
-    indptr = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))])
+    # A slot that few rows set can't carry over to other texts. In parts, for the driver's memory.
+    times = np.zeros(WIDTH, np.int32)
+    for low in range(0, len(slots), 1 << 20):
+        times += np.bincount(slots[low : low + (1 << 20)], minlength=WIDTH).astype(np.int32)
+    keep = (times >= max(1, min(LEAST, n // 100)))[slots]
+    indptr = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])[indptr]
+    slots = slots[keep]
     w, t = np.zeros(WIDTH), np.linspace(-2, 0, grades - 1)
     rng = np.random.default_rng(seed)
     weight = np.clip(1 / np.maximum(np.bincount(rating, minlength=grades) / max(n, 1), 1e-3) / grades, 0.4, 1.5)[rating]
-    value = np.where(slots >= 1 << BITS, SHARE, 1.0)
     for epoch in range(epochs):
         rate, order = RATE / (1 + epoch / 4), rng.permutation(n)
         for low in range(0, n, 64):
@@ -102,11 +103,13 @@ def fit(indptr: np.ndarray, slots: np.ndarray, rating: np.ndarray, grades: int,
             sizes = indptr[own + 1] - indptr[own]
             at = np.repeat(indptr[own] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
             row = np.repeat(np.arange(len(own)), sizes)
-            s = np.bincount(row, w[slots[at]] * value[at], len(own))
+            slot = slots[at]
+            value = np.where(slot >= 1 << BITS, SHARE, 1.0)
+            s = np.bincount(row, w[slot] * value, len(own))
             above = 1 / (1 + np.exp(np.clip(t[None, :] - s[:, None], -30, 30)))
             wrong = (above - (rating[own][:, None] > np.arange(grades - 1))) * weight[own][:, None]
-            used, inverse = np.unique(slots[at], return_inverse=True)
-            w[used] -= rate * np.bincount(inverse, wrong.sum(1)[row] * value[at], len(used)) / len(own)
+            used, inverse = np.unique(slot, return_inverse=True)
+            w[used] -= rate * np.bincount(inverse, wrong.sum(1)[row] * value, len(used)) / len(own)
             t = np.sort(t + 0.1 * rate * wrong.mean(0))
     return w.astype(np.float32), t
 
@@ -128,11 +131,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     slots = slots if isinstance(slots, pa.ListArray) else slots.chunk(0)
     indptr = slots.offsets.to_numpy().astype(np.int64)
     rating = rows.column("rating").to_numpy().astype(np.int64)
-    flat = slots.flatten().to_numpy().astype(np.int64)
+    flat = slots.flatten().to_numpy()
     indptr = indptr - indptr[0]
     # An order that does not depend on how Spark dealt the rows.
-    total = np.concatenate([[0], np.cumsum(flat)])
+    total = np.concatenate([[0], np.cumsum(flat, dtype=np.int64)])
     order = np.lexsort((rating, total[indptr[1:]] - total[indptr[:-1]], np.diff(indptr)))
+    del total
     sizes = np.diff(indptr)[order]
     at = np.repeat(indptr[:-1][order] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
     return fit(np.concatenate([[0], np.cumsum(sizes)]), flat[at], rating[order], 3)
