@@ -71,6 +71,10 @@ def pivot(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> tuple[np
     return p, held
 
 
+def _rounder(seed: int, level: int):
+    return lambda pdf: _round(pdf, seed, level)
+
+
 def _round(pdf: pd.DataFrame, seed: int, level: int) -> pd.DataFrame:
     out = []
     for rank, rows in pdf.sort_values(["rank", "doc_id", "size", "key"], kind="stable").groupby("rank", sort=True):
@@ -108,7 +112,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
         F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(buckets)).alias("bucket"),
     )
     level, parts = 0, []
-    rows = rows.groupBy("bucket").applyInPandas(lambda pdf: _round(pdf, seed, 0), _ROW)
+    rows = rows.groupBy("bucket").applyInPandas(_rounder(seed, 0), _ROW)
     while True:
         rows = materialise(rows, "rounded")
         parts.append(rows.where("done"))
@@ -119,7 +123,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
             parts.append(left.withColumn("p", (draw < F.col("p")).cast("double")))
             break
         level, buckets = level + 1, math.ceil(buckets / FAN_IN)
-        rows = left.withColumn("bucket", F.floor(F.col("bucket") / FAN_IN)).groupBy("rank", "bucket").applyInPandas(lambda pdf, level=level: _round(pdf, seed, level), _ROW)
+        rows = left.withColumn("bucket", F.floor(F.col("bucket") / FAN_IN)).groupBy("rank", "bucket").applyInPandas(_rounder(seed, level), _ROW)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
