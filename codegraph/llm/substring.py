@@ -34,36 +34,40 @@ def _every(seed: np.ndarray, doc: np.ndarray, parts: list[bytes], rule: Rule) ->
     return np.ones(len(seed), bool)
 
 
-def _strip(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, data, offs in batches(rows):
-        starts, ends, first = word_spans(data, offs)
-        raw = data.tobytes()
-        total, gone, sha, kept = [], [], [], []
-        for i, spans in enumerate(column(batch, "spans").to_pylist()):
-            a, b = first[i], first[i + 1]
-            n = int(b - a)
-            if spans:
-                out = cover(n, spans)
-                left = b" ".join([raw[starts[a + j] : ends[a + j]] for j in np.flatnonzero(~out)])
-                gone.append(int(out.sum()))
-            else:
-                left = b" ".join(raw[offs[i] : offs[i + 1]].split())
-                gone.append(0)
-            total.append(n)
-            sha.append(hashlib.sha256(left).hexdigest())
-            kept.append(left)
-        yield pa.RecordBatch.from_pydict({"doc_id": column(batch, "doc_id"), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(sha), "kept_text": pa.array([x.decode() for x in kept])})
-
-
-def drop_repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per row of docs(doc_id, text): doc_id, n_words, n_removed, kept_sha256, kept_text."""
+def _strip(texts: bool):
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offs in batches(rows):
+            starts, ends, first = word_spans(data, offs)
+            raw = data.tobytes()
+            total, gone, sha, kept = [], [], [], []
+            for i, spans in enumerate(column(batch, "spans").to_pylist()):
+                a, b = first[i], first[i + 1]
+                n = int(b - a)
+                if spans:
+                    out = cover(n, spans)
+                    left = b" ".join([raw[starts[a + j] : ends[a + j]] for j in np.flatnonzero(~out)])
+                    gone.append(int(out.sum()))
+                else:
+                    left = b" ".join(raw[offs[i] : offs[i + 1]].split())
+                    gone.append(0)
+                total.append(n)
+                sha.append(hashlib.sha256(left).hexdigest())
+                if texts:
+                    kept.append(left.decode())
+            yield pa.RecordBatch.from_pydict({"doc_id": column(batch, "doc_id"), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(sha)} | ({"kept_text": pa.array(kept, pa.string())} if texts else {}))
+
+    return run
+
+
+def drop_repeated_words(docs: DataFrame, window: int = WINDOW, texts: bool = True) -> DataFrame:
+    """Per row of docs(doc_id, text): doc_id, n_words, n_removed, kept_sha256 and, with texts, kept_text."""
     rows = keyed(docs)
     spans = repeated(rows, Rule(window, max(1, window // 5), True, True), _every)
-    return rows.join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return rows.join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(_strip(texts), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_repeated_words(table(spark, sf_dir, "documents")).drop("kept_text")
+    return drop_repeated_words(table(spark, sf_dir, "documents"), texts=False)
 
 
 QUERIES = {"op6_substring_dedup": op6_substring_dedup}

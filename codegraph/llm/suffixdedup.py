@@ -91,29 +91,33 @@ def shared_phrases(seed: np.ndarray, doc: np.ndarray, parts: list[bytes], rule:
     return out
 
 
-def _strip(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, data, offs in batches(rows):
-        total, gone, runs, sha, kept = [], [], [], [], []
-        for i, spans in enumerate(column(batch, "spans").to_pylist()):
-            own = data[offs[i] : offs[i + 1]]
-            out = cover(len(own), spans) if spans else np.zeros(len(own), bool)
-            total.append(len(own))
-            gone.append(int(out.sum()))
-            runs.append(int((out[1:] & ~out[:-1]).sum() + out[:1].sum()))
-            sha.append(hashlib.sha256(own[~out].tobytes() if spans else own.tobytes()).hexdigest())
-            if spans:
-                # A character that loses a part only stays whole in the text.
-                head = np.flatnonzero((own & 0xC0) != 0x80)
-                out = np.repeat(np.logical_and.reduceat(out, head), np.diff(np.append(head, len(own))))
-            kept.append(own[~out].tobytes().decode() if spans else own.tobytes().decode())
-        yield pa.RecordBatch.from_pydict({"key": column(batch, "key"), "doc_id": column(batch, "doc_id"), "n_bytes": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept_sha256": pa.array(sha), "kept_text": pa.array(kept)})
-
-
-def drop_repeated_bytes(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """Per row of docs(doc_id, text): key, doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text."""
+def _strip(texts: bool):
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offs in batches(rows):
+            total, gone, runs, sha, kept = [], [], [], [], []
+            for i, spans in enumerate(column(batch, "spans").to_pylist()):
+                own = data[offs[i] : offs[i + 1]]
+                out = cover(len(own), spans) if spans else np.zeros(len(own), bool)
+                total.append(len(own))
+                gone.append(int(out.sum()))
+                runs.append(int((out[1:] & ~out[:-1]).sum() + out[:1].sum()))
+                sha.append(hashlib.sha256(own[~out].tobytes() if spans else own.tobytes()).hexdigest())
+                if spans and texts:
+                    # A character that loses a part only stays whole in the text.
+                    head = np.flatnonzero((own & 0xC0) != 0x80)
+                    out = np.repeat(np.logical_and.reduceat(out, head), np.diff(np.append(head, len(own))))
+                if texts:
+                    kept.append(own[~out].tobytes().decode() if spans else own.tobytes().decode())
+            yield pa.RecordBatch.from_pydict({"key": column(batch, "key"), "doc_id": column(batch, "doc_id"), "n_bytes": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept_sha256": pa.array(sha)} | ({"kept_text": pa.array(kept, pa.string())} if texts else {}))
+
+    return run
+
+
+def drop_repeated_bytes(docs: DataFrame, window: int = WINDOW, seed: int = SEED, texts: bool = True) -> DataFrame:
+    """Per row of docs(doc_id, text): key, doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with texts, kept_text."""
     rows = keyed(docs)
     spans = repeated(rows, Rule(window, min(seed, window), False, False), shared_phrases)
-    return rows.join(spans, "key", "left").select("key", "doc_id", "text", "spans").mapInArrow(_strip, "key long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    return rows.join(spans, "key", "left").select("key", "doc_id", "text", "spans").mapInArrow(_strip(texts), "key long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts)
 
 
 def strip_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -144,7 +148,7 @@ def strip_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_repeated_bytes(table(spark, sf_dir, "documents")).drop("key", "kept_text")
+    return drop_repeated_bytes(table(spark, sf_dir, "documents"), texts=False).drop("key")
 
 
 QUERIES = {"op9_suffix_dedup": op9_suffix_dedup}

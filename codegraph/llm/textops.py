@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer text is handled alone and whole.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _U = np.uint64
 _rng = np.random.default_rng(20240501)
 _CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
