@@ -1,4 +1,222 @@
-"""Registry of the queries over the derived graph, each with its DuckDB SQL."""
+"""Registry of the queries over the derived graph and texts, each with its DuckDB SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import columns as C
+from .operators import graph, text
+from .sources.derived import edges, nodes, read
 
 QUERIES: dict = {}
 ORACLE: dict = {}
+WORDS = ["the", "disgusting", "All rights reserved", "Lorem", "über"]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Shared SQL of the oracle, an independent statement of the derived graph.
+PLACE = "place as (select n_nationkey nk, r_name || '.' || n_name fqn, lower(n_name) repo, n_name, n_regionkey from nation join region on n_regionkey = r_regionkey)"
+CALLS = "calls as (select distinct 'o' || k src, 'o' || nx dst from (select l_orderkey k, lead(l_orderkey) over (partition by l_partkey order by l_orderkey) nx from (select distinct l_orderkey, l_partkey from lineitem)) where nx is not null)"
+UNIT = "unit as (select 'o' || o_orderkey id, c_nationkey community, o_orderstatus <> 'P' prod from orders join customer on o_custkey = c_custkey)"
+INSTANTIATES = "inst as (select distinct 'o' || l_orderkey src, 's' || l_suppkey dst from lineitem)"
+DEPENDS = "dep as (select distinct 'n' || c_nationkey src, 'n' || s_nationkey dst from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey where c_nationkey <> s_nationkey)"
+BLAST = f"""with recursive {CALLS}, {UNIT}, {INSTANTIATES}, {DEPENDS},
+e as (select 'CALLS' t, src, dst from calls union all select 'INSTANTIATES', src, dst from inst union all select 'DEPENDS_ON', src, dst from dep),
+seed as (select 'o' || o_orderkey id from orders where o_orderkey % 1500 = 1499 union all select 's' || s_suppkey from supplier where s_suppkey % 50 = 3),
+walk(seed, node, hop, t) as (select id, src, 1, t from seed join e on dst = id where src <> id union select w.seed, e.src, hop + 1, w.t from walk w join e on e.dst = w.node where hop < 3 and e.src <> w.seed),
+best as (select seed, node, min(hop) hop from walk group by all),
+hit as (select w.seed, w.node affected, w.hop, min(w.t) edge_type from walk w join best b on w.seed = b.seed and w.node = b.node and w.hop = b.hop group by all),
+r as (select h.seed, affected, cast(hop as bigint) hop, cast(community as bigint) community_id, edge_type from hit h join unit u on u.id = affected where prod)
+"""
+
+
+def _units(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read(spark, sf, "orders").join(read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return rows.select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("id"), F.col("c_nationkey").cast("long").alias("community_id"), (F.col("o_orderstatus") != "P").alias("prod"))
+
+
+@query(f"with {PLACE}, u as (select 'Project' label, r_name fqn, 'all' repo from region union all select 'Module', fqn, repo from place union all select 'Component', fqn || '.' || c_name, repo from customer join place on c_nationkey = nk union all select 'Component', fqn || '.' || s_name, repo from supplier join place on s_nationkey = nk union all select 'LogicUnit', fqn || '.' || c_name || '.order_' || o_orderkey, repo from orders join customer on o_custkey = c_custkey join place on c_nationkey = nk union all select 'DatabaseTable', p_name || '_' || p_partkey, 'all' from part union all select distinct 'Configuration', p_brand, 'all' from part union all select distinct 'AnnotationType', c_mktsegment, 'all' from customer) select label, fqn, left(sha256(repo || '::' || fqn), 16) geid from u")
+def geid_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return nodes(spark, sf).select("label", "fqn", "geid")
+
+
+@query("select 'Project' label, count(*) n from region union all select 'Module', count(*) from nation union all select 'Component', (select count(*) from customer) + (select count(*) from supplier) union all select 'LogicUnit', count(*) from orders union all select 'DatabaseTable', count(*) from part union all select 'Configuration', count(distinct p_brand) from part union all select 'AnnotationType', count(distinct c_mktsegment) from customer")
+def node_label_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return nodes(spark, sf).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(f"with {CALLS}, {INSTANTIATES}, {DEPENDS} select 'CALLS' edge_type, count(*) n from calls union all select 'INSTANTIATES', count(*) from inst union all select 'DEPENDS_ON', count(*) from dep union all select 'CONTAINS', count(*) from nation union all select 'DECLARES', (select count(*) from customer) + (select count(*) from supplier) union all select 'HAS_METHOD', count(*) from orders union all select 'ANNOTATED_WITH', count(*) from customer union all select 'QUERIES_TABLE', count(*) from (select distinct o_custkey, l_partkey from lineitem join orders on l_orderkey = o_orderkey) union all select 'READS_CONFIG', count(*) from (select distinct o_custkey, p_brand from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey)")
+def edge_type_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return edges(spark, sf).groupBy("edge_type").agg(F.count("*").alias("n"))
+
+
+@query(f"with {CALLS} select src, dst from calls")
+def calls_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return edges(spark, sf, "CALLS").select("src", "dst")
+
+
+@query(f"with {DEPENDS} select src, dst from dep")
+def depends_on_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return edges(spark, sf, "DEPENDS_ON").select("src", "dst")
+
+
+@query(BLAST + "select seed, affected, hop, community_id, edge_type from r")
+def blast_radius_d3(spark: SparkSession, sf: str) -> DataFrame:
+    seeds = read(spark, sf, "orders").where("o_orderkey % 1500 = 1499").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("id"))
+    seeds = seeds.unionByName(read(spark, sf, "supplier").where("s_suppkey % 50 = 3").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("id")))
+    hit = graph.blast_radius(edges(spark, sf, "CALLS", "INSTANTIATES", "DEPENDS_ON"), seeds, 3)
+    return hit.join(_units(spark, sf).where("prod"), F.col("affected") == F.col("id")).select("seed", "affected", "hop", "community_id", "edge_type")
+
+
+@query(BLAST + "select seed, edge_type, count(*) n from r group by all")
+def blast_radius_edge_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return blast_radius_d3(spark, sf).groupBy("seed", "edge_type").agg(F.count("*").alias("n"))
+
+
+def _walks(src: str, dst: str) -> str:
+    return f"""with {CALLS}, t as (select 'o' || o_orderkey id from orders where o_orderkey % 500 = 250),
+one as (select id target, {src} node, src || '>' || dst e from t join calls on {dst} = id),
+two as (select target, c.{src} node from one join calls c on c.{dst} = one.node where c.src || '>' || c.dst <> e)
+select target, node, cast(1 as bigint) hop from one union select target, node, cast(2 as bigint) from two"""
+
+
+def _walked(spark: SparkSession, sf: str, incoming: bool) -> DataFrame:
+    at = read(spark, sf, "orders").where("o_orderkey % 500 = 250").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("id"))
+    return graph.walks(edges(spark, sf, "CALLS"), at, 2, incoming)
+
+
+@query(_walks("src", "dst"))
+def callers_d2(spark: SparkSession, sf: str) -> DataFrame:
+    return _walked(spark, sf, True)
+
+
+@query(_walks("dst", "src"))
+def callees_d2(spark: SparkSession, sf: str) -> DataFrame:
+    return _walked(spark, sf, False)
+
+
+@query(f"with {CALLS}, {UNIT}, c as (select a.community community_id, 'CALLS' edge_type, b.community target_community, count(*) cnt from calls join unit a on a.id = src join unit b on b.id = dst where a.community <> b.community group by all), r as (select *, row_number() over (partition by community_id order by cnt desc, edge_type, target_community) rn from c) select cast(community_id as bigint) community_id, edge_type, cast(target_community as bigint) target_community, cnt, rn from r where rn <= 10")
+def boundary_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.boundary(edges(spark, sf, "CALLS"), _units(spark, sf).select("id", "community_id"))
+
+
+@query(f"with {CALLS}, {UNIT}, e as (select a.community a, b.community b from calls join unit a on a.id = src join unit b on b.id = dst), m as (select count(*) m from e), d as (select community, count(*) d from (select a community from e union all select b from e) group by 1), i as (select a community, count(*) l from e where a = b group by 1) select round(sum(coalesce(l, 0) / m - 1.5 * power(d / (2.0 * m), 2)), 6) modularity from d left join i using (community), m")
+def modularity_by_nation(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.modularity(edges(spark, sf, "CALLS"), _units(spark, sf).select("id", "community_id"), 1.5)
+
+
+@query("with recursive e as (select distinct 'c' || o_custkey a, 'p' || l_partkey b from lineitem join orders on l_orderkey = o_orderkey), b as (select a src, b dst from e union select b, a from e), w(entry, node, n) as (select 'c' || c_custkey, 'c' || c_custkey, 1 from customer where c_custkey <= 10 union select entry, dst, n + 1 from w join b on src = node where n < 4) select entry, node sink, cast(min(n) as bigint) path_length from w where node in (select 'p' || p_partkey from part where p_partkey <= 10) and n > 1 group by all")
+def flow_path_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    entry = read(spark, sf, "customer").where("c_custkey <= 10").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("id"))
+    sink = read(spark, sf, "part").where("p_partkey <= 10").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("id"))
+    return graph.path_lengths(edges(spark, sf, "QUERIES_TABLE"), entry, sink, 4)
+
+
+@query("select 'o' || o_orderkey id from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)")
+def orphan_units(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "orders").join(read(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("id"))
+
+
+@query("select doc_id from documents where doc_id not in (select doc_id from labels)")
+def validate_bridge(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id", "left_anti").select("doc_id")
+
+
+LINES = "line as (select doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) line_number, unnest(string_split(text, chr(10))) line from documents where text is not null)"
+GREP = f"with w(symbol) as (values {', '.join(f'({chr(39)}{x}{chr(39)})' for x in WORDS)}), {LINES}, a as (select symbol, doc_id, line_number, line, row_number() over (partition by symbol, doc_id order by line_number) a from line, w where contains(line, symbol)), b as (select *, row_number() over (partition by symbol order by doc_id, line_number) b from a where a <= 3), hit as (select symbol, doc_id, line_number, line from b where b <= 50) "
+
+
+def _hits(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    table = text.lines(read(spark, sf, "documents"))
+    return table, text.grep(table, WORDS, 3, 50)
+
+
+@query(GREP + "select symbol, doc_id, line_number, line from hit")
+def grep_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return _hits(spark, sf)[1]
+
+
+@query(GREP + "select distinct h.doc_id, h.line_number hit_line, l.line_number, l.line from hit h join line l on l.doc_id = h.doc_id and l.line_number between h.line_number - 2 and h.line_number + 2")
+def context_windows(spark: SparkSession, sf: str) -> DataFrame:
+    table, hits = _hits(spark, sf)
+    return text.context(table, hits.select("doc_id", "line_number").distinct(), 2)
+
+
+TOKENS = "len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \\t\\r\\n]'))"
+
+
+def _budget(keep: str) -> str:
+    return f"with t as (select lang, doc_id, {TOKENS} tokens from documents), r as (select *, sum(tokens) over (partition by lang order by doc_id rows unbounded preceding) cum, row_number() over (partition by lang order by doc_id) rn from t) select lang, doc_id, tokens, cast(cum as bigint) cum_tokens from r where cum <= 2400 {keep}"
+
+
+@query(_budget(""))
+def budget_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    return text.budget(read(spark, sf, "documents").select("lang", "doc_id", "text"), "lang", ["doc_id"], C.token_count(F.col("text")), 2400).drop("text")
+
+
+@query(_budget("or rn = 1"))
+def budget_keep_first(spark: SparkSession, sf: str) -> DataFrame:
+    return text.budget(read(spark, sf, "documents").select("lang", "doc_id", "text"), "lang", ["doc_id"], C.token_count(F.col("text")), 2400, True).drop("text")
+
+
+KNN = "with d as (select q.vec_id query_id, v.vec_id, v.label, 1 - list_cosine_similarity(v.embedding::double[], q.embedding::double[]) d from embeddings v, embeddings q where q.vec_id < 10), r as (select *, row_number() over (partition by query_id order by d, vec_id) rank from d) "
+
+
+@query(KNN + "select query_id, vec_id, rank, round(d, 6) distance from r where rank <= 10")
+def knn_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    v = read(spark, sf, "embeddings")
+    return text.nearest(v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), v, 10)
+
+
+@query(KNN + "select query_id, vec_id, cast(greatest(0, round_even((1 - round(d, 6) / 2) * 100, 0)) as bigint) score from r where rank <= 20")
+def question_scores(spark: SparkSession, sf: str) -> DataFrame:
+    v = read(spark, sf, "embeddings")
+    near = text.nearest(v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), v, 20)
+    return near.select("query_id", "vec_id", C.distance_score(F.col("distance")).alias("score"))
+
+
+INTENT = "case " + " ".join(f"when regexp_matches(lower(text), '{w}') then '{n}'" for n, w in C.INTENTS) + " else 'general' end"
+
+
+@query(f"select conv_id, turn, {INTENT} intent from conversations where role = 'user'")
+def detect_intent(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", C.intent(F.col("text")).alias("intent"))
+
+
+@query(f"with s as (select conv_id, turn, lower(text) l, len(list_distinct(list_concat(regexp_extract_all(text, '\\b([A-Z][A-Z0-9_]{{2,}})\\b', 1), regexp_extract_all(text, '[\"'']([A-Za-z_][A-Za-z0-9_]{{2,}})[\"'']', 1)))) n from conversations where role = 'user') select conv_id, turn, cast(n as bigint) n_symbols, regexp_matches(l, '{C.GLOBAL_WORDS}')::int::bigint is_global from s")
+def question_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    q = read(spark, sf, "conversations").where("role = 'user'")
+    return q.select("conv_id", "turn", F.size(C.symbols(F.col("text"))).cast("long").alias("n_symbols"), F.lower("text").rlike(C.GLOBAL_WORDS).cast("long").alias("is_global"))
+
+
+@query()
+def classify_questions(spark: SparkSession, sf: str) -> DataFrame:
+    bucket, sure = C.route(F.col("text"))
+    q = read(spark, sf, "conversations").where("role = 'user'")
+    return q.select("conv_id", "turn", bucket.alias("bucket"), sure.alias("confidence"), F.array_join(C.entities(F.col("text")), ",").alias("entities"))
+
+
+@query("with p as (select page_id, regexp_replace(regexp_replace(regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*', ''), '[?#].*$', ''), '/+$', '') p from pages) select page_id, case when p = '' then '/' else p end path from p")
+def url_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "pages").select("page_id", C.url_path(F.col("url")).alias("path"))
+
+
+@query("select user_id, arg_max(event_id, (ts, event_id)) event_id, arg_max(event_type, (ts, event_id)) event_type, arg_max(value, (ts, event_id)) as value from events group by 1")
+def upsert_last_wins(spark: SparkSession, sf: str) -> DataFrame:
+    return text.last_wins(read(spark, sf, "events").select("user_id", "ts", "event_id", "event_type", "value"), ["user_id"], ["ts", "event_id"]).drop("ts")
+
+
+@query("select c_custkey, case when o_custkey is null then c_mktsegment else 'seen' end c_mktsegment, c_nationkey from customer left join (select distinct o_custkey from orders where o_orderkey % 7 = 0) on c_custkey = o_custkey")
+def merge_keep_community(spark: SparkSession, sf: str) -> DataFrame:
+    new = read(spark, sf, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("c_custkey"), F.lit("seen").alias("c_mktsegment")).distinct()
+    return text.upsert(read(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_nationkey"), new, ["c_custkey"])
