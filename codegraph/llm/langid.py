@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import prepare, table
 from .textops import batches, column
 
 #: Components of a vector.
@@ -124,6 +124,7 @@ def _learn(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages, in order, and their prototypes (unit rows) from docs(text, lang). The driver gets one vector per language."""
+    prepare(docs.sparkSession)
     parts = docs.where("lang is not null").select("text", "lang").mapInArrow(_learn, "lang string, bundle array<double>")
     summed = parts.select("lang", F.posexplode("bundle")).groupBy("lang", "pos").agg(F.sum("col").alias("x"))
     bundled = summed.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("bundle"))
@@ -136,6 +137,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray) -> DataFrame:
     """Rows of docs(doc_id, text, ...) with lang_pred and score in place of text; other columns stay."""
+    prepare(docs.sparkSession)
     rest = [c for c in docs.columns if c != "text"]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

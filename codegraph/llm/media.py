@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import prepare, table
 from .textops import batches, column
 
 UNIT = 64
@@ -396,6 +396,7 @@ _KIND = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
 
 def media_columns(docs: DataFrame, files: bool = True) -> DataFrame:
     """docs(doc_id, text) as media rows; with files also the file, and its tensor as height, width and rgb bytes."""
+    prepare(docs.sparkSession)
     names = list(_NAMES) if files else list(_NAMES)[:8]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

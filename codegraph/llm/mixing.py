@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, table
+from .common import WORD, materialise, prepare, table
 
 #: Documents per bucket, and residuals per node of the reduction tree.
 BUCKET, FAN_IN = 4096, 64
@@ -93,6 +93,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     key is a hash of doc_id, source and text, for joining texts back. The driver holds one
     row per source (name and size), nothing per document.
     """
+    prepare(docs.sparkSession)
     sized = docs.select(
         F.xxhash64("doc_id", "source", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialise, table
+from .common import components, materialise, prepare, table
 from .textops import batches, column, longs, mix, prefix, range_hash, word_hashes
 
 WORDS, BUCKETS, ROWS, MANTISSA = 5, 128, 4, 10
@@ -166,6 +166,7 @@ def near_duplicates(docs: DataFrame, share: int = 85) -> DataFrame:
 
     Documents are linked when 100 * intersection >= share * union of their shingle sets.
     """
+    prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialise(rows.mapInArrow(_sign, "doc_id long, n long, one long, two long, regs binary"), "signed")
     whole = signed.where("doc_id is not null and n > 0")

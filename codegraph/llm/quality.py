@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import prepare, table
 from .textops import _LOWER, _SPACE, batches, column, prefix, range_hash, word_spans
 
 #: Hash bits of a feature; labelled rows the fit may use, the least by hash of doc_id; passes of the fit.
 BITS, SAMPLE, EPOCHS = 20, 12_000, 12
+#: Least steps of a fit.
+STEPS = 2000
 #: First step size; what a share counts against a word; rows of the sample that must set a slot.
 RATE, SHARE, LEAST = 0.7, 8.0, 20
 #: Bytes of the word beginnings that count as features besides the word.
@@ -90,14 +92,15 @@ def fit(indptr: np.ndarray, slots: np.ndarray, rating: np.ndarray, grades: int,
     times = np.zeros(WIDTH, np.int32)
     for low in range(0, len(slots), 1 << 20):
         times += np.bincount(slots[low : low + (1 << 20)], minlength=WIDTH).astype(np.int32)
-    keep = (times >= max(1, min(LEAST, n // 100)))[slots]
+    keep = (times >= max(1, min(LEAST, n // 24)))[slots]
     indptr = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])[indptr]
     slots = slots[keep]
     w, t = np.zeros(WIDTH), np.linspace(-2, 0, grades - 1)
     rng = np.random.default_rng(seed)
     weight = np.clip(1 / np.maximum(np.bincount(rating, minlength=grades) / max(n, 1), 1e-3) / grades, 0.4, 1.5)[rating]
+    epochs = max(epochs, STEPS * 64 // max(n, 1))  # a small sample is passed over more often
     for epoch in range(epochs):
-        rate, order = RATE / (1 + epoch / 4), rng.permutation(n)
+        rate, order = RATE / (1 + 3 * epoch / epochs), rng.permutation(n)
         for low in range(0, n, 64):
             own = order[low : low + 64]
             sizes = indptr[own + 1] - indptr[own]
@@ -121,6 +124,7 @@ def _extract(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray] | None:
     """Fit on at most `sample` labelled rows, those with the least hash of doc_id; None without any."""
+    prepare(docs.sparkSession)
     rating = (F.col("quality") + 1 - F.coalesce("toxic", F.lit(0))).cast("int")
     rated = labels.select(F.col("doc_id").alias("doc_id"), rating.alias("rating")).where("rating between 0 and 2")
     rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id", "rating").limit(sample)
@@ -144,6 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
 
 def grade(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
     """docs with expected_grade, p_top (chance of the top rating) and kept after its own columns."""
+    prepare(docs.sparkSession)
     w, t = model or (np.zeros(WIDTH, np.float32), np.zeros(2))
     names = docs.columns
 

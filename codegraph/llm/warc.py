@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, prepare, table
 from .textops import batches, column
 
 #: Bytes of an archive before the next begins; bytes of an HTTP message in one record; bytes of a transfer chunk.
@@ -203,6 +203,7 @@ def _decode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_warc(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
     """Archives of pages(page_id, url, html): rows (data). Of equal payloads of at least revisit_from bytes, all but that with the largest page_id are revisits."""
+    prepare(pages.sparkSession)
     hashed = pages.select("page_id", "url", "html", F.sha2(F.coalesce("html", F.lit("")), 256).alias("sha"))
     last = hashed.where(F.octet_length(F.coalesce("html", F.lit(""))) >= revisit_from).groupBy("sha").agg(F.max("page_id").alias("last"))
     refers = F.when(F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
@@ -211,6 +212,7 @@ def write_warc(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
 
 def read_warc(archives: DataFrame) -> DataFrame:
     """Pages of archives: page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to, complete."""
+    prepare(archives.sparkSession)
     found = archives.mapInArrow(_unpack, _RECORD)
     whole = found.where("copy = 1").select("kind", "page_id", "url", "refers_to", "digest", F.col("block").alias("message"))
     cut = found.where("copy = 0").groupBy("origin").applyInArrow(_join_segments, _ORIGIN).drop("n")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, prepare
 from .textops import batches, byte_values, column, longs, mix, prefix, range_hash, sliding_min, word_hashes
 
 #: Distinct contexts of a seed that one task compares; bytes of contexts compared at once.
@@ -194,6 +194,7 @@ def _single(rule: Rule) -> Callable:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """(key, doc, doc_id, text): key tells rows with another doc_id or text apart; a null doc_id is last in order."""
+    prepare(docs.sparkSession)
     doc_id = F.col("doc_id").cast("long")
     return docs.select(F.xxhash64("doc_id", "text").alias("key"), F.coalesce(doc_id, F.lit(2**63 - 1)).alias("doc"), doc_id.alias("doc_id"), "text")
 
