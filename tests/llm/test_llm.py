@@ -83,6 +83,32 @@ def test_near_duplicates(docs, corpus, empty):
     assert set(neardup.drop_near_duplicates(docs).columns) == set(docs.columns)
 
 
+def test_near_duplicates_in_one_large_group(spark):
+    """Copies of one text at similarities around the threshold: links must not get lost where most pairs fail."""
+    rng, base, rows = np.random.default_rng(3), [f"w{i}" for i in range(120)], []
+    for i in range(240):
+        words = list(base)
+        for at in rng.choice(120, rng.integers(0, 5), replace=False):
+            words[at] = f"x{rng.integers(0, 40)}"
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    root = list(range(240))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(240):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert got == {i: find(i) for i in range(240)}
+    assert 1 < len(set(got.values())) < 240
+
+
 def test_hyperminhash_estimate():
     rng = np.random.default_rng(0)
     base = np.unique(rng.integers(0, 2**63, 3000, dtype=np.uint64) * np.uint64(2))
