@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .operators import graph, text
+from .operators import extract, graph, links, text
 from .sources.derived import edges, nodes, read
 
 QUERIES: dict = {}
@@ -220,3 +220,119 @@ def upsert_last_wins(spark: SparkSession, sf: str) -> DataFrame:
 def merge_keep_community(spark: SparkSession, sf: str) -> DataFrame:
     new = read(spark, sf, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("c_custkey"), F.lit("seen").alias("c_mktsegment")).distinct()
     return text.upsert(read(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_nationkey"), new, ["c_custkey"])
+
+
+ORDERS = f"with {PLACE}, o as (select o_orderkey, c_nationkey, c_custkey, fqn || '.' || c_name cfqn, fqn || '.' || c_name || '.order_' || o_orderkey fqn, o_orderpriority doc, o_orderstatus, c_mktsegment seg from orders join customer on o_custkey = c_custkey join place on c_nationkey = nk) "
+
+
+@query("select c_name as name, key from customer, (select distinct right(s_name, 3) as key from supplier) where ends_with(c_name, key)")
+def suffix_join_edges(spark: SparkSession, sf: str) -> DataFrame:
+    keys = read(spark, sf, "supplier").select(F.right("s_name", F.lit(3)).alias("key"))
+    return links.suffix_join(read(spark, sf, "customer").select(F.col("c_name").alias("name")), keys)
+
+
+@query(ORDERS + "select fqn as name, cfqn || '.' as key from o")
+def prefix_join_edges(spark: SparkSession, sf: str) -> DataFrame:
+    n = nodes(spark, sf)
+    keys = n.where("label = 'Component'").select(F.concat("fqn", F.lit(".")).alias("key"))
+    return links.prefix_join(n.where("label = 'LogicUnit'").select(F.col("fqn").alias("name")), keys)
+
+
+@query(f"with {PLACE}, m as (select c_nationkey id, 'Component' label, fqn || '.' || c_name fqn from customer join place on c_nationkey = nk union all select s_nationkey, 'Component', fqn || '.' || s_name from supplier join place on s_nationkey = nk union all select c_nationkey, 'LogicUnit', fqn || '.' || c_name || '.order_' || o_orderkey from orders join customer on o_custkey = c_custkey join place on c_nationkey = nk) select cast(id as bigint) community_id, label, count(*) n, min(fqn) first_fqn from m group by all")
+def community_members(spark: SparkSession, sf: str) -> DataFrame:
+    return nodes(spark, sf).where("label in ('LogicUnit', 'Component')").groupBy("community_id", "label").agg(F.count("*").alias("n"), F.min("fqn").alias("first_fqn"))
+
+
+@query(ORDERS + "select fqn, doc docstring from o where contains(fqn, 'order_7') or contains(doc, 'order_7') order by fqn limit 20")
+def find_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    found = nodes(spark, sf).where("label = 'LogicUnit' and (contains(fqn, 'order_7') or contains(docstring, 'order_7'))")
+    return found.orderBy("fqn").limit(20).select("fqn", "docstring")
+
+
+@query(ORDERS + ", u as (select *, 10 * row_number() over (partition by c_custkey order by o_orderkey) s from o), h as (select o_orderkey hit_id, c_custkey, s + 5 line from u where o_orderkey % 10 = 0 and o_orderstatus <> 'P'), c as (select hit_id, u.fqn, 9 span from h join u on u.c_custkey = h.c_custkey and u.o_orderstatus <> 'P' and line between s and s + 9 union all select hit_id, u.cfqn, 999 from h join (select distinct c_custkey, cfqn from o) u using (c_custkey) where line between 1 and 1000), r as (select hit_id, fqn, row_number() over (partition by hit_id order by span, fqn) rn from c) select * from r where rn <= 5")
+def grep_to_graph_bridge(spark: SparkSession, sf: str) -> DataFrame:
+    spans = nodes(spark, sf).where("label in ('LogicUnit', 'Component')")
+    key = F.regexp_extract("fqn", "order_(\\d+)$", 1).cast("long")
+    hits = spans.where("label = 'LogicUnit' and contains(file_path, 'src/main/java')").select(key.alias("hit_id"), "file_path", (F.col("start_line") + 5).alias("line")).where("hit_id % 10 = 0")
+    return links.enclosing(hits, spans.select("fqn", "file_path", "start_line", "end_line"))
+
+
+@query(ORDERS + ", t as (select case when seg in ('BUILDING', 'MACHINERY') then 'annotation' when contains(cfqn, '7') then 'name' end rule, doc from o) select rule, count(*) n from t where rule is not null and (contains(doc, 'URGENT') or contains(doc, 'HIGH')) group by 1")
+def tag_entry_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Methods of tagged components, by the first rule that tags the component."""
+    rule = links.first_rule([("annotation", F.col("docstring").isin("BUILDING", "MACHINERY")), ("name", F.col("fqn").contains("7"))])
+    n = nodes(spark, sf)
+    tagged = n.where("label = 'Component' and kind = 'class'").select(F.col("fqn").alias("owner"), rule.alias("rule")).where("rule is not null")
+    units = n.where("label = 'LogicUnit'").where(F.col("docstring").contains("URGENT") | F.col("docstring").contains("HIGH")).select(F.regexp_replace("fqn", "\\.order_\\d+$", "").alias("owner"))
+    return units.join(tagged, "owner").groupBy("rule").agg(F.count("*").alias("n"))
+
+
+DOMAINS = [("law", ["license", "copyright", "rights"]), ("web", ["http", "www", "click"]), ("food", ["water", "bread", "wine"])]
+SCORES = ", ".join(f"{' + '.join(f'contains(lower(text), {chr(39)}{w}{chr(39)})::int' for w in words)} {n}" for n, words in DOMAINS)
+
+
+@query(f"with s as (select doc_id, {SCORES} from documents where text is not null) select doc_id, case when law > 0 and law >= web and law >= food then 'law' when web > 0 and web >= food then 'web' when food > 0 then 'food' else 'Other' end as domain, cast(greatest(law, web, food) as bigint) score from s")
+def domain_scores(spark: SparkSession, sf: str) -> DataFrame:
+    name, score = links.keyword_domain(F.col("text"), DOMAINS, "Other")
+    return read(spark, sf, "documents").where("text is not null").select("doc_id", name.alias("domain"), score.alias("score"))
+
+
+TEMPLATES = ["/{a}", "/{a}/{b}", "/{a}/{b}/{c}"]
+
+
+@query(ORACLE["url_paths"].split(" select page_id, case")[0] + " select page_id, case when regexp_full_match(p, '/[^/]+') then '/{a}' when regexp_full_match(p, '/[^/]+/[^/]+') then '/{a}/{b}' when regexp_full_match(p, '/[^/]+/[^/]+/[^/]+') then '/{a}/{b}/{c}' end as template from p")
+def endpoint_match(spark: SparkSession, sf: str) -> DataFrame:
+    return url_paths(spark, sf).select("page_id", links.first_match(F.col("path"), TEMPLATES).alias("template"))
+
+
+@query("select page_id as file, name from (select page_id, unnest(list_distinct(regexp_extract_all(html, '<(\\w[\\w.-]*)[>\\s/]', 1))) as name from pages)")
+def xml_elements(spark: SparkSession, sf: str) -> DataFrame:
+    return extract.names(read(spark, sf, "pages").select(F.col("page_id").alias("file"), F.col("html").alias("text")), extract.XML_ELEMENT)
+
+
+FILES = [("a.sql", "create table if not exists app.users (id int);\nCREATE TABLE `Orders` (x int)"), ("b.toml", "a = 1\n[server]\nport = 1\n# c = 2\n[db.main]\nurl = \"x\""), ("c.yaml", "spring:\n  name: x\nserver.port: 1"), ("D.java", "@GetMapping(\"/a/{id}\") @PostMapping('/b')"), ("t", "x.IoException: no\n  at com.acme.A.run(A.java:12)\n  at org.other.B.go(B.java:3)\n  at com.acme.C$D.<init>(C.java:7)")]
+REPLIES = [(1, "```json\n{\"score\": 130}\n```"), (2, "{\"score\": 55, \"reason\": \"x\"}"), (3, "no idea"), (4, "{\"score\": -4}"), (5, "")]
+
+
+def _files(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(FILES, "file string, text string")
+
+
+def _fixed(*rows: tuple) -> str:
+    return "(values " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x}::bigint" for x in r) + ")" for r in rows) + ")"
+
+
+@query(f"select * from {_fixed(('a.sql', 'USERS'), ('a.sql', 'ORDERS'))} t(file, name)")
+def sql_tables(spark: SparkSession, sf: str) -> DataFrame:
+    return extract.names(_files(spark), extract.CREATE_TABLE, True)
+
+
+@query(f"select * from {_fixed(('b.toml', '[server]'), ('b.toml', 'server.port'), ('b.toml', '[db.main]'), ('b.toml', 'db.main.url'))} t(file, key)")
+def toml_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return extract.toml_keys(_files(spark).where("file like '%.toml'"))
+
+
+@query(f"select * from {_fixed(('c.yaml', 'spring'), ('c.yaml', 'server.port'))} t(file, name)")
+def yaml_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return extract.names(_files(spark).where("file like '%.yaml'"), extract.YAML_KEY)
+
+
+@query(f"select * from {_fixed(('D.java', 'GET', '/a/{id}'), ('D.java', 'POST', '/b'))} t(file, verb, path)")
+def endpoints(spark: SparkSession, sf: str) -> DataFrame:
+    return extract.endpoints(_files(spark))
+
+
+@query(f"select * from {_fixed(('t', 'com.acme.A', 'run', 'A.java', 12, 1), ('t', 'com.acme.C$D', '<init>', 'C.java', 7, 2))} t(trace, class_fqn, method, file, line, frame_no)")
+def stack_frames(spark: SparkSession, sf: str) -> DataFrame:
+    return extract.stack_frames(_files(spark).withColumnRenamed("file", "trace"), ["acme"])
+
+
+@query(f"select * from {_fixed((1, 100), (2, 55), (3, 0), (4, 0), (5, 0))} t(reply, score)")
+def map_reply_parse(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame(REPLIES, "reply long, raw string").select("reply", extract.reply_score(F.col("raw")).alias("score"))
+
+
+@query(f"with {CALLS} select src, dst from calls where src not in (select 'o' || o_orderkey from orders where o_orderkey % 7 = 0)")
+def delete_stale_edges(spark: SparkSession, sf: str) -> DataFrame:
+    gone = read(spark, sf, "orders").where("o_orderkey % 7 = 0").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("src"))
+    return edges(spark, sf, "CALLS").join(gone, "src", "left_anti").select("src", "dst")
