@@ -202,6 +202,15 @@ def test_quality(spark, docs, empty):
     assert quality.grade(empty.select("doc_id", "text"), model).count() == 0
 
 
+def test_quality_fits_twenty_thousand_labels(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda indptr, slots, rating, grades: seen.append((len(rating), int(rating.sum()))))
+    table = spark.range(20_500).selectExpr("id doc_id", "concat('w', id % 7) text")
+    quality.train(table, table.selectExpr("doc_id", "1 quality", "0 toxic"))
+    quality.train(table, table.where("doc_id < 15000").selectExpr("doc_id", "1 quality", "0 toxic"))
+    assert seen == [(20_000, 40_000), (15_000, 30_000)]
+
+
 def test_language(spark, docs):
     rng = random.Random(2)
     make = {"aa": ["foo", "bar", "baz", "fab"], "bb": ["xyl", "qwo", "zyx", "wuq"]}
