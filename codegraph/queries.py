@@ -72,8 +72,18 @@ def depends_on_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(BLAST + "select seed, affected, hop, community_id, edge_type from r")
 def blast_radius_d3(spark: SparkSession, sf: str) -> DataFrame:
-    seeds = read(spark, sf, "orders").where("o_orderkey % 1500 = 1499").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("id"))
-    seeds = seeds.unionByName(read(spark, sf, "supplier").where("s_suppkey % 50 = 3").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("id")))
+    return _blast(spark, sf, "o_orderkey % 1500 = 1499", "s_suppkey % 50 = 3")
+
+
+@query()
+def blast_radius_d3_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order and supplier is a seed; no order reaches any other node over these edges."""
+    return _blast(spark, sf)
+
+
+def _blast(spark: SparkSession, sf: str, orders: str = "true", suppliers: str = "true") -> DataFrame:
+    seeds = read(spark, sf, "orders").where(orders).select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("id"))
+    seeds = seeds.unionByName(read(spark, sf, "supplier").where(suppliers).select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("id")))
     hit = graph.blast_radius(edges(spark, sf, "CALLS", "INSTANTIATES", "DEPENDS_ON"), seeds, 3)
     return hit.join(_units(spark, sf).where("prod"), F.col("affected") == F.col("id")).select("seed", "affected", "hop", "community_id", "edge_type")
 
@@ -83,6 +93,11 @@ def blast_radius_edge_counts(spark: SparkSession, sf: str) -> DataFrame:
     return blast_radius_d3(spark, sf).groupBy("seed", "edge_type").agg(F.count("*").alias("n"))
 
 
+@query()
+def blast_radius_edge_counts_all(spark: SparkSession, sf: str) -> DataFrame:
+    return blast_radius_d3_all(spark, sf).groupBy("seed", "edge_type").agg(F.count("*").alias("n"))
+
+
 def _walks(src: str, dst: str) -> str:
     return f"""with {CALLS}, t as (select 'o' || o_orderkey id from orders where o_orderkey % 500 = 250),
 one as (select id target, {src} node, src || '>' || dst e from t join calls on {dst} = id),
@@ -90,8 +105,8 @@ two as (select target, c.{src} node from one join calls c on c.{dst} = one.node
 select target, node, cast(1 as bigint) hop from one union select target, node, cast(2 as bigint) from two"""
 
 
-def _walked(spark: SparkSession, sf: str, incoming: bool) -> DataFrame:
-    at = read(spark, sf, "orders").where("o_orderkey % 500 = 250").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("id"))
+def _walked(spark: SparkSession, sf: str, incoming: bool, targets: str = "o_orderkey % 500 = 250") -> DataFrame:
+    at = read(spark, sf, "orders").where(targets).select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("id"))
     return graph.walks(edges(spark, sf, "CALLS"), at, 2, incoming)
 
 
@@ -105,6 +120,16 @@ def callees_d2(spark: SparkSession, sf: str) -> DataFrame:
     return _walked(spark, sf, False)
 
 
+@query()
+def callers_d2_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _walked(spark, sf, True, "true")
+
+
+@query()
+def callees_d2_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _walked(spark, sf, False, "true")
+
+
 @query(f"with {CALLS}, {UNIT}, c as (select a.community community_id, 'CALLS' edge_type, b.community target_community, count(*) cnt from calls join unit a on a.id = src join unit b on b.id = dst where a.community <> b.community group by all), r as (select *, row_number() over (partition by community_id order by cnt desc, edge_type, target_community) rn from c) select cast(community_id as bigint) community_id, edge_type, cast(target_community as bigint) target_community, cnt, rn from r where rn <= 10")
 def boundary_edges(spark: SparkSession, sf: str) -> DataFrame:
     return graph.boundary(edges(spark, sf, "CALLS"), _units(spark, sf).select("id", "community_id"))
@@ -251,9 +276,18 @@ def find_nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(ORDERS + ", u as (select *, 10 * row_number() over (partition by c_custkey order by o_orderkey) s from o), h as (select o_orderkey hit_id, c_custkey, s + 5 line from u where o_orderkey % 10 = 0 and o_orderstatus <> 'P'), c as (select hit_id, u.fqn, 9 span from h join u on u.c_custkey = h.c_custkey and u.o_orderstatus <> 'P' and line between s and s + 9 union all select hit_id, u.cfqn, 999 from h join (select distinct c_custkey, cfqn from o) u using (c_custkey) where line between 1 and 1000), r as (select hit_id, fqn, row_number() over (partition by hit_id order by span, fqn) rn from c) select * from r where rn <= 5")
 def grep_to_graph_bridge(spark: SparkSession, sf: str) -> DataFrame:
+    return _bridge(spark, sf, "hit_id % 10 = 0")
+
+
+@query()
+def grep_to_graph_bridge_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _bridge(spark, sf, "true")
+
+
+def _bridge(spark: SparkSession, sf: str, wanted: str) -> DataFrame:
     spans = nodes(spark, sf).where("label in ('LogicUnit', 'Component')")
     key = F.regexp_extract("fqn", "order_(\\d+)$", 1).cast("long")
-    hits = spans.where("label = 'LogicUnit' and contains(file_path, 'src/main/java')").select(key.alias("hit_id"), "file_path", (F.col("start_line") + 5).alias("line")).where("hit_id % 10 = 0")
+    hits = spans.where("label = 'LogicUnit' and contains(file_path, 'src/main/java')").select(key.alias("hit_id"), "file_path", (F.col("start_line") + 5).alias("line")).where(wanted)
     return links.enclosing(hits, spans.select("fqn", "file_path", "start_line", "end_line"))
 
 
