@@ -147,6 +147,34 @@ def flow_path_lengths(spark: SparkSession, sf: str) -> DataFrame:
     return graph.path_lengths(edges(spark, sf, "QUERIES_TABLE"), entry, sink, 4)
 
 
+#: The reference's flow relationships that the derived graph has.
+FLOWS = ("CALLS", "DEPENDS_ON", "HAS_METHOD", "DECLARES", "QUERIES_TABLE", "READS_CONFIG")
+
+
+@query()
+def flow_shortest_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """The reference's pairs: at most 200 by fqn, of entry points (as tag_entry_points tags them) and data sinks, over all flow edges, up to 15 nodes.
+
+    Sinks are the components that query a table, and their methods.
+    """
+    nation = read(spark, sf, "nation").join(read(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    owner = read(spark, sf, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    owner = owner.select(F.concat(F.lit("c"), F.col("c_custkey")).alias("id"), F.concat_ws(".", "r_name", "n_name", "c_name").alias("fqn"), "c_custkey", F.col("c_mktsegment").alias("doc"))
+    unit = read(spark, sf, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("unit"), "o_orderkey", "o_custkey", "o_orderpriority")
+
+    def methods(of: DataFrame) -> DataFrame:
+        own = of.join(unit, F.col("c_custkey") == F.col("o_custkey"))
+        return own.select(F.col("unit").alias("id"), F.concat(F.col("fqn"), F.lit(".order_"), F.col("o_orderkey")).alias("fqn"), F.col("o_orderpriority").alias("doc"))
+
+    tagged = owner.where(F.col("doc").isin("BUILDING", "MACHINERY") | F.col("fqn").contains("7"))
+    entry = tagged.select("id", "fqn").unionByName(methods(tagged).where(F.col("doc").contains("URGENT") | F.col("doc").contains("HIGH")).select("id", "fqn"))
+    asks = owner.join(edges(spark, sf, "QUERIES_TABLE"), F.col("id") == F.col("src"), "left_semi")
+    sink = asks.select("id", "fqn").unionByName(methods(asks).select("id", "fqn"))
+    pairs = graph.first_pairs(entry, sink)
+    found = graph.path_lengths(edges(spark, sf, *FLOWS), pairs.select(F.col("entry").alias("id")), pairs.select(F.col("sink").alias("id")), 15)
+    return found.join(pairs, ["entry", "sink"]).select("entry", "sink", "path_length")
+
+
 @query("select 'o' || o_orderkey id from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)")
 def orphan_units(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "orders").join(read(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("id"))

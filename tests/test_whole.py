@@ -86,3 +86,61 @@ def test_bridge_of_all_hits(spark, t):
                 found = [f"{name[owner]}.order_{r['o_orderkey']}"] + [name[owner]] * (10 * i + 15 <= 1000)
                 want += [(r["o_orderkey"], fqn, rn) for rn, fqn in enumerate(found, 1)]
     assert rows(spark, "grep_to_graph_bridge_all") == sorted(want)
+
+
+def test_flow_shortest_paths(spark, t):
+    nation = {r["n_nationkey"]: r for r in t["nation"]}
+    region = {r["r_regionkey"]: r["r_name"] for r in t["region"]}
+    customer, supplier = {r["c_custkey"]: r for r in t["customer"]}, {r["s_suppkey"]: r for r in t["supplier"]}
+    name = {k: f"{region[nation[r['c_nationkey']]['n_regionkey']]}.{nation[r['c_nationkey']]['n_name']}.{r['c_name']}" for k, r in customer.items()}
+    owner, brand = {r["o_orderkey"]: r["o_custkey"] for r in t["orders"]}, {r["p_partkey"]: r["p_brand"] for r in t["part"]}
+    next_to, by, asks = defaultdict(set), defaultdict(set), set()
+
+    def edge(a, b):
+        next_to[a].add(b)
+        next_to[b].add(a)
+
+    for r in t["lineitem"]:
+        c, n, m = owner[r["l_orderkey"]], customer[owner[r["l_orderkey"]]]["c_nationkey"], supplier[r["l_suppkey"]]["s_nationkey"]
+        by[r["l_partkey"]].add(r["l_orderkey"])
+        asks.add(c)
+        edge(f"c{c}", f"p{r['l_partkey']}")
+        edge(f"c{c}", f"b{brand[r['l_partkey']]}")
+        if n != m:
+            edge(f"n{n}", f"n{m}")
+    for x in map(sorted, by.values()):
+        for a, b in zip(x, x[1:]):
+            edge(f"o{a}", f"o{b}")
+    for k, r in customer.items():
+        edge(f"n{r['c_nationkey']}", f"c{k}")
+    for k, r in supplier.items():
+        edge(f"n{r['s_nationkey']}", f"s{k}")
+    for o, c in owner.items():
+        edge(f"c{c}", f"o{o}")
+    tagged = {k for k, r in customer.items() if r["c_mktsegment"] in ("BUILDING", "MACHINERY") or "7" in name[k]}
+    method = [(f"{name[r['o_custkey']]}.order_{r['o_orderkey']}", f"o{r['o_orderkey']}", r) for r in t["orders"]]
+    entries = sorted([(name[k], f"c{k}") for k in tagged] + [(f, i) for f, i, r in method if r["o_custkey"] in tagged and ("URGENT" in r["o_orderpriority"] or "HIGH" in r["o_orderpriority"])])[:200]
+    sinks = sorted([(name[k], f"c{k}") for k in asks] + [(f, i) for f, i, r in method if r["o_custkey"] in asks])
+    pairs = [(a, b) for _, a in entries for _, b in sinks if a != b][:200]
+    want = []
+    for start in {a for a, _ in pairs}:
+        length, front = {start: 1}, [start]
+        while front:
+            ahead = []
+            for x in front:
+                for y in next_to[x] - length.keys():
+                    length[y] = length[x] + 1
+                    ahead.append(y)
+            front = ahead
+        want += [(a, b, length[b]) for a, b in pairs if a == start and length.get(b, 99) <= 15]
+    assert len(want) == 200
+    assert rows(spark, "flow_shortest_paths") == sorted(want)
+
+
+def test_paths_longer_than_four_nodes(spark):
+    from codegraph.operators import graph
+
+    chain = spark.createDataFrame([(f"x{i}", f"x{i + 1}") for i in range(20)], "src string, dst string")
+    ids = spark.createDataFrame([(f"x{i}",) for i in range(21)], "id string")
+    got = graph.path_lengths(chain, ids.where("id = 'x0'"), ids).collect()
+    assert sorted((r.sink, r.path_length) for r in got) == sorted((f"x{i}", i + 1) for i in range(1, 15))
