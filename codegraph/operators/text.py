@@ -39,11 +39,11 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, rank, distance): exact nearest by cosine; queries(query_id, query) are a bounded set, sent to all rows' blocks.
+    """(query_id, vec_id, rank, distance): exact nearest by cosine, for any number of queries(query_id, query).
 
-    Each task keeps the k best of its rows per query before anything is shuffled.
+    Blocks of queries meet blocks of vectors; Spark sends a side whole only below its broadcast threshold. Each task keeps the k best of its rows per query before anything is shuffled.
     """
-    all_ = vectors.select("vec_id", "embedding").join(F.broadcast(queries), F.lit(True)).select("query_id", "vec_id", cosine_distance(F.col("embedding"), F.col("query")).alias("d"))
+    all_ = vectors.select("vec_id", "embedding").crossJoin(queries).select("query_id", "vec_id", cosine_distance(F.col("embedding"), F.col("query")).alias("d"))
     local = W.partitionBy("query_id", "block").orderBy("d", "vec_id")
     best = all_.withColumn("block", F.spark_partition_id()).withColumn("r", F.row_number().over(local)).where(F.col("r") <= k)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("d", "vec_id")).cast("long")

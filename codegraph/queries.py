@@ -238,6 +238,25 @@ def question_scores(spark: SparkSession, sf: str) -> DataFrame:
     return near.select("query_id", "vec_id", C.distance_score(F.col("distance")).alias("score"))
 
 
+#: One vector in a hundred is a query, so that queries grow with the input.
+KNN_EACH = KNN.replace("q.vec_id < 10", "q.vec_id % 100 = 0")
+
+
+def _near_each(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    v = read(spark, sf, "embeddings")
+    return text.nearest(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), v, k)
+
+
+@query(KNN_EACH + "select query_id, vec_id, rank, round(d, 6) distance from r where rank <= 10")
+def knn_cosine_hundredth(spark: SparkSession, sf: str) -> DataFrame:
+    return _near_each(spark, sf, 10)
+
+
+@query(KNN_EACH + "select query_id, vec_id, cast(greatest(0, round_even((1 - round(d, 6) / 2) * 100, 0)) as bigint) score from r where rank <= 20")
+def question_scores_hundredth(spark: SparkSession, sf: str) -> DataFrame:
+    return _near_each(spark, sf, 20).select("query_id", "vec_id", C.distance_score(F.col("distance")).alias("score"))
+
+
 INTENT = "case " + " ".join(f"when regexp_matches(lower(text), '{w}') then '{n}'" for n, w in C.INTENTS) + " else 'general' end"
 
 

@@ -144,3 +144,16 @@ def test_paths_longer_than_four_nodes(spark):
     ids = spark.createDataFrame([(f"x{i}",) for i in range(21)], "id string")
     got = graph.path_lengths(chain, ids.where("id = 'x0'"), ids).collect()
     assert sorted((r.sink, r.path_length) for r in got) == sorted((f"x{i}", i + 1) for i in range(1, 15))
+
+
+def test_nearest_in_blocks(spark):
+    """Without any broadcast, one vector in a hundred as a query: the same rows, and a product of blocks in the plan."""
+    want = rows(spark, "knn_cosine_hundredth")
+    assert len({r[0] for r in want}) == len([r for r in pq.read_table(f"{SF}/embeddings.parquet").to_pylist() if r["vec_id"] % 100 == 0])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "CartesianProduct" in QUERIES["knn_cosine_hundredth"](spark, SF)._jdf.queryExecution().toString()
+        assert rows(spark, "knn_cosine_hundredth") == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
