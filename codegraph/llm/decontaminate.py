@@ -54,8 +54,8 @@ def _blocks(print_: str) -> Column:
     return F.array(*(F.struct(F.lit(i).alias("block"), F.expr(f"shiftrightunsigned({print_}, {a}) & {(1 << (b - a)) - 1}L").alias("bits")) for i, (a, b) in enumerate(zip(cut, cut[1:], strict=False))))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: int = 80) -> DataFrame:
-    """Pairs (doc_id, item_id, window_start, distance, similarity), one per document row and item, at the best window."""
+def _matches(docs: DataFrame, benchmark: DataFrame, share: int = 80) -> DataFrame:
+    """(key, doc_id, start, item_id, distance, similarity, ...): windows that hold an item; key is that of the row."""
     items = benchmark.select("item_id", tokens("text").alias("words")).where("size(words) > 0")
     items = items.select(F.xxhash64("item_id", "words").alias("item"), "item_id", F.size("words").alias("size"), F.expr(f"least({WORDS}, size(words))").alias("k"), "words")
     items = items.withColumn("hashes", shingles("words", "k")).drop("words")
@@ -82,19 +82,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: int = 80) -> Data
     pairs = left.join(right, ["size", "block", "bits"]).withColumn("distance", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("other"))))
     pairs = pairs.where(F.col("distance") <= RADIUS).select("window", "item", "distance").distinct()
     # Counted shingles of both sides meet; the greatest counts follow from the totals.
-    a = window.select("window", "doc_id", "start", F.size("hashes").alias("na"), F.explode("hashes").alias("hash")).groupBy("window", "doc_id", "start", "na", "hash").agg(F.count("*").alias("ca"))
+    a = window.select("window", "key", "doc_id", "start", F.size("hashes").alias("na"), F.explode("hashes").alias("hash")).groupBy("window", "key", "doc_id", "start", "na", "hash").agg(F.count("*").alias("ca"))
     b = items.select("item", "item_id", F.size("hashes").alias("nb"), F.explode("hashes").alias("hash")).groupBy("item", "item_id", "nb", "hash").agg(F.count("*").alias("cb"))
     both = pairs.join(a, "window").join(b, ["item", "hash"])
-    both = both.groupBy("window", "doc_id", "start", "item", "item_id", "distance").agg(F.sum(F.least("ca", "cb")).alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    both = both.where(f"100 * common >= {share} * (na + nb - common)").withColumn("similarity", F.expr("common / (na + nb - common)"))
+    both = both.groupBy("window", "key", "doc_id", "start", "item", "item_id", "distance").agg(F.sum(F.least("ca", "cb")).alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return both.where(f"100 * common >= {share} * (na + nb - common)").withColumn("similarity", F.expr("common / (na + nb - common)"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: int = 80) -> DataFrame:
+    """Pairs (doc_id, item_id, window_start, distance, similarity), one per document row and item, at the best window."""
+    both = _matches(docs, benchmark, share)
     best = both.groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", "distance")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.start").alias("window_start"), F.col("b.distance").alias("distance"), (-F.col("b.s")).alias("similarity"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs whose text holds no benchmark item."""
-    gone = contaminated(docs, benchmark).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """The rows of docs whose text holds no benchmark item, each judged by its own text whatever its doc_id."""
+    gone = _matches(docs, benchmark).select(F.col("key").alias("__gone")).distinct()
+    own = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    return own.join(gone, own["__key"] == gone["__gone"], "left_anti").drop("__key")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,6 +177,16 @@ def test_decontamination(spark, docs, corpus, empty):
     assert plan.columns == docs.columns and plan.count() == len(corpus) - len({r.doc_id for r in got})
 
 
+def test_decontamination_by_row(spark):
+    """Rows are judged by their text: a null doc_id doesn't save one, a shared doc_id doesn't condemn another."""
+    passage = " ".join(f"word{i}" for i in range(40))
+    rows = [(None, f"before {passage} after"), (None, "a clean text of no interest"), (1, f"x {passage}"), (1, "another clean text"), (2, None), (None, None)]
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    left = decontaminate.drop_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    assert left.columns == ["doc_id", "text"]
+    assert sorted(map(str, map(tuple, left.collect()))) == sorted(map(str, [rows[1], rows[3], rows[4], rows[5]]))
+
+
 def test_media_round_trip(docs, corpus, empty):
     for n in (0, 1, 63, 64, 65, 384, 385, 9000):
         p = media.padded(random.Random(n).randbytes(n))
