@@ -93,7 +93,10 @@ def fit(indptr: np.ndarray, slots: np.ndarray, rating: np.ndarray, grades: int,
     for low in range(0, len(slots), 1 << 20):
         times += np.bincount(slots[low : low + (1 << 20)], minlength=WIDTH).astype(np.int32)
     keep = (times >= max(1, min(LEAST, n // 24)))[slots]
-    indptr = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])[indptr]
+    kept = np.zeros(len(keep) + 1, np.int32)
+    np.cumsum(keep, dtype=np.int32, out=kept[1:])
+    indptr = kept[indptr].astype(np.int64)
+    del kept
     slots = slots[keep]
     w, t = np.zeros(WIDTH), np.linspace(-2, 0, grades - 1)
     rng = np.random.default_rng(seed)
@@ -136,14 +139,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     indptr = slots.offsets.to_numpy().astype(np.int64)
     rating = rows.column("rating").to_numpy().astype(np.int64)
     flat = slots.flatten().to_numpy()
+    del rows, slots
     indptr = indptr - indptr[0]
-    # An order that does not depend on how Spark dealt the rows.
-    total = np.concatenate([[0], np.cumsum(flat, dtype=np.int64)])
-    order = np.lexsort((rating, total[indptr[1:]] - total[indptr[:-1]], np.diff(indptr)))
-    del total
-    sizes = np.diff(indptr)[order]
-    at = np.repeat(indptr[:-1][order] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-    return fit(np.concatenate([[0], np.cumsum(sizes)]), flat[at], rating[order], 3)
+    # An order that does not depend on how Spark dealt the rows. Row by row, for the driver's memory.
+    sizes = np.diff(indptr)
+    total = np.array([flat[low:high].sum(dtype=np.int64) for low, high in zip(indptr[:-1], indptr[1:], strict=True)])
+    order = np.lexsort((rating, total, sizes))
+    ends = np.concatenate([[0], np.cumsum(sizes[order])])
+    dealt = np.empty_like(flat)
+    for k, i in enumerate(order):
+        dealt[ends[k] : ends[k + 1]] = flat[indptr[i] : indptr[i + 1]]
+    del flat
+    return fit(ends, dealt, rating[order], 3)
 
 
 def grade(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
