@@ -1,12 +1,9 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
-
-The reference is every earlier document. It is indexed in blocks: each block holds the
-contexts around one seed (a sampled k-gram that any repeated window must contain), and each
-document is parsed greedily against every block that its seeds reach: where a window of 50
-words is found in the block's index under a smaller doc_id a factor begins, and it goes on
-while the next window is found as well. At a factor's boundary the next windows are looked
-up one by one, so windows that straddle two factors are not lost. Factors of 50 words or
-more become duplicate spans.
+"""Substring dedup by aggregation of hashed windows, in place of relative Lempel-Ziv parsing.
+
+The reference is every earlier document. No document is parsed greedily and no factors are
+formed: super-windows around a seed that repeat whole are settled by aggregation, the rest
+by 64-bit hashes of single windows of 50 words (see windows). A window that a smaller doc_id
+holds as well is a duplicate; the spans of such windows go.
 
 Edge cases: null texts and texts under 50 words lose nothing; an exact copy of 50 words or
 more loses all words; windows are judged on the input; a null doc_id comes last in order;
