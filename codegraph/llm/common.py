@@ -41,9 +41,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where unset (tests), a local one."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary one, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to storage that the driver and all executors share")
         found = getattr(shared_dir, "local", None)
         if not found:
             shared_dir.local = found = "file://" + tempfile.mkdtemp(prefix="codegraph-")
@@ -72,7 +74,30 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
         atexit.register(_release_at_exit, spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete tables of materialise(), once all that reads them has been written itself."""
+    for df in tables:
+        if path := df.__dict__.get("written"):
+            jvm = df.sparkSession.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """names, each with as many underscores in front as it takes to clash with no column of df (Spark folds case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -95,8 +120,9 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        edges = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
-        edges = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
+        stars = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
+        old, edges = edges, materialise(stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
+        free(old)
         before, state = state, _state(edges)
         if state == before:
             break

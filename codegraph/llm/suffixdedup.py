@@ -1,94 +1,135 @@
 """Byte-level dedup with suffix arrays built by linear grouping.
 
 Every byte covered by a 400-byte string that starts anywhere else goes, all its occurrences
-alike. Seeds split the corpus into blocks of contexts (see windows); a block's contexts are
-cut into phrases at places that their bytes alone decide, and the suffix array of the phrase
-strings, built by the grouping construction, puts suffixes with common phrases side by side.
-A 400-byte string holds LEAST whole phrases at least wherever it stands, so contexts that no
-neighbour shares LEAST phrases with are done; the others are compared byte by byte through
-the hashes of their 400-byte windows.
+alike. Seeds deal the corpus into blocks of contexts (see windows). The contexts of a block
+are aligned at the seed, and what no other context of the block shares around it is cut off;
+contexts with less than a window left are done. Of the rest, the grouping construction (see
+gsaca) builds the suffix array, in which suffixes with a common prefix of a window or more
+stand side by side: the neighbours in that order, and nothing else, say which windows repeat.
 
-Suffixes are sorted over phrases, not bytes: in Python the construction takes some
-microseconds per symbol, which a byte-level array over all of the input can't afford.
+Equal contexts are one class, which repeats whole, and stand in the array once; seeds with
+more than BLOCK distinct contexts are settled by an aggregation of their single windows.
+
+strip_documents is the form for pipelines: it leaves the first copy (smallest doc_id) and
+takes shorter windows, so that passages of some 50 words are seen.
 
 Edge cases: null texts are empty; texts under 400 bytes lose nothing; matches never cross
-documents but may overlap within one; repeated rows count as separate occurrences; spans
-that kept_text leaves are widened to whole UTF-8 characters, kept_sha256 is of the exact
-bytes; an empty table gives an empty result.
+documents but may overlap within one; repeated rows of drop_repeated_bytes count as separate
+occurrences; spans that kept_text leaves are widened to whole UTF-8 characters, kept_sha256
+is of the exact bytes; other columns of the input, whatever their names, play no part; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .gsaca import common_prefixes, suffix_array
-from .textops import batches, byte_values, column, prefix, range_hash, sliding_min
-from .windows import Rule, cover, keyed, repeated
+from .common import fresh, table
+from .gsaca import suffix_array
+from .textops import batches, byte_values, column, prefix, range_hash
+from .windows import Rule, cover, keyed, repeated, window_hashes
+
+WINDOW, SEED = 400, 128
+#: Bytes of the shorter windows of strip_documents: fewer than 51 words of any of the test languages take, and more than a sentence.
+PASSAGE, PASSAGE_SEED = 256, 64
+#: Symbols of a suffix array; a block is never split, so one may have more.
+ARRAY = 1 << 18
+
 
-WINDOW, SEED = 400, 40
-#: Bytes whose hash decides a phrase boundary, and the longest stretch without one.
-MARK, STRETCH = 16, 80
-_PLACE = np.uint64((1 << 30) - 1)
+def longest_common(pre: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray, back: bool = False) -> np.ndarray:
+    """How many values from a and from b on are equal (back: up to a and b), at most `most` each, by bisection over prefix hashes."""
+    low, high = np.zeros(len(a), np.int64), most + 1
+    while (open_ := high - low > 1).any():
+        mid = np.where(open_, (low + high) // 2, low)
+        same = range_hash(pre, a - mid, a) == range_hash(pre, b - mid, b) if back else range_hash(pre, a, a + mid) == range_hash(pre, b, b + mid)
+        low, high = np.where(same, mid, low), np.where(same, high, mid)
+    return low
 
 
-def phrases(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(phrase hash, part) of the phrases between boundaries within each part, in order."""
-    data = np.frombuffer(b"".join(parts), np.uint8)
+def aligned(seed: np.ndarray, parts: list[bytes], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end within each part of what some other part of its block may share around the seed.
+
+    Sorted by what follows the seed, the neighbours of a part share most of it; so for what
+    precedes it, read backwards. A repeated window lies within both longest shares.
+    """
     first = np.append(0, np.cumsum([len(x) for x in parts]))
-    pre = prefix(byte_values(data))
-    at = np.arange(max(0, len(data) - MARK + 1))
-    if len(at) < STRETCH:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    grams = (range_hash(pre, at, at + MARK) & ~_PLACE) | at.astype(np.uint64)
-    least = sliding_min(grams, STRETCH)
-    own = np.repeat(np.arange(len(parts)), np.diff(first))
-    inside = own[np.arange(len(least))] == own[np.arange(len(least)) + STRETCH + MARK - 2]
-    place = np.unique((least[inside] & _PLACE).astype(np.int64))
-    a, b = place[:-1], place[1:]
-    same = own[a] == own[b]
-    return range_hash(pre, a[same], b[same]), own[a[same]]
-
-
-def shared_phrases(seed: np.ndarray, doc: np.ndarray, parts: list[bytes], rule: Rule) -> np.ndarray:
-    """Which parts have a suffix that shares as many phrases with another part as a window must hold."""
-    least = max(0, (rule.length - (STRETCH + MARK - 1)) // STRETCH - 1)
-    if least < 1 or rule.words:
-        return np.ones(len(parts), bool)
-    hashes, own = phrases(parts)
-    out = np.zeros(len(parts), bool)
-    if not len(hashes):
-        return out
-    _, rank = np.unique(hashes, return_inverse=True)
-    # A separator of its own ends each part, so that no common prefix runs over an end.
-    n = np.bincount(own, minlength=len(parts))
-    filled = np.flatnonzero(n)
-    string = np.empty(len(rank) + len(filled), np.int64)
-    owner = np.empty(len(string), np.int64)
-    shift = np.cumsum(n > 0)[own] - 1
-    string[np.arange(len(rank)) + shift] = rank + len(filled) + 1
-    owner[np.arange(len(rank)) + shift] = own
-    stops = np.cumsum(n[filled] + 1) - 1
-    string[stops] = np.arange(1, len(filled) + 1)
-    owner[stops] = filled
-    symbols = string.tolist()
-    order = suffix_array(symbols)
-    common = np.array(common_prefixes(symbols, order))
-    of = owner[order]
-    # Within a run of suffixes with that many phrases in common, two parts at least must meet.
-    run = np.cumsum(common < least)
-    low = np.full(run[-1] + 1, len(parts))
-    high = np.full(run[-1] + 1, -1)
-    np.minimum.at(low, run, of)
-    np.maximum.at(high, run, of)
-    out[of[low[run] < high[run]]] = True
-    return out
+    pre = prefix(byte_values(np.frombuffer(b"".join(parts), np.uint8)))
+    at = np.arange(max(0, first[-1] - rule.seed + 1))
+    own = np.repeat(np.arange(len(parts)), np.diff(first))[: len(at)]
+    hits = np.flatnonzero(range_hash(pre, at, at + rule.seed).view(np.int64) == seed[own])
+    place = hits[np.searchsorted(hits, first[:-1])]
+    reach = []
+    for back in (False, True):
+        tail = [x[: p - f][::-1] if back else x[p - f :] for x, p, f in zip(parts, place.tolist(), first.tolist(), strict=False)]
+        order = np.array(sorted(range(len(parts)), key=lambda i: (seed[i], tail[i])), np.int64)
+        a, b = order[:-1], order[1:]
+        room = place - first[:-1] if back else first[1:] - place
+        share = np.where(seed[a] == seed[b], longest_common(pre, place[a], place[b], np.minimum(room[a], room[b]), back), 0)
+        most = np.zeros(len(parts), np.int64)
+        np.maximum.at(most, a, share)
+        np.maximum.at(most, b, share)
+        reach.append(most)
+    return place - first[:-1] - reach[1], place - first[:-1] + reach[0]
+
+
+def _blocks(seed: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of parts, adjacent by seed, of some ARRAY symbols each; none splits a block."""
+    low, total = 0, 0
+    for i in range(len(seed)):
+        if total >= ARRAY and seed[i] != seed[i - 1]:
+            yield low, i
+            low, total = i, 0
+        total += int(size[i])
+    if low < len(seed):
+        yield low, len(seed)
+
+
+def marked(seed: np.ndarray, doc: np.ndarray, parts: list[bytes], rule: Rule) -> Iterator[tuple[int, np.ndarray]]:
+    """Which windows of each part count, read off the suffix arrays of the blocks."""
+    if not parts:
+        return
+    start, end = aligned(seed, parts, rule)
+    live = np.flatnonzero(end - start >= rule.length)
+    for low, high in _blocks(seed[live], (end - start)[live] + 1):
+        own = live[low:high]
+        pieces = [parts[i][start[i] : end[i]] for i in own]
+        # A separator of its own ends each piece, so that no common prefix runs over an end.
+        shift = len(pieces) + 1
+        symbols: list[int] = []
+        for k, piece in enumerate(pieces):
+            symbols += [x + shift for x in piece]
+            symbols.append(k + 1)
+        order = np.array(suffix_array(symbols), np.int64)
+        size = np.array([len(x) for x in pieces]) + 1
+        base = np.append(0, np.cumsum(size))
+        of = np.repeat(np.arange(len(pieces)), size)[order]
+        within = order - base[of]
+        whole = size[of] - 1 - within >= rule.length
+        of, within = of[whole], within[whole]
+        # Neighbours with a window in common form a run; the runs are the sets of equal windows.
+        hashes, first = window_hashes(pieces, rule)
+        hashes = hashes[first[of] + within]
+        run = np.cumsum(np.append(True, hashes[1:] != hashes[:-1])) - 1
+        if rule.earlier:
+            least = np.full(run[-1] + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, run, doc[own[of]])
+            counts = least[run] < doc[own[of]]
+        else:
+            counts = np.bincount(run)[run] > 1
+        flags = np.zeros(first[-1], bool)
+        flags[first[of] + within] = counts
+        for k, i in enumerate(own.tolist()):
+            if flags[first[k] : first[k + 1]].any():
+                found = np.zeros(len(parts[i]) - rule.length + 1, bool)
+                found[start[i] : start[i] + first[k + 1] - first[k]] = flags[first[k] : first[k + 1]]
+                yield i, found
 
 
 def _strip(texts: bool):
@@ -116,35 +157,42 @@ def _strip(texts: bool):
 def drop_repeated_bytes(docs: DataFrame, window: int = WINDOW, seed: int = SEED, texts: bool = True) -> DataFrame:
     """Per row of docs(doc_id, text): key, doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with texts, kept_text."""
     rows = keyed(docs)
-    spans = repeated(rows, Rule(window, min(seed, window), False, False), shared_phrases)
+    spans = repeated(rows, Rule(window, min(seed, window), False, False), marked)
     return rows.join(spans, "key", "left").select("key", "doc_id", "text", "spans").mapInArrow(_strip(texts), "key long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts)
 
 
-def strip_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with repeated bytes cut from text and n_chars set anew; a text that loses everything takes its row along."""
-    spans = repeated(keyed(docs), Rule(window, min(SEED, window), False, False), shared_phrases).select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
-    both = docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(spans, "__key", "left").drop("__key")
-    names = docs.columns
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offs in batches(rows):
-            text, size, keep = [], [], []
-            for i, (old, spans) in enumerate(zip(column(batch, "text").to_pylist(), column(batch, "__spans").to_pylist(), strict=True)):
-                if spans:
-                    own = data[offs[i] : offs[i + 1]]
-                    out = cover(len(own), spans)
-                    head = np.flatnonzero((own & 0xC0) != 0x80)
-                    out = np.repeat(np.logical_and.reduceat(out, head), np.diff(np.append(head, len(own))))
-                    old = own[~out].tobytes().decode()
-                text.append(old)
-                size.append(None if old is None else len(old))
-                keep.append(not spans or bool(old.strip()))
-            new = {c: column(batch, c) for c in names} | {"text": pa.array(text, pa.string())}
-            if "n_chars" in new:
-                new["n_chars"] = pa.array(size, pa.int64())
-            yield pa.RecordBatch.from_pydict(new).filter(pa.array(keep))
-
-    return both.select(*names, "__spans").mapInArrow(run, docs.schema)
+def _cut_out(rows: Iterator[pa.RecordBatch], names: list[str], spans_name: str) -> Iterator[pa.RecordBatch]:
+    for batch, data, offs in batches(rows):
+        text, size, keep = [], [], []
+        for i, (old, spans) in enumerate(zip(column(batch, "text").to_pylist(), column(batch, spans_name).to_pylist(), strict=True)):
+            if spans:
+                own = data[offs[i] : offs[i + 1]]
+                out = cover(len(own), spans)
+                head = np.flatnonzero((own & 0xC0) != 0x80)
+                out = np.repeat(np.logical_and.reduceat(out, head), np.diff(np.append(head, len(own))))
+                old = own[~out].tobytes().decode()
+            text.append(old)
+            size.append(None if old is None else len(old))
+            keep.append(not spans or bool(old.strip()))
+        new = {c: column(batch, c) for c in names} | {"text": pa.array(text, pa.string())}
+        if "n_chars" in new:
+            new["n_chars"] = pa.array(size, pa.int64()).cast(new["n_chars"].type)
+        yield pa.RecordBatch.from_pydict(new).filter(pa.array(keep))
+
+
+def strip_documents(docs: DataFrame, window: int = PASSAGE, seed: int = PASSAGE_SEED) -> DataFrame:
+    """docs without the bytes of text that strings of `window` bytes cover which a document with a smaller doc_id holds too.
+
+    The first copy of a passage stays. n_chars, if there is one, is set anew in its own type;
+    all other columns stay as they are, whatever their names. A text that loses everything but
+    white space takes its row along; null and empty texts stay. Rows with a null doc_id come
+    last and, like repeated rows of one doc_id, take nothing from each other.
+    """
+    key, found = fresh(docs, "key", "spans")
+    spans = repeated(keyed(docs), Rule(window, min(seed, window), False, True), marked).toDF(key, found)
+    both = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(spans, key, "left").drop(key)
+    cut: Callable = partial(_cut_out, names=docs.columns, spans_name=found)
+    return both.mapInArrow(cut, docs.schema)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

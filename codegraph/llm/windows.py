@@ -1,14 +1,14 @@
 """Repeated windows of fixed length across documents, found exactly and without pairs.
 
 A document is a sequence of units (words or bytes). All windows of `length` units with the
-same least k-gram (their seed) at the same place form one super-window, so equal windows
-always share a seed and lie in super-windows of that seed. One row per super-window is
-shuffled, not one per window. Seeds and whole super-windows are pre-aggregated by key, which
-settles nearly all windows; what differs within a seed forms a block of distinct contexts,
-which one task compares, and seeds with more contexts than BLOCK go through an aggregation
-by single window instead, which map-side sums make safe for any skew.
-
-64-bit rolling hashes stand for equality of k-grams, super-windows and windows.
+same least k-gram (their seed) at the same place form one super-window; its units are its
+context. Equal windows share a seed and lie in super-windows of that seed. One row per
+super-window is shuffled, not one per window. Equal contexts form a class, of which one
+member goes on; the distinct contexts of a seed are its block, which one task compares by
+the operator's own method (mark). Seeds with more contexts than BLOCK go through an
+aggregation by single window instead, which map-side sums make safe for any skew.
+
+64-bit rolling hashes stand for equality of seeds and contexts.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, prepare
+from .common import free, materialise, prepare
 from .textops import batches, byte_values, column, longs, mix, prefix, range_hash, sliding_min, word_hashes
 
-#: Distinct contexts of a seed that one task compares; bytes of contexts compared at once.
-BLOCK, BUFFER = 4096, 4 << 20
+#: Distinct contexts of a seed that one task compares; bytes of contexts held at once.
+BLOCK, BUFFER = 1024, 2 << 20
 _PLACE = np.uint64((1 << 30) - 1)
 
 
@@ -118,37 +118,24 @@ def window_hashes(parts: list[bytes], rule: Rule) -> tuple[np.ndarray, np.ndarra
     return range_hash(pre, start, start + rule.length), base
 
 
-Judge = Callable[[np.ndarray, np.ndarray, list[bytes], Rule], np.ndarray]
+#: For the contexts of blocks (seed hash, document, units of each), adjacent by seed: (index, which of its windows count) of those with any.
+Mark = Callable[[np.ndarray, np.ndarray, list[bytes], Rule], Iterator[tuple[int, np.ndarray]]]
 
 
-def _resolve(rule: Rule, pick: Judge) -> Callable:
+def _resolve(rule: Rule, mark: Mark) -> Callable:
     """Of each block (rows of one seed, adjacent), the runs of windows of edge contexts that count."""
 
     def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        context = column(rows, "context").to_numpy()
-        keep = np.unique(context, return_index=True)[1]
-        rows = rows.take(pa.array(np.sort(keep)))
         seed, context, doc = (column(rows, c).to_numpy() for c in ("seed", "context", "doc"))
         edge = column(rows, "edge").to_numpy(zero_copy_only=False)
-        out_context, runs = [], []
-        chosen = np.flatnonzero(pick(seed, doc, parts := column(rows, "units").to_pylist(), rule))
-        if len(chosen):
-            hashes, base = window_hashes([parts[i] for i in chosen], rule)
-            owner = np.repeat(chosen, np.diff(base))
-            _, where, times = np.unique(hashes, return_inverse=True, return_counts=True)
-            if rule.earlier:
-                least = np.full(len(times), np.iinfo(np.int64).max)
-                np.minimum.at(least, where, doc[owner])
-                counts = least[where] < doc[owner]
-            else:
-                counts = times[where] > 1
-            for i, a, b in zip(chosen, base[:-1], base[1:], strict=True):
-                if edge[i] and (found := counts[a:b]).any():
-                    step = np.flatnonzero(np.diff(found.astype(np.int8), prepend=0, append=0))
-                    out_context.append(context[i])
-                    runs.append(step.astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(out_context, pa.int64()), pa.array(runs, pa.list_(pa.int32()))], names=["context", "runs"])
+        at, runs = [], []
+        for i, found in mark(seed, doc, column(rows, "units").to_pylist(), rule):
+            if edge[i] and found.any():
+                at.append(i)
+                runs.append(np.flatnonzero(np.diff(found.astype(np.int8), prepend=0, append=0)).astype(np.int32))
+        at = np.array(at, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(seed[at]), pa.array(context[at]), pa.array(runs, pa.list_(pa.int32()))], names=["seed", "context", "runs"])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -185,7 +172,7 @@ def _single(rule: Rule) -> Callable:
             size = np.diff(base)
             own = pa.array(np.repeat(np.arange(batch.num_rows), size))
             at = np.arange(len(hashes)) - np.repeat(base[:-1], size)
-            whole = pa.RecordBatch.from_arrays([longs(hashes), column(batch, "context").take(own), column(batch, "doc").take(own), column(batch, "edge").take(own), pa.array(at.astype(np.int32))], names=["hash", "context", "doc", "edge", "at"])
+            whole = pa.RecordBatch.from_arrays([longs(hashes), column(batch, "seed").take(own), column(batch, "context").take(own), column(batch, "doc").take(own), column(batch, "edge").take(own), pa.array(at.astype(np.int32))], names=["hash", "seed", "context", "doc", "edge", "at"])
             for low in range(0, whole.num_rows, 1 << 16):
                 yield whole.slice(low, 1 << 16)
 
@@ -199,7 +186,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("doc_id", "text").alias("key"), F.coalesce(doc_id, F.lit(2**63 - 1)).alias("doc"), doc_id.alias("doc_id"), "text")
 
 
-def repeated(rows: DataFrame, rule: Rule, pick: Judge) -> DataFrame:
+def repeated(rows: DataFrame, rule: Rule, mark: Mark) -> DataFrame:
     """(key, spans): per row of keyed() with a counting window, structs (a, b) of units that such windows cover."""
     part = rows.select("key", "doc", "text").mapInArrow(_scan(rule), "key long, doc long, seed long, context long, start int, count int")
     part = materialise(part, "superwindows")
@@ -207,28 +194,32 @@ def repeated(rows: DataFrame, rule: Rule, pick: Judge) -> DataFrame:
     # Written, so that the join deals both sides anew and splits a seed that many rows hold.
     seeds = materialise(seeds.where("least < most" if rule.earlier else "times > 1").select("seed", F.col("least").alias("seed_doc")), "seeds")
     shared = materialise(part.join(seeds, "seed"), "shared")
+    free(part, seeds)
     classes = shared.groupBy("context", "seed", "seed_doc").agg(
         F.min("doc").alias("context_doc"), F.count("*").alias("times"), F.min(F.struct("doc", "key", "start", "count")).alias("rep"),
     )
     classes = materialise(classes.withColumn("edge", F.expr("context_doc > seed_doc" if rule.earlier else "times = 1")), "classes")
-    blocks = classes.groupBy("seed").agg(F.count("*").alias("members"), F.max("edge").alias("any")).where("any").select("seed", (F.col("members") > BLOCK).alias("hot"))
+    blocks = classes.groupBy("seed").agg(F.count("*").alias("members"), F.max("edge").alias("any")).where("any and members > 1").select("seed", (F.col("members") > BLOCK).alias("hot"))
     need = classes.join(blocks, "seed").select(F.col("rep.key").alias("key"), F.struct("seed", "context", F.col("context_doc").alias("doc"), "edge", "hot", "rep.start", "rep.count").alias("w"))
     need = need.groupBy("key").agg(F.collect_list("w").alias("wanted"))
-    cut = materialise(rows.select("key", "text").join(need, "key").select("text", "wanted").mapInArrow(_cut(rule), _CUT), "contexts")
-    found = cut.where("not hot").repartition("seed").sortWithinPartitions("seed").mapInArrow(_resolve(rule, pick), "context long, runs array<int>")
-    single = cut.where("hot").mapInArrow(_single(rule), "hash long, context long, doc long, edge boolean, at int")
+    # One row of each key: a repeated row would give its contexts twice.
+    cut = materialise(rows.select("key", "text").dropDuplicates(["key"]).join(need, "key").select("text", "wanted").mapInArrow(_cut(rule), _CUT), "contexts")
+    found = cut.where("not hot").repartition("seed").sortWithinPartitions("seed").mapInArrow(_resolve(rule, mark), "seed long, context long, runs array<int>")
+    single = cut.where("hot").mapInArrow(_single(rule), "hash long, seed long, context long, doc long, edge boolean, at int")
     hits = single.groupBy("hash").agg(F.min("doc").alias("least"), F.count("*").alias("times"))
     counts = "least < doc" if rule.earlier else "times > 1"
     hits = hits.where("true" if rule.earlier else "times > 1")
-    hot = single.where("edge").join(hits, "hash").where(counts).groupBy("context").agg(F.collect_set("at").alias("at"))
-    hot = hot.select("context", F.flatten(F.transform("at", lambda i: F.array(i, i + 1))).alias("runs"))
+    hot = single.where("edge").join(hits, "hash").where(counts).groupBy("seed", "context").agg(F.collect_set("at").alias("at"))
+    hot = hot.select("seed", "context", F.flatten(F.transform("at", lambda i: F.array(i, i + 1))).alias("runs"))
     found = found.unionByName(hot)
     # Whole super-windows that repeat, and runs within edge contexts.
-    placed = shared.join(classes.select("context", "context_doc", F.col("times"), "edge"), "context")
+    placed = shared.join(classes.select("seed", "context", "context_doc", F.col("times"), "edge"), ["seed", "context"])
     whole = placed.where("context_doc < doc" if rule.earlier else "times > 1").select("key", F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("count") - 1 + rule.length).alias("b"))).alias("s"))
     span = F.expr(f"transform(sequence(0, cast(size(runs) / 2 as int) - 1), i -> struct(start + runs[2 * i] as a, start + runs[2 * i + 1] - 1 + {rule.length} as b))")
-    inner = placed.where("edge and context_doc = doc").select("key", "start", "context").join(found, "context").select("key", span.alias("s"))
-    return whole.unionByName(inner).groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("spans"))
+    inner = placed.where("edge and context_doc = doc").select("key", "start", "seed", "context").join(found, ["seed", "context"]).select("key", span.alias("s"))
+    spans = materialise(whole.unionByName(inner).groupBy("key").agg(F.flatten(F.collect_list("s")).alias("spans")), "spans")
+    free(shared, classes, cut)
+    return spans
 
 
 def cover(size: int, spans: list[dict] | None) -> np.ndarray:
