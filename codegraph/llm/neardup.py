@@ -204,9 +204,11 @@ def _residual(left: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     parts = deltas.select("doc_id", "g", F.explode("delta").alias("e"))
     times = materialise(parts.groupBy("g", "e").agg(F.count("*").alias("times")).where("times > 1"), "shared")
     ranked = parts.join(times, ["g", "e"]).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("times", "e"))).alias("parts"))
-    ranked = deltas.drop("delta", "salt").join(ranked, "doc_id").select("doc_id", "g", "n", "root", "d", "w", F.size("parts").alias("shared"), F.posexplode("parts").alias("p", "part"))
-    # Elements that no other document holds come first; an element too late for any partner goes.
-    ranked = ranked.withColumn("rest", F.expr("shared - p")).where(f"w - {100 - share} * (n * 100 div {share} + 1) <= {2 * (100 + share)} * rest")
+    ranked = deltas.drop("delta", "salt").join(ranked, "doc_id").withColumn("shared", F.size("parts"))
+    # Elements that no other document holds come first; an element with too few after it for any partner is not made a row.
+    useful = F.expr(f"shared - cast(greatest(0, ceil((w - {100 - share} * (n * 100 div {share} + 1)) / {2 * (100 + share)}d)) as int) + 1")
+    ranked = ranked.withColumn("useful", F.least("shared", useful)).where("useful > 0")
+    ranked = ranked.select("doc_id", "g", "n", "root", "w", "shared", F.expr("posexplode(slice(parts, 1, useful))").alias("p", "part")).withColumn("rest", F.expr("shared - p"))
     ranked = materialise(ranked.select("g", F.col("part.e").alias("e"), "doc_id", "n", "root", "w", "rest"), "prefixes")
     other = ranked.toDF("g", "e", "v", "m", "other", "x", "rest2")
     fits = f"doc_id < v and root <> other and 100 * least(n, m) >= {share} * greatest(n, m) and w + x > 0 and w + x <= {2 * (100 + share)} * least(rest, rest2)"
