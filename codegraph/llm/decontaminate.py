@@ -3,17 +3,20 @@
 Texts are lower-cased and cut into runs of letters and digits. Each benchmark item is
 compared with item-sized windows of the documents: windows are placed where a document
 holds a shingle of an item of that size (a window that reaches the similarity must share
-one), each gets a 64-bit SimHash of its counted five-word shingles, and RADIUS + 1 blocks of
-its bits are looked up among those of the items of that size, which finds every fingerprint
-within RADIUS bits. Of the candidates within the radius, those whose exact weighted (counted)
-shingle similarity, sum of least over sum of greatest counts, is at least 0.8 are returned.
-SimHash itself may put a pair at exactly 0.8 beyond the radius, by chance about 1 in 100;
-equal word sequences are at distance 0.
+one), and each gets a 64-bit SimHash of its counted five-word shingles. The multi-index cuts
+fingerprints into BLOCKS blocks; of two fingerprints within RADIUS bits, one block differs in
+RADIUS / BLOCKS bits at most, so the index holds each block of an item under all values that
+near, and a window is looked up by its own four. Of the candidates within the radius, those
+whose exact weighted (counted) shingle similarity, sum of least over sum of greatest counts,
+is at least 0.8 are returned. SimHash itself may put a pair at exactly 0.8 beyond the radius,
+by chance about 1 in 100; equal word sequences are at distance 0.
 
 Edge cases: items and documents with null text or without words match nothing; an item with
 fewer than five words is one shingle, its whole sequence; a document shorter than an item is
-one window; equal items each match; repeated documents each match; empty tables give an
-empty result. A null doc_id or item_id is returned as null.
+one window; equal items each match; rows that share a doc_id but not the text are judged
+each by its own text, and rows equal in both give one row; a null doc_id or item_id is
+returned as null; other columns of the input, whatever their names, play no part; empty
+tables give an empty result.
 """
 
 from __future__ import annotations
@@ -21,9 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import fresh, materialise, table
 
-WORDS, RADIUS = 5, 16
+WORDS, RADIUS, BLOCKS = 5, 16, 4
 #: Shingles of the benchmark up to which its index is broadcast (24 bytes each); a shuffled join beyond.
 BROADCAST = 1_000_000
 
@@ -49,9 +52,15 @@ def simhash(hashes: str) -> Column:
 
 
 def _blocks(print_: str) -> Column:
-    """(block, bits) of the RADIUS + 1 blocks of a fingerprint."""
-    cut = [64 * i // (RADIUS + 1) for i in range(RADIUS + 2)]
-    return F.array(*(F.struct(F.lit(i).alias("block"), F.expr(f"shiftrightunsigned({print_}, {a}) & {(1 << (b - a)) - 1}L").alias("bits")) for i, (a, b) in enumerate(zip(cut, cut[1:], strict=False))))
+    """(block, bits) of the blocks of a fingerprint."""
+    width = 64 // BLOCKS
+    return F.array(*(F.struct(F.lit(i).alias("block"), F.expr(f"shiftrightunsigned({print_}, {width * i}) & {(1 << width) - 1}L").alias("bits")) for i in range(BLOCKS)))
+
+
+def _near_bits() -> Column:
+    """All masks of a block with RADIUS / BLOCKS bits at most, a fixed number."""
+    masks = (m for m in range(1 << 64 // BLOCKS) if m.bit_count() <= RADIUS // BLOCKS)
+    return F.split(F.lit(",".join(map(str, masks))), ",").cast("array<long>")
 
 
 def _matches(docs: DataFrame, benchmark: DataFrame, share: int = 80) -> DataFrame:
@@ -66,19 +75,20 @@ def _matches(docs: DataFrame, benchmark: DataFrame, share: int = 80) -> DataFram
     texts = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
     spots = None
     for k in sorted(facts.ks) or [WORDS]:
-        own = texts.select("key", tokens("text").alias("words")).select("key", shingles("words", str(k)).alias("hashes"))
-        own = own.select("key", F.posexplode("hashes").alias("at", "hash")).join(hint(index.where(f"k = {k}").select("size", "place", "hash")), "hash")
-        own = own.select("key", "size", (F.col("at") - F.col("place")).alias("start"), F.lit(k).alias("k"))
+        own = texts.select("key", tokens("text").alias("words")).select("key", F.size("words").alias("n"), shingles("words", str(k)).alias("hashes"))
+        own = own.select("key", "n", F.posexplode("hashes").alias("at", "hash")).join(hint(index.where(f"k = {k}").select("size", "place", "hash")), "hash")
+        own = own.select("key", "size", F.expr("greatest(0, least(at - place, n - size))").alias("start"), F.lit(k).alias("k"))
         spots = own if spots is None else spots.unionByName(own)
     spots = spots.groupBy("key").agg(F.collect_set(F.struct("size", "start", "k")).alias("spots"))
     spots = materialise(spots, "spots")
-    window = texts.join(spots, "key").select("key", "doc_id", tokens("text").alias("words"), "spots").select("key", "doc_id", "words", F.explode("spots").alias("s"))
-    window = window.select("key", "doc_id", F.col("s.size").alias("size"), F.expr("greatest(0, least(s.start, size(words) - s.size))").alias("start"), F.col("s.k").alias("k"), "words").distinct()
-    window = window.withColumn("part", F.expr("slice(words, start + 1, size)")).drop("words")
+    # Each window takes its own words along, not the document's.
+    parts = F.expr(_let("words", "w", "transform(spots, s -> struct(s.size as size, s.start as start, s.k as k, slice(w, s.start + 1, s.size) as part))"))
+    window = texts.dropDuplicates(["key"]).join(spots, "key").select("key", "doc_id", tokens("text").alias("words"), "spots").select("key", "doc_id", F.explode(parts).alias("s")).select("key", "doc_id", "s.*")
     window = window.withColumn("hashes", shingles("part", "k")).drop("part").withColumn("fingerprint", simhash("hashes")).withColumn("window", F.xxhash64("key", "size", "start", "k"))
-    window = materialise(window.dropDuplicates(["window"]), "windows")
+    window = materialise(window, "windows")
     left = window.select("window", "size", "fingerprint", F.explode(_blocks("fingerprint")).alias("b")).select("window", "size", "fingerprint", "b.*")
     right = items.select("item", "size", F.col("fingerprint").alias("other"), F.explode(_blocks("fingerprint")).alias("b")).select("item", "size", "other", "b.*")
+    right = right.withColumn("mask", F.explode(_near_bits())).withColumn("bits", F.col("bits").bitwiseXOR(F.col("mask"))).drop("mask")
     pairs = left.join(right, ["size", "block", "bits"]).withColumn("distance", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("other"))))
     pairs = pairs.where(F.col("distance") <= RADIUS).select("window", "item", "distance").distinct()
     # Counted shingles of both sides meet; the greatest counts follow from the totals.
@@ -90,17 +100,18 @@ def _matches(docs: DataFrame, benchmark: DataFrame, share: int = 80) -> DataFram
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: int = 80) -> DataFrame:
-    """Pairs (doc_id, item_id, window_start, distance, similarity), one per document row and item, at the best window."""
+    """(doc_id, item_id, window_start, distance, similarity) at the best window, one row for each item and distinct (doc_id, text)."""
     both = _matches(docs, benchmark, share)
-    best = both.groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", "distance")).alias("b"))
+    best = both.groupBy("key", "doc_id", "item", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", "distance")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.start").alias("window_start"), F.col("b.distance").alias("distance"), (-F.col("b.s")).alias("similarity"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs whose text holds no benchmark item, each judged by its own text whatever its doc_id."""
-    gone = _matches(docs, benchmark).select(F.col("key").alias("__gone")).distinct()
-    own = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    return own.join(gone, own["__key"] == gone["__gone"], "left_anti").drop("__key")
+    """The rows of docs whose text holds no benchmark item, each judged by its own text whatever its doc_id, with all columns."""
+    key, gone = fresh(docs, "key", "gone")
+    found = _matches(docs, benchmark).select(F.col("key").alias(gone)).distinct()
+    own = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    return own.join(found, own[key] == found[gone], "left_anti").drop(key)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialise, prepare, table
+from .common import components, fresh, materialise, prepare, table
 from .textops import batches, column, longs, mix, prefix, range_hash, word_hashes
 
 WORDS, BUCKETS, ROWS, MANTISSA = 5, 128, 4, 10
@@ -265,9 +265,10 @@ def near_duplicates(docs: DataFrame, share: int = 85) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, share: int = 80) -> DataFrame:
-    """The rows of docs but those with a smaller near duplicate in their group."""
-    gone = near_duplicates(docs, share).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """The rows of docs, with all columns, but those with a smaller near duplicate in their group."""
+    (name,) = fresh(docs, "gone")
+    gone = near_duplicates(docs, share).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
