@@ -29,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, fresh, materialise, prepare, table
+from .common import components, free, fresh, materialise, prepare, table
 from .textops import batches, column, longs, mix, prefix, range_hash, word_hashes
 
 WORDS, BUCKETS, ROWS, MANTISSA = 5, 128, 4, 10
 #: Parts into which a join deals the rows of one group.
 SALTS = 32
+#: Times that documents far from their group's centre are grouped again.
+LEVELS = 2
 BANDS = BUCKETS // ROWS
 _U = np.uint64
 
@@ -178,6 +180,29 @@ def _salted(few: DataFrame) -> DataFrame:
     return few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
+def _deltas(left: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """(doc_id, g, n, root, d, delta): documents that the buckets of left connect form a group g; delta is a document's set xor the shingles of over half of its group."""
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    least = left.groupBy("band").agg(F.min("doc_id").alias("v"))
+    group = components(left.select("band", F.col("doc_id").alias("u")).join(least, "band").select("u", "v")).toDF("doc_id", "g")
+    docs = left.select("doc_id", "n", "root").distinct().join(group, "doc_id", "left").withColumn("g", F.coalesce("g", "doc_id"))
+    docs = materialise(docs.join(sets, "doc_id").withColumn("salt", salt), "grouped")
+    size = docs.groupBy("g").agg(F.count("*").alias("size"))
+    held = docs.select(F.col("g").alias("doc_id"), "hashes").mapInArrow(_explode, "hash long, doc_id long").groupBy(F.col("doc_id").alias("g"), "hash").agg(F.count("*").alias("times")).where("times > 1")
+    held = held.withColumn("salt", F.pmod("hash", F.lit(SALTS)).cast("int"))
+    centre = held.join(_salted(size), ["g", "salt"]).where("2 * times > size").groupBy("g").agg(F.array_sort(F.collect_list("hash")).alias("centre"))
+    deltas = docs.join(_salted(centre), ["g", "salt"], "left").select("doc_id", "g", "n", "root", "hashes", "centre").mapInArrow(_delta, "doc_id long, g long, n long, root long, d long, delta array<long>")
+    deltas = materialise(deltas, "deltas")
+    free(docs)
+    return deltas
+
+
+def _bare(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """As _deltas, of one group without a centre: delta is the set."""
+    docs = left.select("doc_id", "n", "root").distinct().join(sets, "doc_id").withColumn("g", F.lit(0).cast("long")).withColumn("centre", F.lit(None).cast("array<long>"))
+    return materialise(docs.select("doc_id", "g", "n", "root", "hashes", "centre").mapInArrow(_delta, "doc_id long, g long, n long, root long, d long, delta array<long>"), "deltas")
+
+
 def _residual(left: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """Candidates (u, v) among left(band, doc_id, n, root): all links across roots go through them.
 
@@ -187,24 +212,30 @@ def _residual(left: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     deltas with w + w' <= 2 * (100 + share) * o. Where w + w' <= 0, both link with the group's
     document of least w. All others share an element of their deltas: sorted from rare to
     frequent, the first common one, at positions p and p', leaves o <= 1 + min(d - p, d' - p').
+
+    Documents that a group's centre doesn't help (d > n) are grouped among themselves again,
+    LEVELS times in all, and at last compared without a centre. A link's two sets differ by
+    (100 - share) / share of either at most, so a document with d <= n links with such of
+    d <= (200 - share) / share * n only: those up to there stay in the group too, and no link
+    is lost between levels.
     """
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    least = left.groupBy("band").agg(F.min("doc_id").alias("v"))
-    group = components(left.select("band", F.col("doc_id").alias("u")).join(least, "band").select("u", "v")).toDF("doc_id", "g")
-    docs = left.select("doc_id", "n", "root").distinct().join(group, "doc_id", "left").withColumn("g", F.coalesce("g", "doc_id"))
-    docs = materialise(docs.join(sets, "doc_id").withColumn("salt", salt), "grouped")
-    size = docs.groupBy("g").agg(F.count("*").alias("size"))
-    held = docs.select(F.col("g").alias("doc_id"), "hashes").mapInArrow(_explode, "hash long, doc_id long").groupBy(F.col("doc_id").alias("g"), "hash").agg(F.count("*").alias("times")).where("times > 1")
-    held = held.withColumn("salt", F.pmod("hash", F.lit(SALTS)).cast("int"))
-    centre = held.join(_salted(size), ["g", "salt"]).where("2 * times > size").groupBy("g").agg(F.array_sort(F.collect_list("hash")).alias("centre"))
-    deltas = docs.join(_salted(centre), ["g", "salt"], "left").select("doc_id", "g", "n", "root", "hashes", "centre").mapInArrow(_delta, "doc_id long, g long, n long, root long, d long, delta array<long>")
-    deltas = materialise(deltas.withColumn("w", F.expr(f"{100 + share} * d - {100 - share} * n")).withColumn("salt", salt), "deltas")
+    deltas = None
+    for level in range(LEVELS + 1):
+        all_ = _deltas(left, sets, share) if level < LEVELS else _bare(left, sets)
+        near = all_.where(f"{share} * d <= {200 - share} * n").withColumn("g", F.struct(F.lit(level).alias("level"), "g"))
+        deltas = near if deltas is None else deltas.unionByName(near)
+        far = all_.where("d > n").select("doc_id")
+        if level == LEVELS or far.isEmpty():
+            break
+        left = materialise(left.join(far, "doc_id"), "far")
+    deltas = deltas.withColumn("w", F.expr(f"{100 + share} * d - {100 - share} * n")).withColumn("salt", salt)
     star = deltas.groupBy("g").agg(F.min(F.struct("w", "doc_id", "root")).alias("star"))
     sure = deltas.join(_salted(star), ["g", "salt"]).where("root <> star.root and w + star.w <= 0").select(F.least("doc_id", "star.doc_id").alias("u"), F.greatest("doc_id", "star.doc_id").alias("v"))
     parts = deltas.select("doc_id", "g", F.explode("delta").alias("e"))
     times = materialise(parts.groupBy("g", "e").agg(F.count("*").alias("times")).where("times > 1"), "shared")
-    ranked = parts.join(times, ["g", "e"]).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("times", "e"))).alias("parts"))
-    ranked = deltas.drop("delta", "salt").join(ranked, "doc_id").withColumn("shared", F.size("parts"))
+    ranked = parts.join(times, ["g", "e"]).groupBy("doc_id", "g").agg(F.array_sort(F.collect_list(F.struct("times", "e"))).alias("parts"))
+    ranked = deltas.drop("delta", "salt").join(ranked, ["doc_id", "g"]).withColumn("shared", F.size("parts"))
     # Elements that no other document holds come first; an element with too few after it for any partner is not made a row.
     useful = F.expr(f"shared - cast(greatest(0, ceil((w - {100 - share} * (n * 100 div {share} + 1)) / {2 * (100 + share)}d)) as int) + 1")
     ranked = ranked.withColumn("useful", F.least("shared", useful)).where("useful > 0")
