@@ -6,7 +6,7 @@ holds a shingle of an item of that size (a window that reaches the similarity mu
 one), and each gets a 64-bit SimHash of its counted five-word shingles. The multi-index cuts
 fingerprints into BLOCKS blocks; of two fingerprints within RADIUS bits, one block differs in
 RADIUS / BLOCKS bits at most, so the index holds each block of an item under all values that
-near, and a window is looked up by its own four. Of the candidates within the radius, those
+near, and a window is looked up by its own. Of the candidates within the radius, those
 whose exact weighted (counted) shingle similarity, sum of least over sum of greatest counts,
 is at least 0.8 are returned. SimHash itself may put a pair at exactly 0.8 beyond the radius,
 by chance about 1 in 100; equal word sequences are at distance 0.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, materialise, table
 
-WORDS, RADIUS, BLOCKS = 5, 16, 4
+WORDS, RADIUS, BLOCKS = 5, 16, 6
 #: Shingles of the benchmark up to which its index is broadcast (24 bytes each); a shuffled join beyond.
 BROADCAST = 1_000_000
 
@@ -51,16 +51,19 @@ def simhash(hashes: str) -> Column:
     return F.expr(_let(hashes, "hs", f"aggregate(sequence(0, 63), 0L, (out, b) -> out | {bit})"))
 
 
+_CUTS = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
+
+
 def _blocks(print_: str) -> Column:
     """(block, bits) of the blocks of a fingerprint."""
-    width = 64 // BLOCKS
-    return F.array(*(F.struct(F.lit(i).alias("block"), F.expr(f"shiftrightunsigned({print_}, {width * i}) & {(1 << width) - 1}L").alias("bits")) for i in range(BLOCKS)))
+    return F.array(*(F.struct(F.lit(i).alias("block"), F.expr(f"shiftrightunsigned({print_}, {a}) & {(1 << b - a) - 1}L").alias("bits")) for i, (a, b) in enumerate(zip(_CUTS, _CUTS[1:], strict=False))))
 
 
-def _near_bits() -> Column:
-    """All masks of a block with RADIUS / BLOCKS bits at most, a fixed number."""
-    masks = (m for m in range(1 << 64 // BLOCKS) if m.bit_count() <= RADIUS // BLOCKS)
-    return F.split(F.lit(",".join(map(str, masks))), ",").cast("array<long>")
+def _near_bits(block: str) -> Column:
+    """All masks of a block with RADIUS / BLOCKS bits at most: a fixed number, 67 of the widest."""
+    masks = lambda width: ",".join(str(m) for m in range(1 << width) if m.bit_count() <= RADIUS // BLOCKS)
+    each = F.array(*(F.lit(masks(b - a)) for a, b in zip(_CUTS, _CUTS[1:], strict=False)))
+    return F.split(F.get(each, F.col(block)), ",").cast("array<long>")
 
 
 def _matches(docs: DataFrame, benchmark: DataFrame, share: int = 80) -> DataFrame:
@@ -88,7 +91,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame, share: int = 80) -> DataFram
     window = materialise(window, "windows")
     left = window.select("window", "size", "fingerprint", F.explode(_blocks("fingerprint")).alias("b")).select("window", "size", "fingerprint", "b.*")
     right = items.select("item", "size", F.col("fingerprint").alias("other"), F.explode(_blocks("fingerprint")).alias("b")).select("item", "size", "other", "b.*")
-    right = right.withColumn("mask", F.explode(_near_bits())).withColumn("bits", F.col("bits").bitwiseXOR(F.col("mask"))).drop("mask")
+    right = right.withColumn("mask", F.explode(_near_bits("block"))).withColumn("bits", F.col("bits").bitwiseXOR(F.col("mask"))).drop("mask")
     pairs = left.join(right, ["size", "block", "bits"]).withColumn("distance", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("other"))))
     pairs = pairs.where(F.col("distance") <= RADIUS).select("window", "item", "distance").distinct()
     # Counted shingles of both sides meet; the greatest counts follow from the totals.
