@@ -38,7 +38,7 @@ from .windows import Rule, cover, keyed, repeated, window_hashes
 
 WINDOW, SEED = 400, 128
 #: Bytes of the shorter windows of strip_documents: fewer than 51 words of any of the test languages take, and more than a sentence.
-PASSAGE, PASSAGE_SEED = 256, 64
+PASSAGE, PASSAGE_SEED = 256, 24
 #: Symbols of a suffix array; a block is never split, so one may have more.
 ARRAY = 1 << 18
 
