@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import ship
+
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, line_number from 1, line)."""
@@ -26,28 +31,87 @@ def context(table: DataFrame, hits: DataFrame, around: int, key: str = "doc_id")
     return wanted.join(table, [key, "line_number"]).select(key, "hit_line", "line_number", "line")
 
 
+def _local_prefix(group: str, order: list[str], most: int, keep_first: bool):
+    """Of each task's rows, those that the group's prefix can hold: a row's sum within the task is at most that within the group."""
+
+    def cut(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([group, *order], kind="stable", na_position="first")
+        by = rows.groupby(group, dropna=False, sort=False)
+        fits = rows["tokens"].fillna(0).groupby(rows[group], dropna=False, sort=False).cumsum() <= most
+        return rows[fits | (by.cumcount() == 0)] if keep_first else rows[fits]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for part in parts:
+            held = [cut(pd.concat([*held, part]))]
+        yield from held
+
+    return run
+
+
 def budget(rows: DataFrame, group: str, order: list[str], tokens: Column, most: int, keep_first: bool = False) -> DataFrame:
-    """The longest prefix of each group, in order, whose tokens fit; with keep_first its first row always."""
+    """The longest prefix of each group, in order, whose tokens fit; with keep_first its first row always.
+
+    Each task cuts its own rows to what can be in a prefix before any are shuffled, so a group
+    sorts no more than the budget's rows of each task. Give keys and small columns only.
+    """
+    ship(rows.sparkSession)
+    counted = rows.withColumn("tokens", tokens.cast("long"))
+    own = [c for c in counted.columns if c in (group, *order, "tokens")]
+    near = counted.select(own).mapInPandas(_local_prefix(group, order, most, keep_first), counted.select(own).schema)
     w = W.partitionBy(group).orderBy(*order)
-    out = rows.withColumn("tokens", tokens.cast("long")).withColumn("cum_tokens", F.sum("tokens").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("rn", F.row_number().over(w))
+    out = near.withColumn("cum_tokens", F.sum("tokens").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("rn", F.row_number().over(w))
     return out.where((F.col("cum_tokens") <= most) | (F.col("rn") == 1 if keep_first else F.lit(False))).drop("rn")
 
 
+def fitting(lines: DataFrame, group: str, order: str, text: str, tokens: Column, most: int, keep: int = 0) -> DataFrame:
+    """(group, kept, truncated): lines of each group joined in order, dropped from the end until their tokens fit, but for the first `keep`."""
+    w = W.partitionBy(group).orderBy(order)
+    sized = lines.withColumn("__sum", F.sum(tokens).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("__rn", F.row_number().over(w))
+    stays = (F.col("__sum") <= most) | (F.col("__rn") <= keep)
+    rows = F.array_sort(F.collect_list(F.when(stays, F.struct("__rn", F.col(text).alias("t")))))
+    return sized.groupBy(group).agg(F.array_join(F.transform(rows, lambda x: x["t"]), "\n").alias("kept"), F.count_if(~stays).alias("__gone")).select(group, "kept", (F.col("__gone") > 0).alias("truncated"))
+
+
 def cosine_distance(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return 1 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, rank, distance): exact nearest by cosine, for any number of queries(query_id, query).
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: Callable[[Column, Column], Column] = cosine_distance, literal: Column | None = None) -> DataFrame:
+    """(query_id, vec_id, rank, distance): exact nearest by the metric, for any number of queries(query_id, query).
 
-    Blocks of queries meet blocks of vectors; Spark sends a side whole only below its broadcast threshold. Each task keeps the k best of its rows per query before anything is shuffled.
+    Blocks of queries meet blocks of vectors; Spark sends a side whole only below its broadcast
+    threshold, and the limit by rank reaches each task's rows before the exchange. literal
+    restricts the vectors beforehand, as a filter on their metadata.
     """
-    all_ = vectors.select("vec_id", "embedding").crossJoin(queries).select("query_id", "vec_id", cosine_distance(F.col("embedding"), F.col("query")).alias("d"))
-    local = W.partitionBy("query_id", "block").orderBy("d", "vec_id")
-    best = all_.withColumn("block", F.spark_partition_id()).withColumn("r", F.row_number().over(local)).where(F.col("r") <= k)
+    own = vectors if literal is None else vectors.where(literal)
+    all_ = own.select("vec_id", "embedding").crossJoin(queries).select("query_id", "vec_id", metric(F.col("embedding"), F.col("query")).alias("d"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("d", "vec_id")).cast("long")
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "vec_id", "rank", F.round("d", 6).alias("distance"))
+    return all_.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "vec_id", "rank", F.round("d", 6).alias("distance"))
+
+
+def candidates(total: int, wanted: int = 20) -> int:
+    """How many communities a change is held against: a quarter of all, wanted at least, 50 at most, and no more than there are."""
+    return min(min(max(wanted, total // 4), 50), total)
+
+
+def delete_nodes(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """nodes and edges without the methods and types of paths(file_path) and all their edges, and how many nodes that were."""
+    gone = nodes.where("label in ('LogicUnit', 'Component')").join(paths.select("file_path").distinct(), "file_path", "left_semi").select("id").distinct()
+    return nodes.join(gone, "id", "left_anti"), edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select(edges.columns), gone.count()
+
+
+def delete_calls(edges: DataFrame, sources: DataFrame) -> tuple[DataFrame, int]:
+    """edges without the CALLS of sources(id), and how many those were."""
+    gone = (F.col("edge_type") == "CALLS") & F.col("__gone").isNotNull()
+    marked = edges.join(sources.select(F.col("id").alias("src"), F.lit(True).alias("__gone")).distinct(), "src", "left")
+    return marked.where(~gone).select(edges.columns), marked.where(gone).count()
+
+
+def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Methods that no type has."""
+    return nodes.where("label = 'LogicUnit'").join(edges.where("edge_type = 'HAS_METHOD'").select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

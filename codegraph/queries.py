@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .operators import extract, graph, links, text
+from .operators import build, communities, docs, extract, graph, java, links, retrieval, tags, text, web
+from .sources import files, java_text
 from .sources.derived import edges, nodes, read
+from .storage import materialise
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -30,9 +35,10 @@ CALLS = "calls as (select distinct 'o' || k src, 'o' || nx dst from (select l_or
 UNIT = "unit as (select 'o' || o_orderkey id, c_nationkey community, o_orderstatus <> 'P' prod from orders join customer on o_custkey = c_custkey)"
 INSTANTIATES = "inst as (select distinct 'o' || l_orderkey src, 's' || l_suppkey dst from lineitem)"
 DEPENDS = "dep as (select distinct 'n' || c_nationkey src, 'n' || s_nationkey dst from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey where c_nationkey <> s_nationkey)"
-BLAST = f"""with recursive {CALLS}, {UNIT}, {INSTANTIATES}, {DEPENDS},
+SEEDS = f"seed as (select 'o' || o_orderkey id from orders join customer on o_custkey = c_custkey join place on c_nationkey = nk where o_orderstatus <> 'P' and (contains(fqn || '.' || c_name || '.order_' || o_orderkey, 'order_7') or contains(o_orderpriority, 'order_7')) order by fqn || '.' || c_name || '.order_' || o_orderkey limit 20)"
+BLAST = f"""with recursive {PLACE}, {CALLS}, {UNIT}, {INSTANTIATES}, {DEPENDS},
 e as (select 'CALLS' t, src, dst from calls union all select 'INSTANTIATES', src, dst from inst union all select 'DEPENDS_ON', src, dst from dep),
-seed as (select 'o' || o_orderkey id from orders where o_orderkey % 1500 = 1499 union all select 's' || s_suppkey from supplier where s_suppkey % 50 = 3),
+{SEEDS},
 walk(seed, node, hop, t) as (select id, src, 1, t from seed join e on dst = id where src <> id union select w.seed, e.src, hop + 1, w.t from walk w join e on e.dst = w.node where hop < 3 and e.src <> w.seed),
 best as (select seed, node, min(hop) hop from walk group by all),
 hit as (select w.seed, w.node affected, w.hop, min(w.t) edge_type from walk w join best b on w.seed = b.seed and w.node = b.node and w.hop = b.hop group by all),
@@ -40,6 +46,15 @@ r as (select h.seed, affected, cast(hop as bigint) hop, cast(community as bigint
 """
 
 
+def _nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """nodes() with the ids that edges() has."""
+    n = nodes(spark, sf)
+    number = lambda p: F.regexp_replace(F.regexp_extract("name", p, 1), "^0+(?=.)", "")
+    tail = number("(\\d+)$")
+    letter = F.when(F.col("label") == "Project", "r").when(F.col("label") == "Module", "n").when(F.col("kind") == "interface", "s").when(F.col("label") == "Component", "c").when(F.col("label") == "LogicUnit", "o").when(F.col("label") == "DatabaseTable", "p")
+    return n.withColumn("id", F.when(F.col("label") == "Configuration", F.concat(F.lit("b"), "name")).when(F.col("label") == "AnnotationType", F.concat(F.lit("a"), "name")).otherwise(F.concat(letter, tail)))
+
+
 def _units(spark: SparkSession, sf: str) -> DataFrame:
     rows = read(spark, sf, "orders").join(read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return rows.select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("id"), F.col("c_nationkey").cast("long").alias("community_id"), (F.col("o_orderstatus") != "P").alias("prod"))
@@ -70,44 +85,63 @@ def depends_on_edges(spark: SparkSession, sf: str) -> DataFrame:
     return edges(spark, sf, "DEPENDS_ON").select("src", "dst")
 
 
-@query(BLAST + "select seed, affected, hop, community_id, edge_type from r")
-def blast_radius_d3(spark: SparkSession, sf: str) -> DataFrame:
-    return _blast(spark, sf, "o_orderkey % 1500 = 1499", "s_suppkey % 50 = 3")
+def _all_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    seeds = read(spark, sf, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("id"))
+    return seeds.unionByName(read(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("id")))
 
 
-@query()
-def blast_radius_d3_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Every order and supplier is a seed; no order reaches any other node over these edges."""
-    return _blast(spark, sf)
-
-
-def _blast(spark: SparkSession, sf: str, orders: str = "true", suppliers: str = "true") -> DataFrame:
-    seeds = read(spark, sf, "orders").where(orders).select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("id"))
-    seeds = seeds.unionByName(read(spark, sf, "supplier").where(suppliers).select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("id")))
+def _blast(spark: SparkSession, sf: str, seeds: DataFrame) -> DataFrame:
     hit = graph.blast_radius(edges(spark, sf, "CALLS", "INSTANTIATES", "DEPENDS_ON"), seeds, 3)
     return hit.join(_units(spark, sf).where("prod"), F.col("affected") == F.col("id")).select("seed", "affected", "hop", "community_id", "edge_type")
 
 
+@query(BLAST + "select seed, affected, hop, community_id, edge_type from r")
+def blast_radius_d3(spark: SparkSession, sf: str) -> DataFrame:
+    """What changing the nodes that a name finds (twenty at most, as find_nodes) affects."""
+    seeds = retrieval.find_nodes(_nodes(spark, sf).where("label = 'LogicUnit'"), "order_7").select("id")
+    return _blast(spark, sf, seeds)
+
+
 @query(BLAST + "select seed, edge_type, count(*) n from r group by all")
 def blast_radius_edge_counts(spark: SparkSession, sf: str) -> DataFrame:
     return blast_radius_d3(spark, sf).groupBy("seed", "edge_type").agg(F.count("*").alias("n"))
 
 
+@query()
+def blast_radius_d3_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order and supplier is a seed; no order reaches any other node over these edges."""
+    return _blast(spark, sf, _all_seeds(spark, sf))
+
+
 @query()
 def blast_radius_edge_counts_all(spark: SparkSession, sf: str) -> DataFrame:
     return blast_radius_d3_all(spark, sf).groupBy("seed", "edge_type").agg(F.count("*").alias("n"))
 
 
+@query(f"with {CALLS}, {UNIT}, one as (select dst seed, src affected from calls) select seed, affected, cast(1 as bigint) hop, 'CALLS' edge_type, cast(community as bigint) community_id from one join unit on id = affected where prod")
+def blast_radius_one_hop(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours at one hop of every method, as they stand in where nothing further with a community is found."""
+    n = _nodes(spark, sf).withColumn("community_id", F.col("community_id"))
+    seeds = n.where("label = 'LogicUnit'").select("id")
+    return graph.affected_units(edges(spark, sf, "CALLS"), n, seeds, 1)
+
+
 def _walks(src: str, dst: str) -> str:
-    return f"""with {CALLS}, t as (select 'o' || o_orderkey id from orders where o_orderkey % 500 = 250),
-one as (select id target, {src} node, src || '>' || dst e from t join calls on {dst} = id),
-two as (select target, c.{src} node from one join calls c on c.{dst} = one.node where c.src || '>' || c.dst <> e)
-select target, node, cast(1 as bigint) hop from one union select target, node, cast(2 as bigint) from two"""
+    return f"""with {PLACE}, {CALLS}, name as (select 'o' || o_orderkey id, fqn || '.' || c_name || '.order_' || o_orderkey fqn from orders join customer on o_custkey = c_custkey join place on c_nationkey = nk),
+one as (select {dst} target, {src} node, src || '>' || dst e from calls),
+two as (select target, c.{src} node from one join calls c on c.{dst} = one.node where c.src || '>' || c.dst <> e),
+w as (select target, node, cast(1 as bigint) hop from one union select target, node, cast(2 as bigint) from two),
+r as (select target, node, hop, row_number() over (partition by target order by hop, fqn) rn from w join name on name.id = node)
+select target, node, hop, rn from r where rn <= 30"""
 
 
-def _walked(spark: SparkSession, sf: str, incoming: bool, targets: str = "o_orderkey % 500 = 250") -> DataFrame:
-    at = read(spark, sf, "orders").where(targets).select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("id"))
-    return graph.walks(edges(spark, sf, "CALLS"), at, 2, incoming)
+def _walked(spark: SparkSession, sf: str, incoming: bool) -> DataFrame:
+    """The first thirty of each method, by hop and fqn."""
+    at = read(spark, sf, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("id"))
+    found = graph.walks(edges(spark, sf, "CALLS"), at, 2, incoming)
+    named = found.join(_nodes(spark, sf).select(F.col("id").alias("node"), "fqn"), "node")
+    rn = F.row_number().over(W.partitionBy("target").orderBy("hop", "fqn")).cast("long")
+    return named.withColumn("rn", rn).where("rn <= 30").select("target", "node", "hop", "rn")
 
 
 @query(_walks("src", "dst"))
@@ -120,16 +154,6 @@ def callees_d2(spark: SparkSession, sf: str) -> DataFrame:
     return _walked(spark, sf, False)
 
 
-@query()
-def callers_d2_all(spark: SparkSession, sf: str) -> DataFrame:
-    return _walked(spark, sf, True, "true")
-
-
-@query()
-def callees_d2_all(spark: SparkSession, sf: str) -> DataFrame:
-    return _walked(spark, sf, False, "true")
-
-
 @query(f"with {CALLS}, {UNIT}, c as (select a.community community_id, 'CALLS' edge_type, b.community target_community, count(*) cnt from calls join unit a on a.id = src join unit b on b.id = dst where a.community <> b.community group by all), r as (select *, row_number() over (partition by community_id order by cnt desc, edge_type, target_community) rn from c) select cast(community_id as bigint) community_id, edge_type, cast(target_community as bigint) target_community, cnt, rn from r where rn <= 10")
 def boundary_edges(spark: SparkSession, sf: str) -> DataFrame:
     return graph.boundary(edges(spark, sf, "CALLS"), _units(spark, sf).select("id", "community_id"))
@@ -140,20 +164,13 @@ def modularity_by_nation(spark: SparkSession, sf: str) -> DataFrame:
     return graph.modularity(edges(spark, sf, "CALLS"), _units(spark, sf).select("id", "community_id"), 1.5)
 
 
-@query("with recursive e as (select distinct 'c' || o_custkey a, 'p' || l_partkey b from lineitem join orders on l_orderkey = o_orderkey), b as (select a src, b dst from e union select b, a from e), w(entry, node, n) as (select 'c' || c_custkey, 'c' || c_custkey, 1 from customer where c_custkey <= 10 union select entry, dst, n + 1 from w join b on src = node where n < 4) select entry, node sink, cast(min(n) as bigint) path_length from w where node in (select 'p' || p_partkey from part where p_partkey <= 10) and n > 1 group by all")
-def flow_path_lengths(spark: SparkSession, sf: str) -> DataFrame:
-    entry = read(spark, sf, "customer").where("c_custkey <= 10").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("id"))
-    sink = read(spark, sf, "part").where("p_partkey <= 10").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("id"))
-    return graph.path_lengths(edges(spark, sf, "QUERIES_TABLE"), entry, sink, 4)
-
-
-#: The reference's flow relationships that the derived graph has.
+#: The flow relationships that the derived graph has.
 FLOWS = ("CALLS", "DEPENDS_ON", "HAS_METHOD", "DECLARES", "QUERIES_TABLE", "READS_CONFIG")
 
 
 @query()
 def flow_shortest_paths(spark: SparkSession, sf: str) -> DataFrame:
-    """The reference's pairs: at most 200 by fqn, of entry points (as tag_entry_points tags them) and data sinks, over all flow edges, up to 15 nodes.
+    """At most 200 pairs by fqn, of entry points (as tag_entry_points tags them) and data sinks, over all flow edges, up to 15 nodes.
 
     Sinks are the components that query a table, and their methods.
     """
@@ -171,8 +188,8 @@ def flow_shortest_paths(spark: SparkSession, sf: str) -> DataFrame:
     asks = owner.join(edges(spark, sf, "QUERIES_TABLE"), F.col("id") == F.col("src"), "left_semi")
     sink = asks.select("id", "fqn").unionByName(methods(asks).select("id", "fqn"))
     pairs = graph.first_pairs(entry, sink)
-    found = graph.path_lengths(edges(spark, sf, *FLOWS), pairs.select(F.col("entry").alias("id")), pairs.select(F.col("sink").alias("id")), 15)
-    return found.join(pairs, ["entry", "sink"]).select("entry", "sink", "path_length")
+    found = graph.shortest_paths(edges(spark, sf, *FLOWS), pairs, 15)
+    return found.select("entry", "sink", "path_length", F.array_join("path", ">").alias("path"))
 
 
 @query("select 'o' || o_orderkey id from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)")
@@ -222,63 +239,87 @@ def budget_keep_first(spark: SparkSession, sf: str) -> DataFrame:
     return text.budget(read(spark, sf, "documents").select("lang", "doc_id", "text"), "lang", ["doc_id"], C.token_count(F.col("text")), 2400, True).drop("text")
 
 
-KNN = "with d as (select q.vec_id query_id, v.vec_id, v.label, 1 - list_cosine_similarity(v.embedding::double[], q.embedding::double[]) d from embeddings v, embeddings q where q.vec_id < 10), r as (select *, row_number() over (partition by query_id order by d, vec_id) rank from d) "
+KNN = "with d as (select q.vec_id query_id, v.vec_id, v.label, 1 - list_cosine_similarity(v.embedding::double[], q.embedding::double[]) d from embeddings v, embeddings q where q.vec_id % 100 = 0), r as (select *, row_number() over (partition by query_id order by d, vec_id) rank from d) "
 
 
-@query(KNN + "select query_id, vec_id, rank, round(d, 6) distance from r where rank <= 10")
-def knn_cosine(spark: SparkSession, sf: str) -> DataFrame:
+def _near(spark: SparkSession, sf: str, k: int, **more) -> DataFrame:
+    """One vector in a hundred is a query, so that queries grow with the input."""
     v = read(spark, sf, "embeddings")
-    return text.nearest(v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), v, 10)
+    return text.nearest(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), v, k, **more)
 
 
-@query(KNN + "select query_id, vec_id, cast(greatest(0, round_even((1 - round(d, 6) / 2) * 100, 0)) as bigint) score from r where rank <= 20")
-def question_scores(spark: SparkSession, sf: str) -> DataFrame:
-    v = read(spark, sf, "embeddings")
-    near = text.nearest(v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), v, 20)
-    return near.select("query_id", "vec_id", C.distance_score(F.col("distance")).alias("score"))
+@query(KNN + "select query_id, vec_id, rank, round(d, 6) distance from r where rank <= 10")
+def knn_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    return _near(spark, sf, 10)
 
 
-#: One vector in a hundred is a query, so that queries grow with the input.
-KNN_EACH = KNN.replace("q.vec_id < 10", "q.vec_id % 100 = 0")
+@query("with d as (select q.vec_id query_id, v.vec_id, list_sum([(x[1]::double - x[2]::double) * (x[1]::double - x[2]::double) for x in list_zip(v.embedding, q.embedding)]) d from embeddings v, embeddings q where q.vec_id % 100 = 0), r as (select *, row_number() over (partition by query_id order by d, vec_id) rank from d) select query_id, vec_id, rank, round(d, 6) distance from r where rank <= 10")
+def knn_squared_l2(spark: SparkSession, sf: str) -> DataFrame:
+    return _near(spark, sf, 10, metric=C.squared_l2)
 
 
-def _near_each(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    v = read(spark, sf, "embeddings")
-    return text.nearest(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), v, k)
+@query(KNN.replace("where q.vec_id % 100 = 0", "where q.vec_id % 100 = 0 and v.label = 3") + "select query_id, vec_id, rank, round(d, 6) distance from r where rank <= 5")
+def knn_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    return _near(spark, sf, 5, literal=F.col("label") == 3)
 
 
-@query(KNN_EACH + "select query_id, vec_id, rank, round(d, 6) distance from r where rank <= 10")
-def knn_cosine_hundredth(spark: SparkSession, sf: str) -> DataFrame:
-    return _near_each(spark, sf, 10)
+@query(KNN + "select query_id, vec_id, cast(greatest(0, round_even((1 - round(d, 6) / 2) * 100, 0)) as bigint) score from r where rank <= 20 and round_even((1 - round(d, 6) / 2) * 100, 0) > 0")
+def question_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return _near(spark, sf, 20).select("query_id", "vec_id", C.distance_score(F.col("distance")).alias("score")).where("score > 0")
+
+
+#: Written out again for the oracle, apart from what the engine uses.
+ASKED = """q as (select conv_id id, turn, text from conversations where role = 'user' union all select c_custkey, -1, ['Show me ', 'Is it safe to remove ', 'Does it support ', 'What is the blast radius of ', 'Walk me through ', 'Tell of ', 'overall architecture near ', 'Why JWT_TOKEN in ', 'Where is "max_size" for ', 'How is login evaluated by '][c_custkey % 10 + 1] || ['UserService', 'org.acme.core.api', 'getUser of OrderStore', c_mktsegment, 'it'][c_custkey % 5 + 1] from customer)"""
+INTENT = r"""case
+when regexp_matches(l, '\b(show me|show the|give me|display|print|what does .+ look like|how is .+ implemented|implementation of|source of|code for|source code of|how does .+ work|read the|view the|open the)\b') then 'code'
+when regexp_matches(l, '\b(can i|is it safe|safely|should i|ok to|okay to|safe to|remove|delete|drop|deprecate|eliminate|is .+ used|still used|unused|dead code)\b') then 'safety'
+when regexp_matches(l, '\b(does this|does it|is this|is it|can .+ be done|can i .+ without|support|supports|enforce|enforces|require|requires|mandatory|optional|without .+ token|possible to|allowed to|is .+ enforced|is .+ required|is .+ checked|is .+ validated|can .+ bypass|can .+ skip)\b') then 'capability'
+when contains(l, 'blast radius') or contains(l, 'what breaks') or contains(l, 'what calls') or contains(l, 'callers') or contains(l, 'what changes') or contains(l, 'impact') or contains(l, 'dependency') or contains(l, 'depends') then 'impact'
+when regexp_matches(l, '\b(story|full story|full flow|end.to.end|start.to.end|e2e flow|walk me through|walkthrough|walk through|trace through|how does .+ work|how do .+ work|how is .+ implemented|how does .+ get |how is .+ evaluated|how does .+ evaluate|how are .+ evaluated|how does .+ run|how does .+ execute|how does .+ process|how does .+ handle|how does .+ perform|explain how|explain the flow|explain the process|explain the sequence|from start|beginning to end|step by step|step-by-step|full picture|overall flow|full journey|complete flow|how this implements|how the .+ implements|how it implements)\b') then 'narrative'
+else 'general' end"""
+NAMES = r"""list_distinct(list_concat(list_concat(regexp_extract_all(text, '\b([A-Z][a-z]+(?:[A-Z][a-z0-9]+)+)\b', 1), regexp_extract_all(text, '\b([a-z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)\b', 1)), list_concat(regexp_extract_all(text, '["'']([A-Za-z][A-Za-z0-9_$.]+)["'']', 1), regexp_extract_all(text, '\b([a-z][a-z0-9]+\.[a-z][a-z0-9]+(?:\.[a-z][a-z0-9]+)*)\b', 1))))"""
+SYMBOLS = r"""len(list_distinct(list_concat(regexp_extract_all(text, '\b([A-Z][A-Z0-9_]{2,})\b', 1), regexp_extract_all(text, '["'']([A-Za-z_][A-Za-z0-9_]{2,})["'']', 1))))"""
+WHOLE = "list_has_any([contains(lower(text), x) for x in ['overarching architecture', 'overall architecture', 'global architecture', 'big picture', 'full architecture', 'entire system', 'whole system', 'system overview', 'architecture overview', 'high-level architecture', 'complete architecture', 'architectural overview', 'how does the system work', 'what does the system do', 'describe the architecture', 'how is the system structured', 'codebase overview']], [true])"
+
+
+def _questions(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, turn, text): what users say in conversations, and a question for each customer in ten wordings."""
+    said = read(spark, sf, "conversations").where("role = 'user'").select(F.col("conv_id").alias("id"), "turn", "text")
+    heads = ["Show me ", "Is it safe to remove ", "Does it support ", "What is the blast radius of ", "Walk me through ", "Tell of ", "overall architecture near ", "Why JWT_TOKEN in ", 'Where is "max_size" for ', "How is login evaluated by "]
+    head, pick = F.array(*map(F.lit, heads)), lambda a, n: F.get(a, (F.col("c_custkey") % n).cast("int"))
+    tail = F.array(F.lit("UserService"), F.lit("org.acme.core.api"), F.lit("getUser of OrderStore"), F.col("c_mktsegment"), F.lit("it"))
+    asked = read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.lit(-1).cast("long").alias("turn"), F.concat(pick(head, 10), pick(tail, 5)).alias("text"))
+    return said.unionByName(asked)
+
+
+@query(f"with {ASKED}, s as (select id, turn, lower(text) l from q) select id, turn, {INTENT} intent from s")
+def detect_intent(spark: SparkSession, sf: str) -> DataFrame:
+    return _questions(spark, sf).select("id", "turn", C.intent(F.col("text")).alias("intent"))
 
 
-@query(KNN_EACH + "select query_id, vec_id, cast(greatest(0, round_even((1 - round(d, 6) / 2) * 100, 0)) as bigint) score from r where rank <= 20")
-def question_scores_hundredth(spark: SparkSession, sf: str) -> DataFrame:
-    return _near_each(spark, sf, 20).select("query_id", "vec_id", C.distance_score(F.col("distance")).alias("score"))
+@query(f"with {ASKED} select id, turn, cast({SYMBOLS} as bigint) n_symbols, {WHOLE}::int::bigint is_global from q")
+def question_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    return _questions(spark, sf).select("id", "turn", F.size(C.symbols(F.col("text"))).cast("long").alias("n_symbols"), C.is_global(F.col("text")).cast("long").alias("is_global"))
 
 
-INTENT = "case " + " ".join(f"when regexp_matches(lower(text), '{w}') then '{n}'" for n, w in C.INTENTS) + " else 'general' end"
+ROUTED = f"with {ASKED}, n as (select id, turn, text, {SYMBOLS} s, {NAMES} e, {WHOLE} w from q), b as (select *, coalesce(list_max([len(x) - len(replace(x, '.', '')) for x in e]), 0) d, case when w then 'global' when s > 0 then 'symbolic' when len(e) > 0 then 'exact' else 'conceptual' end bucket from n), c as (select *, round(case when w then 0.95 when s > 0 then least(1.0::double, 0.6::double + 0.1::double * s) when len(e) > 0 then least(1.0::double, 0.5::double + 0.1::double * len(e) + 0.04::double * d) else 0.3 end, 6)::double confidence from b) "
 
 
-@query(f"select conv_id, turn, {INTENT} intent from conversations where role = 'user'")
-def detect_intent(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", C.intent(F.col("text")).alias("intent"))
+@query(ROUTED + "select id, turn, bucket, confidence, coalesce((select string_agg(x, ',' order by len(x) desc, x) from unnest(e) t(x)), '') entities from c")
+def classify_questions(spark: SparkSession, sf: str) -> DataFrame:
+    bucket, sure = C.classify(F.col("text"))
+    return _questions(spark, sf).select("id", "turn", bucket.alias("bucket"), sure.alias("confidence"), F.array_join(C.entities(F.col("text")), ",").alias("entities"))
 
 
-@query(f"with s as (select conv_id, turn, lower(text) l, len(list_distinct(list_concat(regexp_extract_all(text, '\\b([A-Z][A-Z0-9_]{{2,}})\\b', 1), regexp_extract_all(text, '[\"'']([A-Za-z_][A-Za-z0-9_]{{2,}})[\"'']', 1)))) n from conversations where role = 'user') select conv_id, turn, cast(n as bigint) n_symbols, regexp_matches(l, '{C.GLOBAL_WORDS}')::int::bigint is_global from s")
-def question_symbols(spark: SparkSession, sf: str) -> DataFrame:
-    q = read(spark, sf, "conversations").where("role = 'user'")
-    return q.select("conv_id", "turn", F.size(C.symbols(F.col("text"))).cast("long").alias("n_symbols"), F.lower("text").rlike(C.GLOBAL_WORDS).cast("long").alias("is_global"))
+@query(ROUTED + r"select id, turn, case when bucket in ('global', 'symbolic') then bucket when bucket = 'exact' and (confidence >= 0.7 or list_has_any([regexp_full_match(x, '[A-Z][a-z]+(?:[A-Z][a-z0-9]+)+') for x in e], [true])) then 'exact' else 'semantic' end route from c")
+def route_dispatch(spark: SparkSession, sf: str) -> DataFrame:
+    return _questions(spark, sf).select("id", "turn", C.dispatch(F.col("text")).alias("route"))
 
 
-@query()
-def classify_questions(spark: SparkSession, sf: str) -> DataFrame:
-    bucket, sure = C.route(F.col("text"))
-    q = read(spark, sf, "conversations").where("role = 'user'")
-    return q.select("conv_id", "turn", bucket.alias("bucket"), sure.alias("confidence"), F.array_join(C.entities(F.col("text")), ",").alias("entities"))
+PATHS = "with u as (select page_id, case when regexp_matches(url, 'https?://[^/]+/.') then regexp_extract(url, 'https?://[^/]+(/.+)', 1) when regexp_matches(url, '^https?://') then '' when starts_with(url, '/') then url else '/' || url end u from pages), p as (select page_id, rtrim(split_part(u, '?', 1), '/') p from u)"
 
 
-@query("with p as (select page_id, regexp_replace(regexp_replace(regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*', ''), '[?#].*$', ''), '/+$', '') p from pages) select page_id, case when p = '' then '/' else p end path from p")
+@query(PATHS + " select page_id, case when p = '' then '/' else p end path from p")
 def url_paths(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "pages").select("page_id", C.url_path(F.col("url")).alias("path"))
 
@@ -310,60 +351,114 @@ def prefix_join_edges(spark: SparkSession, sf: str) -> DataFrame:
     return links.prefix_join(n.where("label = 'LogicUnit'").select(F.col("fqn").alias("name")), keys)
 
 
-@query(f"with {PLACE}, m as (select c_nationkey id, 'Component' label, fqn || '.' || c_name fqn from customer join place on c_nationkey = nk union all select s_nationkey, 'Component', fqn || '.' || s_name from supplier join place on s_nationkey = nk union all select c_nationkey, 'LogicUnit', fqn || '.' || c_name || '.order_' || o_orderkey from orders join customer on o_custkey = c_custkey join place on c_nationkey = nk) select cast(id as bigint) community_id, label, count(*) n, min(fqn) first_fqn from m group by all")
+@query(f"with {PLACE}, m as (select c_nationkey id, 'Component' label, fqn || '.' || c_name fqn from customer join place on c_nationkey = nk union all select s_nationkey, 'Component', fqn || '.' || s_name from supplier join place on s_nationkey = nk union all select c_nationkey, 'LogicUnit', fqn || '.' || c_name || '.order_' || o_orderkey from orders join customer on o_custkey = c_custkey join place on c_nationkey = nk) select cast(id as bigint) community_id, label, fqn, row_number() over (partition by id order by label desc, fqn) rn from m")
 def community_members(spark: SparkSession, sf: str) -> DataFrame:
-    return nodes(spark, sf).where("label in ('LogicUnit', 'Component')").groupBy("community_id", "label").agg(F.count("*").alias("n"), F.min("fqn").alias("first_fqn"))
+    return communities.members(nodes(spark, sf))
 
 
-@query(ORDERS + "select fqn, doc docstring from o where contains(fqn, 'order_7') or contains(doc, 'order_7') order by fqn limit 20")
-def find_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    found = nodes(spark, sf).where("label = 'LogicUnit' and (contains(fqn, 'order_7') or contains(docstring, 'order_7'))")
-    return found.orderBy("fqn").limit(20).select("fqn", "docstring")
+@query(f"with {PLACE}, m as (select c_nationkey id, 0 later, fqn || '.' || c_name fqn from customer join place on c_nationkey = nk union all select s_nationkey, 0, fqn || '.' || s_name from supplier join place on s_nationkey = nk union all select c_nationkey, 1, fqn || '.' || c_name || '.order_' || o_orderkey from orders join customer on o_custkey = c_custkey join place on c_nationkey = nk), r as (select *, row_number() over (partition by id order by later, fqn) rn from m) select cast(id as bigint) community_id, string_agg(fqn, ',' order by rn) top_fqns from r where rn <= 5 group by 1")
+def community_top_names(spark: SparkSession, sf: str) -> DataFrame:
+    return communities.top_names(nodes(spark, sf)).select("community_id", F.array_join("top_fqns", ",").alias("top_fqns"))
 
 
-@query(ORDERS + ", u as (select *, 10 * row_number() over (partition by c_custkey order by o_orderkey) s from o), h as (select o_orderkey hit_id, c_custkey, s + 5 line from u where o_orderkey % 10 = 0 and o_orderstatus <> 'P'), c as (select hit_id, u.fqn, 9 span from h join u on u.c_custkey = h.c_custkey and u.o_orderstatus <> 'P' and line between s and s + 9 union all select hit_id, u.cfqn, 999 from h join (select distinct c_custkey, cfqn from o) u using (c_custkey) where line between 1 and 1000), r as (select hit_id, fqn, row_number() over (partition by hit_id order by span, fqn) rn from c) select * from r where rn <= 5")
-def grep_to_graph_bridge(spark: SparkSession, sf: str) -> DataFrame:
-    return _bridge(spark, sf, "hit_id % 10 = 0")
+@query("select (select count(distinct x) from (select c_nationkey x from customer union select s_nationkey from supplier)) communities, cast(0 as bigint) without_community")
+def community_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return communities.summary(nodes(spark, sf))
+
+
+@query("select distinct cast(c_nationkey as bigint) community_id from orders join customer on o_custkey = c_custkey where o_totalprice > 400000")
+def affected_communities(spark: SparkSession, sf: str) -> DataFrame:
+    changed = read(spark, sf, "orders").where("o_totalprice > 400000").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("id"))
+    return communities.affected(_nodes(spark, sf), changed)
+
+
+@query(f"with {CALLS}, {UNIT}, {DEPENDS}, e as (select least(src, dst) a, greatest(src, dst) b from calls union all select least(src, dst), greatest(src, dst) from dep union all select 'c' || o_custkey, 'o' || o_orderkey from orders union all select 'c' || c_custkey, 'n' || c_nationkey from customer union all select 'n' || s_nationkey, 's' || s_suppkey from supplier) select a, b, cast(count(*) as double) w from e group by all")
+def community_projection(spark: SparkSession, sf: str) -> DataFrame:
+    """Undirected links that communities are found in; two-way DEPENDS_ON counts twice."""
+    return communities.projection(edges(spark, sf), _nodes(spark, sf).select("id", "label"))
 
 
 @query()
-def grep_to_graph_bridge_all(spark: SparkSession, sf: str) -> DataFrame:
-    return _bridge(spark, sf, "true")
+def leiden_communities(spark: SparkSession, sf: str) -> DataFrame:
+    links_ = communities.projection(edges(spark, sf, "HAS_METHOD", "DECLARES", "CALLS"), _nodes(spark, sf).select("id", "label"))
+    found, score, _ = communities.leiden(links_, 1.5, 3, sweeps=3)
+    return found.select("id", "community_id").withColumn("modularity", F.lit(round(score, 6)))
+
+
+@query("with recursive e as (select 'c' || c_custkey a, 'n' || c_nationkey b from customer union all select 's' || s_suppkey, 'n' || s_nationkey from supplier), n as (select b, min(a) least from (select a, b from e union all select b, b from e) group by 1) select a id, least component from e join n using (b) union all select b, least from n")
+def connected_parts(spark: SparkSession, sf: str) -> DataFrame:
+    d = edges(spark, sf, "DECLARES").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    return communities.connected_components(d)
+
+
+@query("select 'ANNOTATED_WITH' edge_type union all select 'CONTAINS' union all select 'INSTANTIATES' union all select 'QUERIES_TABLE' union all select 'READS_CONFIG'")
+def types_left_out(spark: SparkSession, sf: str) -> DataFrame:
+    return communities.skipped_types(edges(spark, sf))
+
+
+@query("select 'CONTAINS' edge_type, 'r' || n_regionkey src, 'n' || n_nationkey dst from nation union all select 'DECLARES', 'n' || c_nationkey, 'c' || c_custkey from customer union all select 'DECLARES', 'n' || s_nationkey, 's' || s_suppkey from supplier union all select 'HAS_METHOD', 'c' || o_custkey, 'o' || o_orderkey from orders union all select 'ANNOTATED_WITH', 'c' || c_custkey, 'a' || c_mktsegment from customer")
+def hierarchy_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return edges(spark, sf, "CONTAINS", "DECLARES", "HAS_METHOD", "ANNOTATED_WITH")
+
+
+@query("select 'o' || o_orderkey method, count(*) - 1 siblings from (select a.o_orderkey, b.o_orderkey other from orders a join orders b on a.o_custkey = b.o_custkey) group by 1")
+def sibling_counts(spark: SparkSession, sf: str) -> DataFrame:
+    own = edges(spark, sf, "HAS_METHOD")
+    size = own.groupBy("src").agg((F.count("*") - 1).alias("siblings"))
+    return own.join(size, "src").select(F.col("dst").alias("method"), "siblings")
+
+
+FIND = f"with {PLACE}, a as (select fqn || '.' || c_name || '.order_' || o_orderkey fqn, 'order_' || o_orderkey as name, o_orderpriority doc from orders join customer on o_custkey = c_custkey join place on c_nationkey = nk where o_orderstatus <> 'P' union all select fqn || '.' || c_name, c_name, c_mktsegment from customer join place on c_nationkey = nk union all select fqn || '.' || s_name, s_name, null from supplier join place on s_nationkey = nk)"
+
+
+@query(FIND + " select fqn, name from a where contains(fqn, 'order_7') or name = 'order_7' or ends_with(fqn, '.order_7') or contains(coalesce(doc, ''), 'order_7') order by fqn limit 20")
+def find_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.find_nodes(_nodes(spark, sf), "order_7").select("fqn", "name")
+
+
+@query(FIND + " select fqn, name from a where doc = 'BUILDING' order by fqn limit 20")
+def find_by_docstring(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.find_nodes(_nodes(spark, sf), "BUILDING").select("fqn", "name")
 
 
-def _bridge(spark: SparkSession, sf: str, wanted: str) -> DataFrame:
+@query(f"with {PLACE} select fqn || '.' || c_name fqn from customer join place on c_nationkey = nk where c_acctbal > 0")
+def find_by_fqns(spark: SparkSession, sf: str) -> DataFrame:
+    n = _nodes(spark, sf)
+    wanted = read(spark, sf, "customer").where("c_acctbal > 0").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("id")).join(n, "id").select("fqn")
+    return retrieval.find_by_fqns(n, wanted).select("fqn")
+
+
+@query(f"with {PLACE}, a as (select n_name || '/src/' || case when o_orderstatus = 'P' then 'test' else 'main' end || '/java/' || c_name p from orders join customer on o_custkey = c_custkey join place on c_nationkey = nk) select case when contains(p, 'src/main/java') then 'production' else 'test' end place, count(*) n from a group by 1")
+def places_of_methods(spark: SparkSession, sf: str) -> DataFrame:
+    return nodes(spark, sf).where("label = 'LogicUnit'").groupBy(files.place(F.col("file_path")).alias("place")).agg(F.count("*").alias("n"))
+
+
+@query(ORDERS + ", u as (select *, 10 * row_number() over (partition by c_custkey order by o_orderkey) s from o), h as (select o_orderkey hit_id, c_custkey, s + 5 line from u where o_orderstatus <> 'P'), c as (select hit_id, u.fqn, 9 span from h join u on u.c_custkey = h.c_custkey and u.o_orderstatus <> 'P' and line between s and s + 9 union all select hit_id, u.cfqn, 999 from h join (select distinct c_custkey, cfqn from o) u using (c_custkey) where line between 1 and 1000), r as (select hit_id, fqn, row_number() over (partition by hit_id order by span, fqn) rn from c) select * from r where rn <= 5")
+def grep_to_graph_bridge(spark: SparkSession, sf: str) -> DataFrame:
+    return _bridge(spark, sf)
+
+
+def _bridge(spark: SparkSession, sf: str) -> DataFrame:
     spans = nodes(spark, sf).where("label in ('LogicUnit', 'Component')")
     key = F.regexp_extract("fqn", "order_(\\d+)$", 1).cast("long")
-    hits = spans.where("label = 'LogicUnit' and contains(file_path, 'src/main/java')").select(key.alias("hit_id"), "file_path", (F.col("start_line") + 5).alias("line")).where(wanted)
+    hits = spans.where("label = 'LogicUnit' and contains(file_path, 'src/main/java')").select(key.alias("hit_id"), "file_path", (F.col("start_line") + 5).alias("line"))
     return links.enclosing(hits, spans.select("fqn", "file_path", "start_line", "end_line"))
 
 
-@query(ORDERS + ", t as (select case when seg in ('BUILDING', 'MACHINERY') then 'annotation' when contains(cfqn, '7') then 'name' end rule, doc from o) select rule, count(*) n from t where rule is not null and (contains(doc, 'URGENT') or contains(doc, 'HIGH')) group by 1")
-def tag_entry_points(spark: SparkSession, sf: str) -> DataFrame:
-    """Methods of tagged components, by the first rule that tags the component."""
-    rule = links.first_rule([("annotation", F.col("docstring").isin("BUILDING", "MACHINERY")), ("name", F.col("fqn").contains("7"))])
-    n = nodes(spark, sf)
-    tagged = n.where("label = 'Component' and kind = 'class'").select(F.col("fqn").alias("owner"), rule.alias("rule")).where("rule is not null")
-    units = n.where("label = 'LogicUnit'").where(F.col("docstring").contains("URGENT") | F.col("docstring").contains("HIGH")).select(F.regexp_replace("fqn", "\\.order_\\d+$", "").alias("owner"))
-    return units.join(tagged, "owner").groupBy("rule").agg(F.count("*").alias("n"))
-
-
 DOMAINS = [("law", ["license", "copyright", "rights"]), ("web", ["http", "www", "click"]), ("food", ["water", "bread", "wine"])]
 SCORES = ", ".join(f"{' + '.join(f'contains(lower(text), {chr(39)}{w}{chr(39)})::int' for w in words)} {n}" for n, words in DOMAINS)
 
 
-@query(f"with s as (select doc_id, {SCORES} from documents where text is not null) select doc_id, case when law > 0 and law >= web and law >= food then 'law' when web > 0 and web >= food then 'web' when food > 0 then 'food' else 'Other' end as domain, cast(greatest(law, web, food) as bigint) score from s")
+@query(f"with s as (select doc_id, {SCORES} from (select doc_id, coalesce(text, '') as text from documents)) select doc_id, case when law > 0 and law >= web and law >= food then 'law' when web > 0 and web >= food then 'web' when food > 0 then 'food' else 'Other' end as domain, cast(greatest(law, web, food) as bigint) score from s")
 def domain_scores(spark: SparkSession, sf: str) -> DataFrame:
     name, score = links.keyword_domain(F.col("text"), DOMAINS, "Other")
-    return read(spark, sf, "documents").where("text is not null").select("doc_id", name.alias("domain"), score.alias("score"))
-
-
-TEMPLATES = ["/{a}", "/{a}/{b}", "/{a}/{b}/{c}"]
+    return read(spark, sf, "documents").select("doc_id", name.alias("domain"), score.alias("score"))
 
 
-@query(ORACLE["url_paths"].split(" select page_id, case")[0] + " select page_id, case when regexp_full_match(p, '/[^/]+') then '/{a}' when regexp_full_match(p, '/[^/]+/[^/]+') then '/{a}/{b}' when regexp_full_match(p, '/[^/]+/[^/]+/[^/]+') then '/{a}/{b}/{c}' end as template from p")
+@query(PATHS + " select page_id, case when regexp_full_match(p, '/[^/]+') then '/{a}' when regexp_full_match(p, '/[^/]+/[^/]+') then '/{a}/{b}' when regexp_full_match(p, '/[^/]+/[^/]+/[^/]+') then '/{a}/{b}/{c}' end as template from p where regexp_full_match(p, '(/[^/]+){1,3}')")
 def endpoint_match(spark: SparkSession, sf: str) -> DataFrame:
-    return url_paths(spark, sf).select("page_id", links.first_match(F.col("path"), TEMPLATES).alias("template"))
+    registry = spark.createDataFrame([(1, "/{a}"), (2, "/{a}/{b}"), (3, "/{a}/{b}/{c}")], "ord int, path string")
+    return web.match_endpoints(url_paths(spark, sf), registry).select("page_id", "template")
 
 
 @query("select page_id as file, name from (select page_id, unnest(list_distinct(regexp_extract_all(html, '<(\\w[\\w.-]*)[>\\s/]', 1))) as name from pages)")
@@ -371,49 +466,190 @@ def xml_elements(spark: SparkSession, sf: str) -> DataFrame:
     return extract.names(read(spark, sf, "pages").select(F.col("page_id").alias("file"), F.col("html").alias("text")), extract.XML_ELEMENT)
 
 
-FILES = [("a.sql", "create table if not exists app.users (id int);\nCREATE TABLE `Orders` (x int)"), ("b.toml", "a = 1\n[server]\nport = 1\n# c = 2\n[db.main]\nurl = \"x\""), ("c.yaml", "spring:\n  name: x\nserver.port: 1"), ("D.java", "@GetMapping(\"/a/{id}\") @PostMapping('/b')"), ("t", "x.IoException: no\n  at com.acme.A.run(A.java:12)\n  at org.other.B.go(B.java:3)\n  at com.acme.C$D.<init>(C.java:7)")]
-REPLIES = [(1, "```json\n{\"score\": 130}\n```"), (2, "{\"score\": 55, \"reason\": \"x\"}"), (3, "no idea"), (4, "{\"score\": -4}"), (5, "")]
+#: Sources, scripts and configuration of two small repositories, kept beside the package.
+SAMPLES = str(Path(__file__).resolve().parent / "samples")
 
 
-def _files(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FILES, "file string, text string")
+def _samples(spark: SparkSession) -> DataFrame:
+    return files.files(spark, SAMPLES)
 
 
-def _fixed(*rows: tuple) -> str:
-    return "(values " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x}::bigint" for x in r) + ")" for r in rows) + ")"
+@query()
+def sql_tables(spark: SparkSession, sf: str) -> DataFrame:
+    return files.sql_tables(_samples(spark))
 
 
-@query(f"select * from {_fixed(('a.sql', 'USERS'), ('a.sql', 'ORDERS'))} t(file, name)")
-def sql_tables(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.names(_files(spark), extract.CREATE_TABLE, True)
+@query()
+def config_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return files.config_keys(_samples(spark))
+
+
+@query()
+def pom_modules(spark: SparkSession, sf: str) -> DataFrame:
+    d = F.transform("dependencies", lambda x: F.concat_ws(":", x["group_id"], x["artifact_id"], x["version"], x["scope"]))
+    return files.modules(_samples(spark)).select("repo", "group_id", "artifact_id", "version", F.array_join(d, ",").alias("dependencies"))
+
+
+def _linked(spark: SparkSession, source: DataFrame) -> tuple[DataFrame, DataFrame]:
+    types = materialise(java.parse(source), "types")
+    return types, materialise(java.units(types), "units")
+
+
+@query()
+def sample_endpoints(spark: SparkSession, sf: str) -> DataFrame:
+    table = _samples(spark).where("file_path like '%.java'")
+    return web.endpoints(table, *_linked(spark, table)).select("path", "verb", "handler_fqn")
+
+
+@query()
+def sample_remote_calls(spark: SparkSession, sf: str) -> DataFrame:
+    table = _samples(spark).where("file_path like '%.java'")
+    types, units = _linked(spark, table)
+    return web.remote_calls(units, web.endpoints(table, types, units)).select("caller_fqn", "callee_fqn", "verb", "path")
+
+
+@query()
+def sample_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """(edge_type, src, dst) of the two repositories by fqn or name: all kinds of edges."""
+    table = materialise(_samples(spark), "samples")
+    source = table.where("file_path like '%.java'")
+    types, units = _linked(spark, source)
+    modules, tables, keys = files.modules(table), files.sql_tables(table), files.config_keys(table)
+    n = build.nodes(types, units, modules, tables, keys).select("id", F.coalesce("fqn", "name").alias("n"))
+    found = build.edges(types, units, modules, tables, keys, web.table_uses(source, types, tables), web.config_uses(source, types, keys), web.remote_calls(units, web.endpoints(source, types, units)))
+    return found.join(n.toDF("src", "a"), "src").join(n.toDF("dst", "b"), "dst").select("edge_type", F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+
+
+# Sources written from the tables: parsed and linked whole, with the outcome in SQL.
+CLASS = "cls as (select c_custkey, c_mktsegment seg, c_nationkey, 'r' || n_regionkey || '.n' || n_nationkey || '.C' || c_custkey fqn from customer join nation on c_nationkey = n_nationkey), meth as (select o_orderkey, o_custkey, o_orderstatus st, o_orderpriority pr, fqn, seg, fqn || '.order' || o_orderkey mfqn, row_number() over (partition by o_custkey order by o_orderkey) i from orders join cls on c_custkey = o_custkey)"
 
 
-@query(f"select * from {_fixed(('b.toml', '[server]'), ('b.toml', 'server.port'), ('b.toml', '[db.main]'), ('b.toml', 'db.main.url'))} t(file, key)")
-def toml_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.toml_keys(_files(spark).where("file like '%.toml'"))
+def _java(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    table = materialise(java_text.sources(spark, sf), "sources")
+    return table, *_linked(spark, table)
 
 
-@query(f"select * from {_fixed(('c.yaml', 'spring'), ('c.yaml', 'server.port'))} t(file, name)")
-def yaml_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.names(_files(spark).where("file like '%.yaml'"), extract.YAML_KEY)
+@query(f"with {CLASS} select fqn, 'class' kind, case seg when 'AUTOMOBILE' then '@Path(\"/base\")' when 'BUILDING' then '@RestController' when 'FURNITURE' then '@Repository' when 'HOUSEHOLD' then '@Service' else '@Controller' end annotation, 3 + 1 start_line, coalesce(n, 0) n_units from cls left join (select o_custkey, count(*) n from orders group by 1) on c_custkey = o_custkey")
+def java_types(spark: SparkSession, sf: str) -> DataFrame:
+    return _java(spark, sf)[1].select("fqn", "kind", F.array_join("annotations", ",").alias("annotation"), "start_line", F.size("logic_units").cast("long").alias("n_units"))
 
 
-@query(f"select * from {_fixed(('D.java', 'GET', '/a/{id}'), ('D.java', 'POST', '/b'))} t(file, verb, path)")
-def endpoints(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.endpoints(_files(spark))
+@query(f"with {CLASS} select mfqn fqn, fqn as owner, left(sha256('n' || c_nationkey || '::' || mfqn), 16) geid, 'long' return_type, cast(3 + 5 * i as int) start_line, cast(4 + 5 * i as int) end_line from meth join (select c_custkey k, c_nationkey from customer) on k = o_custkey")
+def java_units(spark: SparkSession, sf: str) -> DataFrame:
+    return _java(spark, sf)[2].select("fqn", "owner", "geid", "return_type", "start_line", "end_line")
 
 
-@query(f"select * from {_fixed(('t', 'com.acme.A', 'run', 'A.java', 12, 1), ('t', 'com.acme.C$D', '<init>', 'C.java', 7, 2))} t(trace, class_fqn, method, file, line, frame_no)")
-def stack_frames(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.stack_frames(_files(spark).withColumnRenamed("file", "trace"), ["acme"])
+@query(f"with {CLASS}, {CALLS} select a.mfqn caller, b.mfqn callee from calls join meth a on 'o' || a.o_orderkey = src join meth b on 'o' || b.o_orderkey = dst")
+def java_calls(spark: SparkSession, sf: str) -> DataFrame:
+    units = _java(spark, sf)[2]
+    name = units.select("geid", "fqn")
+    return build.calls(units).join(name.toDF("src", "caller"), "src").join(name.toDF("dst", "callee"), "dst").select("caller", "callee")
 
 
-@query(f"select * from {_fixed((1, 100), (2, 55), (3, 0), (4, 0), (5, 0))} t(reply, score)")
-def map_reply_parse(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(REPLIES, "reply long, raw string").select("reply", extract.reply_score(F.col("raw")).alias("score"))
+@query(f"with {CLASS} select mfqn fqn, 'S' || s created from meth join (select distinct l_orderkey, l_suppkey s from lineitem) on l_orderkey = o_orderkey")
+def java_creations(spark: SparkSession, sf: str) -> DataFrame:
+    return _java(spark, sf)[2].select("fqn", F.explode("instantiates").alias("created"))
+
+
+@query(f"with {CLASS}, c as (select left(sha256('n' || c_nationkey || '::' || mfqn), 16) geid, pr from meth join (select c_custkey k, c_nationkey from customer) on k = o_custkey) select geid || '_code_intent' chunk_id, 'Order of priority ' || pr || '.' || chr(10) || 'Returns: the sum' as text from c")
+def java_intent_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return docs.chunks(_java(spark, sf)[2]).where("chunk_type = 'code_intent'").select("chunk_id", "text")
+
+
+@query(f"with {CLASS}, t as (select 'N_' || n_nationkey as name from nation) select distinct fqn component_fqn, t.name table_name from meth, t where st = 'F' and (contains('SELECT x FROM N_' || (o_orderkey % 30), t.name))")
+def java_table_uses(spark: SparkSession, sf: str) -> DataFrame:
+    table, types, _ = _java(spark, sf)
+    known = read(spark, sf, "nation").select(F.concat(F.lit("N_"), F.col("n_nationkey")).alias("name"))
+    return web.table_uses(table, types, known).select("component_fqn", "table_name")
+
+
+@query(f"with {CLASS}, e as (select o_custkey, arg_min(mfqn, o_orderkey) handler from meth where pr = '1-URGENT' group by 1) select mfqn caller_fqn, handler callee_fqn, 'GET' verb, '/c' || m.o_custkey || '/o' || o_orderkey path from meth m join e on e.o_custkey = m.o_custkey where st = 'O'")
+def java_remote_calls(spark: SparkSession, sf: str) -> DataFrame:
+    table, types, units = _java(spark, sf)
+    return web.remote_calls(units, web.endpoints(table, types, units)).select("caller_fqn", "callee_fqn", "verb", "path")
+
+
+TAGGED = f"with {CLASS} select fqn, 'annotation' rule from cls where seg in "
+
+
+def _tagged(spark: SparkSession, sf: str, rules) -> DataFrame:
+    _, types, units = _java(spark, sf)
+    none = spark.createDataFrame([], "repo string, file_path string, group_id string, artifact_id string, version string, dependencies array<struct<group_id string, artifact_id string, version string, scope string>>")
+    names, keys = spark.createDataFrame([], "name string"), spark.createDataFrame([], "key string")
+    n = build.nodes(types, units, none, names, keys)
+    e = units.select(F.lit("HAS_METHOD").alias("edge_type"), F.col("owner_geid").alias("src"), F.col("geid").alias("dst")).unionByName(build.annotated(types, units).select(F.lit("ANNOTATED_WITH").alias("edge_type"), "src", "dst"))
+    return rules(n, e).join(n.select("id", "fqn"), "id").select("fqn", "rule")
+
+
+@query(TAGGED + "('AUTOMOBILE', 'BUILDING', 'MACHINERY') union all select mfqn, 'annotation' from meth where pr = '1-URGENT'")
+def tag_entry_points(spark: SparkSession, sf: str) -> DataFrame:
+    return _tagged(spark, sf, tags.entry_points)
+
+
+@query(TAGGED + "('FURNITURE') union all select mfqn, case when seg = 'FURNITURE' then 'method' else 'call' end from meth where seg = 'FURNITURE' or st = 'F'")
+def tag_data_sinks(spark: SparkSession, sf: str) -> DataFrame:
+    return _tagged(spark, sf, tags.data_sinks)
 
 
 @query(f"with {CALLS} select src, dst from calls where src not in (select 'o' || o_orderkey from orders where o_orderkey % 7 = 0)")
 def delete_stale_edges(spark: SparkSession, sf: str) -> DataFrame:
     gone = read(spark, sf, "orders").where("o_orderkey % 7 = 0").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("src"))
     return edges(spark, sf, "CALLS").join(gone, "src", "left_anti").select("src", "dst")
+
+
+@query("with n as (select doc_id, coalesce(source, '') s, text from documents) select doc_id, case when s = 'src2' then 'removed' when s = 'src1' and text is not null then 'modified' else 'added' end change from n where s = 'src2' or s = 'src3' or s = 'src1' and text is not null")
+def changed_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Two states of the documents as file tables: src3 is new, src2 gone, src1 edited."""
+    d = read(spark, sf, "documents").select(F.coalesce("source", F.lit("")).alias("repo"), F.col("doc_id").cast("string").alias("file_path"), "text")
+    new = d.where("repo <> 'src2'").withColumn("text", F.when(F.col("repo") == "src1", F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return files.changed_files(d.where("repo <> 'src3'"), new).select(F.col("file_path").cast("long").alias("doc_id"), "change")
+
+
+@query(f"with {CALLS}, gone as (select 'o' || o_orderkey id from orders join customer on o_custkey = c_custkey where c_acctbal < 0) select src, dst from calls where src not in (select id from gone) and dst not in (select id from gone)")
+def delete_nodes_of_files(spark: SparkSession, sf: str) -> DataFrame:
+    """CALLS that stay when the files of customers with a negative balance go."""
+    n = _nodes(spark, sf)
+    bad = read(spark, sf, "customer").where("c_acctbal < 0").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("id"))
+    main = n.where("kind = 'class'").join(bad, "id").select("file_path")
+    paths = main.unionByName(main.select(F.replace("file_path", F.lit("/main/"), F.lit("/test/")).alias("file_path")))
+    return text.delete_nodes(n, edges(spark, sf, "CALLS"), paths)[1].select("src", "dst")
+
+
+@query(f"with {PLACE}, {CALLS}, {SEEDS}, u as (select 'o' || o_orderkey id, fqn || '.' || c_name || '.order_' || o_orderkey fqn, o_orderstatus <> 'P' prod from orders join customer on o_custkey = c_custkey join place on c_nationkey = nk), c as (select distinct fqn from u join calls on dst = u.id where src in (select id from seed) and prod order by fqn limit 15), r as (select distinct fqn from u join calls on src = u.id where dst in (select id from seed) and prod order by fqn limit 10) select 'callee' as role, fqn from c union all select 'caller', fqn from r")
+def capability_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    n = _nodes(spark, sf)
+    seeds = retrieval.find_nodes(n.where("label = 'LogicUnit'"), "order_7").select("id")
+    return graph.evidence(edges(spark, sf, "CALLS", "HAS_METHOD", "INSTANTIATES"), n, seeds).select("role", "fqn")
+
+
+@query()
+def flow_enrichment(spark: SparkSession, sf: str) -> DataFrame:
+    paths = flow_shortest_paths(spark, sf).withColumn("path", F.split("path", ">"))
+    found = graph.enriched(paths, edges(spark, sf, "QUERIES_TABLE", "READS_CONFIG"))
+    return found.select("entry", "sink", F.size("tables").alias("n_tables"), F.array_join("config_keys", ",").alias("config_keys"))
+
+
+@query("select domain, count(*) n, cast(sum(score) as bigint) score from (" + ORACLE["domain_scores"] + ") group by 1")
+def domain_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return domain_scores(spark, sf).groupBy("domain").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
+
+
+@query(f"with {CLASS} select mfqn fqn, 'Order of priority ' || pr || '.' description, 'the sum' as returns, cast(0 as bigint) n_params from meth")
+def javadoc_fields(spark: SparkSession, sf: str) -> DataFrame:
+    d = _java(spark, sf)[2].select("fqn", docs.parse(F.col("docstring")).alias("d"))
+    return d.select("fqn", "d.description", "d.returns", F.size("d.params").cast("long").alias("n_params"))
+
+
+@query(ROUTED + r"select id, turn, array_to_string(list_concat((select list(x order by len(x) desc, x) from unnest(e) t(x))[1:3], list_distinct([]::varchar[]))[1:10], ',') first_terms from c where len(e) > 0")
+def question_entities_first(spark: SparkSession, sf: str) -> DataFrame:
+    """Three entities of each question that names any, with which its search terms begin."""
+    q = _questions(spark, sf).withColumn("e", C.entities(F.col("text"))).where("size(e) > 0")
+    return q.select("id", "turn", F.array_join(F.slice(C.search_terms(F.col("text")), 1, F.least(F.lit(3), F.size("e"))), ",").alias("first_terms"))
+
+
+@query("with l as (select source, doc_id, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+|[^A-Za-z0-9_ \\t\\r\\n]')) n from documents), r as (select *, sum(n) over (partition by source order by doc_id rows unbounded preceding) c, row_number() over (partition by source order by doc_id) rn from l) select coalesce(source, '') source, cast(count(*) as bigint) kept from r where c <= 20000 or rn <= 10 group by 1")
+def budget_with_least(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of each source that fit 20,000 tokens, ten at least."""
+    d = read(spark, sf, "documents").select(F.coalesce("source", F.lit("")).alias("source"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sized = d.select("source", "doc_id", C.token_count(F.col("text")).alias("n"))
+    return text.fitting(sized.withColumn("line", F.lit("x")), "source", "doc_id", "line", F.col("n"), 20000, 10).select("source", F.size(F.split("kept", "\n")).cast("long").alias("kept"))

@@ -29,17 +29,21 @@ def rows(spark, name):
     return sorted(map(tuple, QUERIES[name](spark, SF).collect()))
 
 
-@pytest.mark.parametrize("name", ["callers_d2_all", "callees_d2_all"])
+@pytest.mark.parametrize("name", ["callers_d2", "callees_d2"])
 def test_walks_of_all_targets(spark, t, calls, name):
+    nation = {r["n_nationkey"]: r for r in t["nation"]}
+    region = {r["r_regionkey"]: r["r_name"] for r in t["region"]}
+    customer = {r["c_custkey"]: f"{region[nation[r['c_nationkey']]['n_regionkey']]}.{nation[r['c_nationkey']]['n_name']}.{r['c_name']}" for r in t["customer"]}
+    fqn = {f"o{r['o_orderkey']}": f"{customer[r['o_custkey']]}.order_{r['o_orderkey']}" for r in t["orders"]}
     there = defaultdict(set)
     for a, b in calls:
         there[b if "callers" in name else a].add(a if "callers" in name else b)
-    want = set()
-    for r in t["orders"]:
-        target = f"o{r['o_orderkey']}"
+    want = []
+    for target in fqn:
+        found = {(1, fqn[one], one) for one in there[target]}
         for one in there[target]:
-            want.add((target, one, 1))
-            want |= {(target, two, 2) for two in there[one]}  # calls lead to higher keys, so no edge repeats
+            found |= {(2, fqn[two], two) for two in there[one]}  # calls lead to higher keys, so no edge repeats
+        want += [(target, node, hop, rn) for rn, (hop, _, node) in enumerate(sorted(found)[:30], 1)]
     assert rows(spark, name) == sorted(want)
     assert len({x[0] for x in want}) > 1000
 
@@ -85,7 +89,7 @@ def test_bridge_of_all_hits(spark, t):
             if r["o_orderstatus"] != "P":  # its own 10 lines hold the hit, no other unit's do; then the class of 1,000 lines
                 found = [f"{name[owner]}.order_{r['o_orderkey']}"] + [name[owner]] * (10 * i + 15 <= 1000)
                 want += [(r["o_orderkey"], fqn, rn) for rn, fqn in enumerate(found, 1)]
-    assert rows(spark, "grep_to_graph_bridge_all") == sorted(want)
+    assert rows(spark, "grep_to_graph_bridge") == sorted(want)
 
 
 def test_flow_shortest_paths(spark, t):
@@ -134,7 +138,11 @@ def test_flow_shortest_paths(spark, t):
             front = ahead
         want += [(a, b, length[b]) for a, b in pairs if a == start and length.get(b, 99) <= 15]
     assert len(want) == 200
-    assert rows(spark, "flow_shortest_paths") == sorted(want)
+    got = rows(spark, "flow_shortest_paths")
+    assert sorted(r[:3] for r in got) == sorted(want)
+    for a, b, n, path in got:
+        steps = path.split(">")
+        assert (steps[0], steps[-1], len(steps)) == (a, b, n) and all(y in next_to[x] for x, y in zip(steps, steps[1:]))
 
 
 def test_paths_longer_than_four_nodes(spark):
@@ -148,12 +156,12 @@ def test_paths_longer_than_four_nodes(spark):
 
 def test_nearest_in_blocks(spark):
     """Without any broadcast, one vector in a hundred as a query: the same rows, and a product of blocks in the plan."""
-    want = rows(spark, "knn_cosine_hundredth")
+    want = rows(spark, "knn_cosine")
     assert len({r[0] for r in want}) == len([r for r in pq.read_table(f"{SF}/embeddings.parquet").to_pylist() if r["vec_id"] % 100 == 0])
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert "CartesianProduct" in QUERIES["knn_cosine_hundredth"](spark, SF)._jdf.queryExecution().toString()
-        assert rows(spark, "knn_cosine_hundredth") == want
+        assert "CartesianProduct" in QUERIES["knn_cosine"](spark, SF)._jdf.queryExecution().toString()
+        assert rows(spark, "knn_cosine") == want
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
