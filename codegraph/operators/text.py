@@ -32,12 +32,13 @@ def context(table: DataFrame, hits: DataFrame, around: int, key: str = "doc_id")
 
 
 def _local_prefix(group: str, order: list[str], most: int, keep_first: bool):
-    """Of each task's rows, those that the group's prefix can hold: a row's sum within the task is at most that within the group."""
+    """Of each task's rows, those that the group's prefix can hold, and the first beyond: a row's sum within the task is at most that within the group."""
 
     def cut(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([group, *order], kind="stable", na_position="first")
         by = rows.groupby(group, dropna=False, sort=False)
-        fits = rows["tokens"].fillna(0).groupby(rows[group], dropna=False, sort=False).cumsum() <= most
+        size = rows["tokens"].fillna(0)
+        fits = size.groupby(rows[group], dropna=False, sort=False).cumsum() - size <= most
         return rows[fits | (by.cumcount() == 0)] if keep_first else rows[fits]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

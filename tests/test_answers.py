@@ -10,6 +10,12 @@ from codegraph.model import Extractive, HashEmbedder, reflect
 from codegraph.operators import answers, extract, retrieval
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shipped(spark):
+    """Executors unpickle the model below by this module's name."""
+    spark.sparkContext.addPyFile(__file__)
+
+
 class Fixed:
     def __init__(self, reply):
         self.reply, self.calls = reply, 0
