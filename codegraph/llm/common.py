@@ -1,38 +1,25 @@
-"""Helpers shared by the corpus operators: tables, shared storage, components."""
+"""Helpers shared by the corpus operators: sessions, tables, column names."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: Rule for words in all contracts: maximal runs of anything but these bytes.
-WORD = "[^\\x20\\x09-\\x0D]+"
+from ..storage import components, free, materialise, ship
 
+__all__ = ["WORD", "components", "free", "fresh", "materialise", "prepare", "table"]
 
+#: Rule for words in all contracts: maximal runs of anything but these bytes.
+WORD = "[^\\x20\\x09-\\x0D]+"
 #: Rows and bytes of a batch that a Python worker gets, where the session has the defaults: texts are long.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
 
 
 def prepare(spark: SparkSession) -> None:
-    """Batch sizes for long texts, and this package for the executors, once a session."""
+    """Batch sizes for long texts, and this package for the executors."""
     for name, (default, ours) in BATCH.items():
         if spark.conf.get(name, default) == default:
             spark.conf.set(name, ours)
-    app = spark.sparkContext.applicationId
-    if getattr(prepare, "app", None) != app:
-        root = Path(__file__).resolve().parents[1]
-        target = Path(tempfile.mkdtemp(prefix="codegraph-")) / "codegraph.zip"
-        with zipfile.ZipFile(target, "w") as z:
-            for f in sorted(root.rglob("*.py")):
-                z.write(f, f.relative_to(root.parent))
-        spark.sparkContext.addPyFile(str(target))
-        prepare.app = app
+    ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,54 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary one, in local mode only."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to storage that the driver and all executors share")
-        found = getattr(shared_dir, "local", None)
-        if not found:
-            shared_dir.local = found = "file://" + tempfile.mkdtemp(prefix="codegraph-")
-    return f"{found.rstrip('/')}/codegraph-{spark.sparkContext.applicationId}"
-
-
-def release(spark: SparkSession) -> None:
-    """Delete what materialise() has written in this application."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def _release_at_exit(spark: SparkSession) -> None:
-    try:
-        release(spark)
-    except Exception:  # the session is gone already; nothing is left to do at exit
-        pass
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df to the shared folder and read it back."""
-    spark = df.sparkSession
-    if not getattr(_release_at_exit, "set", False):
-        _release_at_exit.set = True
-        atexit.register(_release_at_exit, spark)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written = path
-    return out
-
-
-def free(*tables: DataFrame) -> None:
-    """Delete tables of materialise(), once all that reads them has been written itself."""
-    for df in tables:
-        if path := df.__dict__.get("written"):
-            jvm = df.sparkSession.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """names, each with as many underscores in front as it takes to clash with no column of df (Spark folds case)."""
     taken = {c.lower() for c in df.columns}
@@ -98,32 +37,3 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-
-def components(links: DataFrame) -> DataFrame:
-    """Connected components of links(u, v), by alternating large-star and small-star rounds.
-
-    Returns (u, root): every node that has a link, with the smallest node it reaches
-    (roots themselves are left out). Only counts and checksums reach the driver; each round
-    is written to the shared folder. Rounds are logarithmic in the size of a component.
-    """
-    edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = materialise(edges, "links")
-    state = _state(edges)
-    while state[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        stars = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
-        old, edges = edges, materialise(stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
-        free(old)
-        before, state = state, _state(edges)
-        if state == before:
-            break
-    return edges.select("u", F.col("v").alias("root"))

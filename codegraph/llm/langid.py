@@ -136,9 +136,12 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray) -> DataFrame:
-    """Rows of docs(doc_id, text, ...) with lang_pred and score in place of text; other columns stay."""
+    """Rows of docs(doc_id, text, ...) with lang_pred and score in place of text; other columns stay, but for own ones of these names.
+
+    Among equal cosines the first language by name wins.
+    """
     prepare(docs.sparkSession)
-    rest = [c for c in docs.columns if c != "text"]
+    rest = [c for c in docs.columns if c.lower() not in ("text", "lang_pred", "score")]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, v, has in _parts(rows):
@@ -150,13 +153,13 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray) -> DataFr
             label = [names[b] if k else "und" for b, k in zip(best, known, strict=True)]
             yield pa.RecordBatch.from_pydict({c: column(part, c) for c in rest} | {"lang_pred": pa.array(label, pa.string()), "score": pa.array(score)})
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in rest)
     return docs.select(*rest, "text").mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2).alias("held_out"))
-    names, prototypes = train(docs.where("held_out is null or not held_out"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)).alias("held_out"))
+    names, prototypes = train(docs.where("not held_out"))
     return predict(docs.select("doc_id", "held_out", "text"), names, prototypes)
 
 

@@ -99,8 +99,9 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
     spark = docs.sparkSession
-    sized = materialise(sized, "sizes")
-    found = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).orderBy(F.col("source").asc_nulls_last()).collect()
+    # Equal rows are counted and numbered, so that they go to buckets of their own whatever their number.
+    sized = materialise(sized.groupBy("key", "doc_id", "source", "size").agg(F.count("*").alias("n")), "sizes")
+    found = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n")).orderBy(F.col("source").asc_nulls_last()).collect()
     w = [float(weights[i % len(weights)]) for i in range(len(found))]
     want = targets([r.source_size for r in found], w, share, cap)
     sources = spark.createDataFrame(
@@ -108,9 +109,10 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
         "rank int, source string, source_size long, target double, ratio double",
     )
     buckets = max(1, math.ceil(sum(r.n for r in found) / BUCKET))
+    sized = sized.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
     rows = sized.join(sources.select("rank", "source", "ratio"), sized["source"].eqNullSafe(sources["source"])).select(
         "key", "doc_id", "rank", "size", F.floor("ratio").cast("long").alias("copies"), (F.col("ratio") - F.floor("ratio")).alias("p"),
-        F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(buckets)).alias("bucket"),
+        F.pmod(F.xxhash64("key", "copy", F.lit(seed)), F.lit(buckets)).alias("bucket"),
     )
     level, parts = 0, []
     rows = rows.groupBy("bucket").applyInPandas(_rounder(seed, 0), _ROW)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import fresh, prepare, table
 from .textops import _LOWER, _SPACE, batches, column, prefix, range_hash, word_spans
 
 #: Hash bits of a feature; labelled rows the fit may use, the least by hash of doc_id; passes of the fit.
@@ -154,8 +154,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
 
 
 def grade(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
-    """docs with expected_grade, p_top (chance of the top rating) and kept after its own columns."""
+    """docs with expected_grade, p_top (chance of the top rating) and kept after its own columns; own ones of these names are replaced."""
     prepare(docs.sparkSession)
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("expected_grade", "p_top", "kept")))
     w, t = model or (np.zeros(WIDTH, np.float32), np.zeros(2))
     names = docs.columns
 
@@ -174,10 +175,10 @@ def grade(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None) -> DataF
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier keeps, with their own columns."""
     model = train(docs, labels)
-    clash = {"expected_grade", "p_top", "kept"} & set(docs.columns)
-    renamed = docs.withColumnsRenamed({c: f"__own_{c}" for c in clash})
-    good = grade(renamed, model).where("kept").drop("expected_grade", "p_top", "kept")
-    return good.withColumnsRenamed({f"__own_{c}": c for c in clash}).select(*docs.columns)
+    clash = [c for c in docs.columns if c.lower() in ("expected_grade", "p_top", "kept")]
+    aside = fresh(docs, *clash)
+    good = grade(docs.withColumnsRenamed(dict(zip(clash, aside, strict=True))), model).where("kept").drop("expected_grade", "p_top", "kept")
+    return good.withColumnsRenamed(dict(zip(aside, clash, strict=True))).select(*docs.columns)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
