@@ -25,7 +25,7 @@ from .common import free, materialise, prepare
 from .textops import batches, byte_values, column, longs, mix, prefix, range_hash, sliding_min, word_hashes
 
 #: Distinct contexts of a seed that one task compares; bytes of contexts held at once.
-BLOCK, BUFFER = 1024, 2 << 20
+BLOCK, BUFFER = 4096, 2 << 20
 _PLACE = np.uint64((1 << 30) - 1)
 
 
