@@ -213,13 +213,14 @@ def repeated(rows: DataFrame, rule: Rule, mark: Mark) -> DataFrame:
     hot = hot.select("seed", "context", F.flatten(F.transform("at", lambda i: F.array(i, i + 1))).alias("runs"))
     found = found.unionByName(hot)
     # Super-windows that repeat whole, and runs within edge contexts, from one join of all places with what was found of their classes.
-    settled = classes.select("seed", "context", "context_doc", F.col("times"), "edge").join(found, ["seed", "context"], "left")
+    # Written too, so that this join can split a context that many places hold.
+    settled = materialise(classes.select("seed", "context", "context_doc", F.col("times"), "edge").join(found, ["seed", "context"], "left"), "settled")
     whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("count") - 1 + rule.length).alias("b")))
     inner = F.expr(f"transform(sequence(0, cast(size(runs) / 2 as int) - 1), i -> struct(start + runs[2 * i] as a, start + runs[2 * i + 1] - 1 + {rule.length} as b))")
     span = F.when(F.expr("context_doc < doc" if rule.earlier else "times > 1"), whole).when(F.expr("edge and context_doc = doc and runs is not null"), inner)
     placed = shared.join(settled, ["seed", "context"]).select("key", span.alias("s")).where("s is not null")
     spans = materialise(placed.groupBy("key").agg(F.flatten(F.collect_list("s")).alias("spans")), "spans")
-    free(shared, classes, cut)
+    free(shared, classes, cut, settled)
     return spans
 
 
