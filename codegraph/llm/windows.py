@@ -218,8 +218,8 @@ def repeated(rows: DataFrame, rule: Rule, mark: Mark) -> DataFrame:
     whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("count") - 1 + rule.length).alias("b")))
     inner = F.expr(f"transform(sequence(0, cast(size(runs) / 2 as int) - 1), i -> struct(start + runs[2 * i] as a, start + runs[2 * i + 1] - 1 + {rule.length} as b))")
     span = F.when(F.expr("context_doc < doc" if rule.earlier else "times > 1"), whole).when(F.expr("edge and context_doc = doc and runs is not null"), inner)
-    placed = shared.join(settled, ["seed", "context"]).select("key", span.alias("s")).where("s is not null")
-    spans = materialise(placed.groupBy("key").agg(F.flatten(F.collect_list("s")).alias("spans")), "spans")
+    placed = shared.join(settled, ["seed", "context"]).select("key", span.alias("s"))
+    spans = materialise(placed.groupBy("key").agg(F.flatten(F.collect_list("s")).alias("spans")).where("size(spans) > 0"), "spans")
     free(shared, classes, cut, settled)
     return spans
 
