@@ -1,9 +1,9 @@
 """Registry of the corpus queries."""
 
-from . import decontaminate, html, langid, media, mixing, neardup, quality, substring, suffixdedup, warc
+from . import decontaminate, html, langid, media, mixing, neardup, periodic, quality, substring, suffixdedup, warc
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _module in (decontaminate, langid, media, quality, neardup, substring, html, warc, suffixdedup, mixing):
+for _module in (decontaminate, langid, media, quality, neardup, substring, html, warc, suffixdedup, mixing, periodic):
     QUERIES |= _module.QUERIES
     ORACLE |= getattr(_module, "ORACLE", {})
