@@ -26,6 +26,8 @@ from .common import WORD, materialise, prepare, table
 
 #: Documents per bucket, and residuals per node of the reduction tree.
 BUCKET, FAN_IN = 4096, 64
+#: Sources at most: the driver holds a row for each. More are an error, not cut off.
+SOURCES = 100_000
 _ROW = "key long, doc_id long, rank int, size long, copies long, p double, bucket long, done boolean"
 
 
@@ -48,7 +50,11 @@ def targets(sizes: Sequence[float], weights: Sequence[float], share: float, cap:
 
 
 def pivot(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, int]:
-    """Round p so that sum(p * size) is kept; returns p and the index left fractional, or -1."""
+    """Round p so that sum(p * size) is kept; returns p and the index left fractional, or -1.
+
+    Given by falling size, large documents become integral against the many smaller ones after
+    them, and the one left fractional, which the source's words may miss their target by, is small.
+    """
     p, held, draws = p.astype(float), -1, rng.random(len(p))
     for i in range(len(p)):
         if p[i] <= 1e-12 or p[i] >= 1 - 1e-12 or size[i] <= 0:
@@ -77,7 +83,7 @@ def _rounder(seed: int, level: int):
 
 def _round(pdf: pd.DataFrame, seed: int, level: int) -> pd.DataFrame:
     out = []
-    for rank, rows in pdf.sort_values(["rank", "doc_id", "size", "key"], kind="stable").groupby("rank", sort=True):
+    for rank, rows in pdf.sort_values(["rank", "size", "doc_id", "key"], ascending=[True, False, True, True], kind="stable").groupby("rank", sort=True):
         rng = np.random.default_rng([seed, level, int(rank), int(rows["bucket"].iloc[0])])
         p, held = pivot(rows["p"].to_numpy(), rows["size"].to_numpy(), rng)
         done = np.ones(len(p), bool)
@@ -101,7 +107,9 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     spark = docs.sparkSession
     # Equal rows are counted and numbered, so that they go to buckets of their own whatever their number.
     sized = materialise(sized.groupBy("key", "doc_id", "source", "size").agg(F.count("*").alias("n")), "sizes")
-    found = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n")).orderBy(F.col("source").asc_nulls_last()).collect()
+    found = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n")).orderBy(F.col("source").asc_nulls_last()).limit(SOURCES + 1).collect()
+    if len(found) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources")
     w = [float(weights[i % len(weights)]) for i in range(len(found))]
     want = targets([r.source_size for r in found], w, share, cap)
     sources = spark.createDataFrame(
@@ -135,7 +143,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).drop("key")
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 QUERIES = {"op10_mix_sources": op10_mix_sources}

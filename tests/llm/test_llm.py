@@ -308,3 +308,19 @@ def test_pipeline(spark):
     assert len(corpus_pipeline.STAGES) == 5
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert {"doc_id", "text", "lang", "source", "n_chars", "copies", "taken"} == set(rows.columns) and rows.count() > 0
+
+
+def test_mixing_leaves_a_small_document_over(spark):
+    """A long document doesn't decide how far a source's words are from its target."""
+    rows = [(i, "w " * (5000 if i % 401 == 0 else 20 + i % 60), f"s{i % 3}") for i in range(1203)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for seed in range(3):
+        got = mixing.mix_sources(docs, seed=seed).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.max("target").alias("t"), F.sum("taken").alias("k")).collect()
+        assert len(got) == 3 and all(abs(r.k - r.t) <= 80 for r in got)
+
+
+def test_mixing_refuses_unbounded_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SOURCES", 2)
+    docs = spark.createDataFrame([(i, "w", f"s{i}") for i in range(3)], "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="sources"):
+        mixing.mix_sources(docs)
