@@ -1,9 +1,10 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Every document has an expected number of copies, its source's target over its source's
-size. Its whole part is taken; the fractional parts are rounded together: two fractional
-documents of a source exchange mass, at random but with expectations kept, until one is
-integral, and the words taken stay the same in every step. Buckets of documents (by hash,
+size. Its whole part is taken; the fractional parts are rounded together: in a bucket a document
+and the smaller ones of its source exchange mass, at random but with expectations kept, until one
+side is integral; then pairs of what buckets leave do. The words taken stay the same in every
+step. Buckets of documents (by hash,
 all sources mixed, so no source is ever in one task) leave at most one fractional document
 per source; those residuals meet in a reduction tree of fixed fan-in.
 
@@ -50,11 +51,7 @@ def targets(sizes: Sequence[float], weights: Sequence[float], share: float, cap:
 
 
 def pivot(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, int]:
-    """Round p so that sum(p * size) is kept; returns p and the index left fractional, or -1.
-
-    Given by falling size, large documents become integral against the many smaller ones after
-    them, and the one left fractional, which the source's words may miss their target by, is small.
-    """
+    """Round p so that sum(p * size) is kept; returns p and the index left fractional, or -1."""
     p, held, draws = p.astype(float), -1, rng.random(len(p))
     for i in range(len(p)):
         if p[i] <= 1e-12 or p[i] >= 1 - 1e-12 or size[i] <= 0:
@@ -77,6 +74,34 @@ def pivot(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> tuple[np
     return p, held
 
 
+def pooled(p: float, size: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, int]:
+    """pivot() for documents of one probability, by falling size: each is paired with all smaller ones together.
+
+    Mass goes from or to the smaller ones in proportion, so their probabilities stay equal and keep
+    their expectation. Large documents become integral first, and the one left fractional, which the
+    source's words may miss their target by, is the smallest (or one larger than all after it).
+    """
+    out, held, draws, rest = np.zeros(len(size)), -1, rng.random(len(size)), float(size.sum())
+    for i, a in enumerate(size.astype(float)):
+        if a <= 0:
+            continue
+        rest -= a
+        if p <= 1e-12 or p >= 1 - 1e-12:
+            out[i] = round(p)
+            continue
+        if rest <= 0:
+            out[i], held = p, i
+            continue
+        up, down = min(a * (1 - p), rest * p), min(a * p, rest * (1 - p))
+        move = up if draws[i] < down / (up + down) else -down
+        out[i], p = p + move / a, p - move / rest
+        if 1e-9 < out[i] < 1 - 1e-9:
+            held = i
+        else:
+            out[i] = round(out[i])
+    return out, held
+
+
 def _rounder(seed: int, level: int):
     return lambda pdf: _round(pdf, seed, level)
 
@@ -85,7 +110,8 @@ def _round(pdf: pd.DataFrame, seed: int, level: int) -> pd.DataFrame:
     out = []
     for rank, rows in pdf.sort_values(["rank", "size", "doc_id", "key"], ascending=[True, False, True, True], kind="stable").groupby("rank", sort=True):
         rng = np.random.default_rng([seed, level, int(rank), int(rows["bucket"].iloc[0])])
-        p, held = pivot(rows["p"].to_numpy(), rows["size"].to_numpy(), rng)
+        # All documents of a source begin with one probability; what is left of buckets differs.
+        p, held = pivot(rows["p"].to_numpy(), rows["size"].to_numpy(), rng) if level else pooled(float(rows["p"].iloc[0]), rows["size"].to_numpy(), rng)
         done = np.ones(len(p), bool)
         if held >= 0:
             done[held] = False
