@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..storage import ship
+from ..storage import materialise, ship
+from .neighbours import cosine_distance, nearest
+
+__all__ = ["budget", "candidates", "context", "cosine_distance", "delete_calls", "delete_nodes", "first_hits", "fitting", "grep", "last_wins", "lines", "nearest", "orphans", "upsert"]
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -19,7 +22,11 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 def grep(table: DataFrame, words: list[str], per_file: int, most: int, key: str = "doc_id") -> DataFrame:
     """(symbol, key, line_number, line) of exact, case-sensitive hits: the first per_file of a file, the first `most` of a symbol."""
-    found = table.withColumn("symbol", F.explode(F.filter(F.array(*map(F.lit, words)), lambda w: F.col("line").contains(w))))
+    return first_hits(table.withColumn("symbol", F.explode(F.filter(F.array(*map(F.lit, words)), lambda w: F.col("line").contains(w)))), per_file, most, key)
+
+
+def first_hits(found: DataFrame, per_file: int, most: int, key: str = "doc_id") -> DataFrame:
+    """Of hits(symbol, key, line_number, line) the first per_file of a file, and of these the first `most` of a symbol."""
     found = found.withColumn("a", F.row_number().over(W.partitionBy("symbol", key).orderBy("line_number"))).where(F.col("a") <= per_file)
     # Each file's hits are few by now; files rank by their own order, so no symbol is sorted whole in one task.
     return found.withColumn("b", F.row_number().over(W.partitionBy("symbol").orderBy(key, "line_number"))).where(F.col("b") <= most).select("symbol", key, "line_number", "line")
@@ -66,30 +73,26 @@ def budget(rows: DataFrame, group: str, order: list[str], tokens: Column, most:
 
 
 def fitting(lines: DataFrame, group: str, order: str, text: str, tokens: Column, most: int, keep: int = 0) -> DataFrame:
-    """(group, kept, truncated): lines of each group joined in order, dropped from the end until their tokens fit, but for the first `keep`."""
-    w = W.partitionBy(group).orderBy(order)
-    sized = lines.withColumn("__sum", F.sum(tokens).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("__rn", F.row_number().over(w))
-    stays = (F.col("__sum") <= most) | (F.col("__rn") <= keep)
-    rows = F.array_sort(F.collect_list(F.when(stays, F.struct("__rn", F.col(text).alias("t")))))
-    return sized.groupBy(group).agg(F.array_join(F.transform(rows, lambda x: x["t"]), "\n").alias("kept"), F.count_if(~stays).alias("__gone")).select(group, "kept", (F.col("__gone") > 0).alias("truncated"))
-
-
-def cosine_distance(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return 1 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: Callable[[Column, Column], Column] = cosine_distance, literal: Column | None = None) -> DataFrame:
-    """(query_id, vec_id, rank, distance): exact nearest by the metric, for any number of queries(query_id, query).
+    """(group, kept, truncated): lines of each group joined in order, dropped from the end until their tokens fit, but for the first `keep`.
 
-    Blocks of queries meet blocks of vectors; Spark sends a side whole only below its broadcast
-    threshold, and the limit by rank reaches each task's rows before the exchange. literal
-    restricts the vectors beforehand, as a filter on their metadata.
+    Lines are dealt out by ranges of (group, order). Sums of these ranges, a row each, say what
+    stands before a range; only ranges that begin within the budget or the first `keep` are opened,
+    and each is summed by itself, so a group of any size is never sorted in one task.
     """
-    own = vectors if literal is None else vectors.where(literal)
-    all_ = own.select("vec_id", "embedding").crossJoin(queries).select("query_id", "vec_id", metric(F.col("embedding"), F.col("query")).alias("d"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("d", "vec_id")).cast("long")
-    return all_.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "vec_id", "rank", F.round("d", 6).alias("distance"))
+    own = lines.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(text).alias("t"), F.coalesce(tokens.cast("long"), F.lit(0)).alias("n"))
+    own = materialise(own.repartitionByRange("g", "o").withColumn("part", F.spark_partition_id()), "dealt")
+    sums = own.groupBy("g", "part").agg(F.sum("n").alias("sum"), F.count("*").alias("rows"))
+    before = W.partitionBy("g").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(F.col("g").alias("gg"), F.col("part").alias("pp"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("sum0"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows0"), "rows")
+    begun = sums.where((F.col("sum0") <= most) | (F.col("rows0") < keep)).drop("rows")
+    w = W.partitionBy("g", "part").orderBy("o")
+    opened = own.join(begun, F.col("g").eqNullSafe(F.col("gg")) & (F.col("part") == F.col("pp")))
+    opened = opened.withColumn("sum", F.col("sum0") + F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("rn", F.col("rows0") + F.row_number().over(w))
+    held = opened.where((F.col("sum") <= most) | (F.col("rn") <= keep)).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("rn", "t"))).alias("held"), F.count("*").alias("stay"))
+    whole = sums.groupBy(F.col("gg").alias("whole")).agg(F.sum("rows").alias("all"))
+    out = whole.join(held, F.col("whole").eqNullSafe(F.col("g")), "left")
+    kept = F.array_join(F.transform(F.coalesce("held", F.array().cast("array<struct<rn:bigint,t:string>>")), lambda x: x["t"]), "\n")
+    return out.select(F.col("whole").alias(group), kept.alias("kept"), (F.col("all") > F.coalesce("stay", F.lit(0))).alias("truncated"))
 
 
 def candidates(total: int, wanted: int = 20) -> int:

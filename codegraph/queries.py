@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .operators import build, communities, docs, extract, graph, java, links, retrieval, tags, text, web
+from .operators import build, communities, docs, extract, graph, java, links, postings, retrieval, tags, text, web
 from .sources import files, java_text
 from .sources.derived import edges, nodes, read
 from .storage import materialise
@@ -236,6 +236,13 @@ def grep_lines(spark: SparkSession, sf: str) -> DataFrame:
     return _hits(spark, sf)[1]
 
 
+@query(GREP + "select symbol, doc_id, line_number, line from hit")
+def grep_by_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """grep_lines, answered from postings of grams; only documents that can hold a word are cut to lines."""
+    d = read(spark, sf, "documents").select("doc_id", "text")
+    return postings.grep(d, postings.build(d, "doc_id", ["text"]), WORDS, 3, 50)
+
+
 @query(GREP + "select distinct h.doc_id, h.line_number hit_line, l.line_number, l.line from hit h join line l on l.doc_id = h.doc_id and l.line_number between h.line_number - 2 and h.line_number + 2")
 def context_windows(spark: SparkSession, sf: str) -> DataFrame:
     table, hits = _hits(spark, sf)

@@ -2,8 +2,10 @@
 
 from collections import defaultdict
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from codegraph.queries import QUERIES
 
@@ -155,13 +157,80 @@ def test_paths_longer_than_four_nodes(spark):
 
 
 def test_nearest_in_blocks(spark):
-    """Without any broadcast, one vector in a hundred as a query: the same rows, and a product of blocks in the plan."""
+    """Without any broadcast, one vector in a hundred as a query: the same rows, and no product of both sides in the plan."""
     want = rows(spark, "knn_cosine")
     assert len({r[0] for r in want}) == len([r for r in pq.read_table(f"{SF}/embeddings.parquet").to_pylist() if r["vec_id"] % 100 == 0])
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert "CartesianProduct" in QUERIES["knn_cosine"](spark, SF)._jdf.queryExecution().toString()
+        plan = QUERIES["knn_cosine"](spark, SF)._jdf.queryExecution().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
         assert rows(spark, "knn_cosine") == want
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "other"])
+def test_nearest_against_brute_force(spark, monkeypatch, metric):
+    """Clustered vectors with ties and unusable ones; small blocks, and pruning that really leaves cells out."""
+    from codegraph.functions.columns import squared_l2
+    from codegraph.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 6)) * 4
+    x = (centres[rng.integers(0, 12, 500)] + rng.normal(size=(500, 6)) * 0.3).astype(np.float32)
+    x[100:110] = x[100]
+    table = [(i, [float(v) for v in row], i % 3) for i, row in enumerate(x)] + [(900, None, 0), (901, [1.0, None], 0), (902, [float("nan")] * 6, 0), (903, [1.0], 0)]
+    v = spark.createDataFrame(table, "vec_id long, embedding array<float>, label int")
+    q = v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    way = {"cosine": neighbours.cosine_distance, "l2": squared_l2, "other": lambda a, b: squared_l2(a, b) + 1}[metric]
+    e = x.astype(np.float64)
+    unit = e / np.linalg.norm(e, axis=1, keepdims=True)
+    d = 1 - unit @ unit.T if metric == "cosine" else ((e[:, None] - e[None]) ** 2).sum(2) + (metric == "other")
+    for literal, own in ((None, range(500)), (F.col("label") == 1, range(1, 500, 3))):
+        got = {}
+        for r in neighbours.nearest(q, v, 7, way, literal).collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.distance))
+        assert sorted(got) == list(range(0, 500, 10))
+        for i, found in got.items():
+            found.sort()
+            best = sorted(own, key=lambda j: (round(d[i, j], 9), j))[:7]
+            assert [j for _, j, _ in found] == best, (i, found)
+            assert all(abs(dist - d[i, j]) < 2e-6 for _, j, dist in found)
+    assert neighbours.nearest(q, v.limit(0), 3, way).count() == 0
+
+
+def test_postings_find_what_the_scan_finds(spark):
+    from codegraph.operators import postings
+
+    rng = np.random.default_rng(0)
+    texts = ["".join(rng.choice(list("abcé \n"), rng.integers(0, 60))) for _ in range(300)] + ["", None, "ab"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    index = postings.build(d, "doc_id", ["text"])
+    words = ["abc", "aab", "cabca", "é a", "b", "zzz", "", "caécb"]
+    got = {(r.symbol, r.doc_id) for r in postings.contains(d, index, words, "doc_id", ["text"]).collect()}
+    assert got == {(w, i) for w in words for i, t in enumerate(texts) if t is not None and w in t}
+    some = [w for w in words if w]
+    from codegraph.operators import text as ops
+
+    scan = {tuple(r) for r in ops.grep(ops.lines(d), some, 2, 20).collect()}
+    assert {tuple(r) for r in postings.grep(d, index, some, 2, 20).collect()} == scan and scan
+
+
+def test_fitting_over_many_ranges(spark):
+    """Groups of any size, null keys and budgets against a plain sum; no group lies in one range."""
+    from codegraph.operators import text as ops
+
+    rng = np.random.default_rng(2)
+    table = [(None if g == 3 else f"g{g}", i, int(rng.choice([0, 1, 7, 40])), f"t{i}") for g, n in enumerate([1000, 5, 1, 40]) for i in range(n)]
+    df = spark.createDataFrame(table, "g string, i long, n long, t string").repartition(5)
+    for most, keep in ((0, 0), (39, 0), (3000, 0), (100, 30), (10**6, 0)):
+        got = {r.g: (r.kept, r.truncated) for r in ops.fitting(df, "g", "i", "t", F.col("n"), most, keep).collect()}
+        for g in {r[0] for r in table}:
+            total, kept, own = 0, [], sorted(r[1:] for r in table if r[0] == g)
+            for k, (_, n, t) in enumerate(own):
+                total += n
+                if total <= most or k < keep:
+                    kept.append(t)
+            assert got[g] == ("\n".join(kept), len(kept) < len(own))
