@@ -17,9 +17,9 @@ from .operators import answers, graph, links, retrieval, text, web
 
 
 def _show(df: DataFrame, as_json: bool) -> None:
-    """A question's own rows, some dozens."""
-    for line in df.limit(1000).toJSON().collect() if as_json else ("  ".join(str(x) for x in r if x is not None) for r in df.limit(1000).collect()):
-        print(line)
+    """All rows, one partition at a time in the driver."""
+    for row in (df.select(F.to_json(F.struct("*"))) if as_json else df).toLocalIterator():
+        print(row[0] if as_json else "  ".join(str(x) for x in row if x is not None))
 
 
 def _first(base: retrieval.Base, name: str) -> str | None:

@@ -13,11 +13,16 @@ from ..functions import columns as C
 from ..model import Embedder
 from ..sources.files import place, production
 from ..storage import ship
-from . import communities, graph, links, text
+from . import communities, graph, links, postings, text
 
 
-def find_nodes(nodes: DataFrame, name: str, most: int = 20) -> DataFrame:
-    """Methods and types on production paths whose fqn or doc comment holds name, or that bear it, in order of fqn."""
+def find_nodes(nodes: DataFrame, name: str, most: int = 20, index: DataFrame | None = None) -> DataFrame:
+    """Methods and types on production paths whose fqn or doc comment holds name, or that bear it, in order of fqn.
+
+    With postings.build(nodes, "id", ["fqn", "name", "docstring"]) as index only candidates are looked at.
+    """
+    if index is not None and postings.grams(name):
+        nodes = nodes.join(postings.candidates(index, [name], "id").select("id"), "id", "left_semi")
     named = F.col("fqn").contains(name) | (F.col("name") == name) | F.col("fqn").endswith(f".{name}") | F.coalesce(F.col("docstring").contains(name), F.lit(False))
     return nodes.where(F.col("label").isin("LogicUnit", "Component") & production(F.col("file_path")) & named).orderBy("fqn", "id").limit(most)
 

@@ -443,6 +443,12 @@ def find_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.find_nodes(_nodes(spark, sf), "order_7").select("fqn", "name")
 
 
+@query(FIND + " select fqn, name from a where contains(fqn, 'order_7') or name = 'order_7' or ends_with(fqn, '.order_7') or contains(coalesce(doc, ''), 'order_7') order by fqn limit 20")
+def find_nodes_by_postings(spark: SparkSession, sf: str) -> DataFrame:
+    n = _nodes(spark, sf)
+    return retrieval.find_nodes(n, "order_7", index=postings.build(n, "id", ["fqn", "name", "docstring"])).select("fqn", "name")
+
+
 @query(FIND + " select fqn, name from a where doc = 'BUILDING' order by fqn limit 20")
 def find_by_docstring(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.find_nodes(_nodes(spark, sf), "BUILDING").select("fqn", "name")
@@ -472,6 +478,24 @@ def _bridge(spark: SparkSession, sf: str) -> DataFrame:
     return links.enclosing(hits, spans.select("fqn", "file_path", "start_line", "end_line"))
 
 
+BRIDGE = f"""{ORDERS}, u as (select *, o_orderstatus <> 'P' main from o), f as (select c_custkey, fqn, row_number() over (partition by c_custkey order by fqn) rn from u where main)
+select 'm' || o_orderkey hit_id, 'span' strategy, fqn, cast(1 as bigint) rn from u where main
+union all select 'f' || c_custkey, 'file', fqn, rn from f where rn <= 10
+union all select 'f' || c_custkey, 'type', place.fqn || '.' || c_name, 1 from customer join place on c_nationkey = nk where c_custkey not in (select c_custkey from f)
+union all select 't' || s_suppkey, 'type', place.fqn || '.' || s_name, 1 from supplier join place on s_nationkey = nk"""
+
+
+@query(BRIDGE)
+def grep_bridge_stages(spark: SparkSession, sf: str) -> DataFrame:
+    """A hit within each production method, and one before the first method of each type's file: all three ways from a hit to nodes."""
+    n = nodes(spark, sf).where("label in ('LogicUnit', 'Component')")
+    number = F.regexp_replace(F.regexp_extract("name", "(\\d+)$", 1), "^0+(?=.)", "")
+    letter = F.when(F.col("label") == "LogicUnit", "m").when(F.col("kind") == "class", "f").otherwise("t")
+    line = F.when(F.col("label") == "LogicUnit", F.col("start_line") + 5).otherwise(F.lit(5))
+    hits = n.where("label = 'Component' or contains(file_path, 'src/main/java')").select(F.concat(letter, number).alias("hit_id"), "file_path", line.alias("line"))
+    return links.bridged(hits, n)
+
+
 DOMAINS = [("law", ["license", "copyright", "rights"]), ("web", ["http", "www", "click"]), ("food", ["water", "bread", "wine"])]
 SCORES = ", ".join(f"{' + '.join(f'contains(lower(text), {chr(39)}{w}{chr(39)})::int' for w in words)} {n}" for n, words in DOMAINS)
 
@@ -667,11 +691,15 @@ def javadoc_fields(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("fqn", "d.description", "d.returns", F.size("d.params").cast("long").alias("n_params"))
 
 
-@query(ROUTED + r"select id, turn, array_to_string(list_concat((select list(x order by len(x) desc, x) from unnest(e) t(x))[1:3], list_distinct([]::varchar[]))[1:10], ',') first_terms from c where len(e) > 0")
+TERMS = rf"""{ROUTED}, t as (select id, turn, (select list(x order by len(x) desc, x) from unnest(e) t(x))[1:3] es, list_concat(regexp_extract_all(text, '([A-Za-z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)', 1), list_filter(regexp_extract_all(lower(text), '([a-z]{{5,}})', 1), lambda x: not list_contains([{', '.join(repr(x) for x in sorted(C.TERM_NOISE))}], x))) rest from c where len(e) > 0)
+select id, turn, array_to_string(list_concat(es, list_filter(rest, lambda x, i: list_position(rest, x) = i))[1:10], ',') first_terms from t"""
+
+
+@query(TERMS)
 def question_entities_first(spark: SparkSession, sf: str) -> DataFrame:
-    """Three entities of each question that names any, with which its search terms begin."""
-    q = _questions(spark, sf).withColumn("e", C.entities(F.col("text"))).where("size(e) > 0")
-    return q.select("id", "turn", F.array_join(F.slice(C.search_terms(F.col("text")), 1, F.least(F.lit(3), F.size("e"))), ",").alias("first_terms"))
+    """All search terms of each question that names an entity: three entities first, then other names and words."""
+    q = _questions(spark, sf).where(F.size(C.entities(F.col("text"))) > 0)
+    return q.select("id", "turn", F.array_join(C.search_terms(F.col("text")), ",").alias("first_terms"))
 
 
 @query("with l as (select source, doc_id, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+|[^A-Za-z0-9_ \\t\\r\\n]')) n from documents), r as (select *, sum(n) over (partition by source order by doc_id rows unbounded preceding) c, row_number() over (partition by source order by doc_id) rn from l) select coalesce(source, '') source, cast(count(*) as bigint) kept from r where c <= 20000 or rn <= 10 group by 1")
