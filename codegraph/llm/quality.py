@@ -8,7 +8,8 @@ and a document is kept when P(rating > 1) >= 1/2.
 Edge cases: a null or empty text has no features and gets the score 0 of the prior alone
 (kept or not by the thresholds); labels with a null rating or without a document are
 ignored; of repeated labels each counts; repeated documents are judged alike; without any
-label every document is kept with null probabilities. Extra columns pass untouched.
+label every document is kept with null probabilities. Own columns named expected_grade, p_top or
+kept are replaced by grade(), and pass keep_good(); other columns pass; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -23,10 +24,8 @@ from pyspark.sql import functions as F
 from .common import fresh, prepare, table
 from .textops import _LOWER, _SPACE, batches, column, prefix, range_hash, word_spans
 
-#: Hash bits of a feature; labelled rows the fit may use, the least by hash of doc_id; passes of the fit.
-BITS, SAMPLE, EPOCHS = 20, 20_000, 12
-#: Least steps of a fit.
-STEPS = 2000
+#: Hash bits of a feature; labelled rows the fit may use, the least by hash of doc_id; steps of 64 rows that a fit takes, whatever its sample.
+BITS, SAMPLE, STEPS = 20, 20_000, 3750
 #: First step size; what a share counts against a word; rows of the sample that must set a slot.
 RATE, SHARE, LEAST = 0.7, 8.0, 20
 #: Bytes of the word beginnings that count as features besides the word.
@@ -52,10 +51,12 @@ def features(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     mark = np.concatenate([[0], np.cumsum(shape == 4)])
     caps = np.concatenate([[0], np.cumsum(shape == 2)])
     digits = np.concatenate([[0], np.cumsum(shape == 3)])
-    low, high = starts.copy(), ends.copy()
-    for _ in range(4):  # marks at the ends, as in `word,` or `(word)***`
-        low = np.where((low < high) & (shape[np.minimum(low, len(data) - 1)] == 4), low + 1, low)
-        high = np.where((low < high) & (shape[high - 1] == 4), high - 1, high)
+    # Words go without marks at their ends, as in `word,` or `(word)***`; a word of marks alone is empty.
+    plain = np.flatnonzero(shape != 4)
+    after = np.append(plain, len(data))[np.searchsorted(plain, starts)]
+    low = np.minimum(after, ends)
+    last = np.append(plain, -1)[np.searchsorted(plain, ends) - 1]
+    high = np.where(low < ends, last + 1, low)
     pre = prefix(_CODES[_LOWER[data]])
     whole = (range_hash(pre, low, high) >> np.uint64(64 - BITS)).astype(np.int64)
     slots = [whole]
@@ -85,14 +86,14 @@ def score(w: np.ndarray, slots: np.ndarray) -> float:
     return float(w[slots].sum(dtype=np.float64) + (SHARE - 1) * w[slots[slots >= 1 << BITS]].sum(dtype=np.float64))
 
 
-def fit(indptr: np.ndarray, slots: np.ndarray, rating: np.ndarray, grades: int, epochs: int = EPOCHS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def fit(indptr: np.ndarray, slots: np.ndarray, rating: np.ndarray, grades: int, steps: int = STEPS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) by mini-batch gradient steps; ratings weigh inversely to their share, within limits."""
     n = len(rating)
     # A slot that few rows set can't carry over to other texts. In parts, for the driver's memory.
     times = np.zeros(WIDTH, np.int32)
     for low in range(0, len(slots), 1 << 20):
         times += np.bincount(slots[low : low + (1 << 20)], minlength=WIDTH).astype(np.int32)
-    keep = (times >= max(1, min(LEAST, n // 24)))[slots]
+    keep = (times >= LEAST)[slots]
     kept = np.zeros(len(keep) + 1, np.int32)
     np.cumsum(keep, dtype=np.int32, out=kept[1:])
     indptr = kept[indptr].astype(np.int64)
@@ -101,7 +102,7 @@ def fit(indptr: np.ndarray, slots: np.ndarray, rating: np.ndarray, grades: int,
     w, t = np.zeros(WIDTH), np.linspace(-2, 0, grades - 1)
     rng = np.random.default_rng(seed)
     weight = np.clip(1 / np.maximum(np.bincount(rating, minlength=grades) / max(n, 1), 1e-3) / grades, 0.4, 1.5)[rating]
-    epochs = max(epochs, STEPS * 64 // max(n, 1))  # a small sample is passed over more often
+    epochs = max(1, round(steps * 64 / max(n, 1)))
     for epoch in range(epochs):
         rate, order = RATE / (1 + 3 * epoch / epochs), rng.permutation(n)
         for low in range(0, n, 64):
