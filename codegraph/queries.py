@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .operators import build, communities, docs, extract, graph, java, links, postings, retrieval, tags, text, web
-from .sources import files, java_text
+from .sources import files, java_text, project_text
 from .sources.derived import edges, nodes, read
 from .storage import materialise
 
@@ -517,28 +515,38 @@ def xml_elements(spark: SparkSession, sf: str) -> DataFrame:
     return extract.names(read(spark, sf, "pages").select(F.col("page_id").alias("file"), F.col("html").alias("text")), extract.XML_ELEMENT)
 
 
-#: Sources, scripts and configuration of two small repositories, kept beside the package.
-SAMPLES = str(Path(__file__).resolve().parent / "samples")
-
+# Projects written from the tables, outcome in SQL.
+PROJECT = f"""{CALLS}, cu as (select c_custkey c, 'n' || n_nationkey repo, n_nationkey n, n_regionkey r, 'q' || n_regionkey || '.n' || n_nationkey p from customer join nation on c_nationkey = n_nationkey),
+od as (select o_orderkey o, o_custkey c from orders join cu on c = o_custkey),
+dep as (select distinct a.c c, b.c d from calls join od a on 'o' || a.o = src join od b on 'o' || b.o = dst where a.c <> b.c),
+fi as (select cu.*, p || '.K' || cu.c k, coalesce(f, cu.c) f, mo from cu left join (select c, min(d) f from dep group by 1) m on m.c = cu.c left join (select c, min(o) mo from od group by 1) l on l.c = cu.c),
+x as (select a.*, b.k fk, b.mo fmo from fi a join fi b on b.c = a.f),
+me as (select x.*, o, k || '.m' || o || '(K' || f || ',int[])' m from x join od on od.c = x.c),
+tab as (select repo, 't_' || o || '_x' as name, cu.c from od join cu on cu.c = od.c union all select repo, 'shared_' || (c % 10), c from cu),
+tabs as (select repo, upper(name) as name, arg_min(repo || '/' || case c % 3 when 0 then 'dbscripts' when 1 then 'sql' else 'src/main/resources/db' end || '/c' || c || '.sql', (c % 3, repo || '/' || case c % 3 when 0 then 'dbscripts' when 1 then 'sql' else 'src/main/resources/db' end || '/c' || c || '.sql')) file_path from tab where c % 7 <> 0 group by all),
+kk as (select repo, cu.c, c % 3 kind, o from cu left join od using (c) where c % 11 <> 0),
+keyed as (select repo, c, '[stF]' as key, 'toml' kind from kk where kind = 0 union all select repo, c, 'stF.o_' || o || '_zz', 'toml' from kk where kind = 0 and o is not null union all select repo, c, 'xml:c' || c || '.top', 'xml' from kk where kind = 1 union all select repo, c, 'xml:c' || c || '.seg', 'xml' from kk where kind = 1 and o is not null union all select repo, c, 'p.q' || o || 'q', 'xml' from kk where kind = 1 and o is not null union all select repo, c, 'y' || o || 'y', 'yaml' from kk where kind = 2 and o is not null),
+keys as (select repo, key, kind, min(repo || '/' || case kind when 'xml' then 'repository/conf/c' || c || '.xml' when 'toml' then 'c' || c || '/deployment.toml' else 'c' || c || '/application.yml' end) file_path from keyed group by all),
+mo as (select repo, c, case when c % 2 = 0 then 'g' else 'h' end || '.n' || n grp, 'k' || c art, case c % 3 when 0 then '1.' || c when 1 then '2.0' else 'UNKNOWN' end ver from cu union all select distinct repo, null, 'h.n' || n, 'root' || n, '2.0' from cu)"""
 
-def _samples(spark: SparkSession) -> DataFrame:
-    return files.files(spark, SAMPLES)
 
-
-@query()
+@query(f"with {PROJECT} select repo, name, file_path from tabs")
 def sql_tables(spark: SparkSession, sf: str) -> DataFrame:
-    return files.sql_tables(_samples(spark))
+    """Tables that the schema scripts of all customers create."""
+    return files.sql_tables(project_text.schema_scripts(spark, sf)).select("repo", "name", "file_path")
 
 
-@query()
+@query(f"with {PROJECT} select repo, key, kind, file_path from keys")
 def config_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return files.config_keys(_samples(spark))
+    """Keys of the configuration files of all customers."""
+    return files.config_keys(project_text.config_files(spark, sf)).select("repo", "key", "kind", "file_path")
 
 
-@query()
+@query(f"with {PROJECT}, of_ as (select a.art, b.grp, b.art dart, case when d % 2 = 0 then '1.' || d end ver, case when (dep.c + d) % 3 = 0 then 'test' else 'compile' end scp from dep join mo a on a.c = dep.c join mo b on b.c = d) select repo, mo.grp group_id, mo.art artifact_id, mo.ver as version, of_.grp to_group, dart to_artifact, of_.ver to_version, scp as scope from mo left join of_ on of_.art = mo.art")
 def pom_modules(spark: SparkSession, sf: str) -> DataFrame:
-    d = F.transform("dependencies", lambda x: F.concat_ws(":", x["group_id"], x["artifact_id"], x["version"], x["scope"]))
-    return files.modules(_samples(spark)).select("repo", "group_id", "artifact_id", "version", F.array_join(d, ",").alias("dependencies"))
+    """Coordinates of each module and of what it depends on, a row per dependency."""
+    d = files.modules(project_text.build_files(spark, sf)).select("repo", "group_id", "artifact_id", "version", F.explode_outer("dependencies").alias("d"))
+    return d.select("repo", "group_id", "artifact_id", "version", F.col("d.group_id").alias("to_group"), F.col("d.artifact_id").alias("to_artifact"), F.col("d.version").alias("to_version"), F.col("d.scope").alias("scope"))
 
 
 def _linked(spark: SparkSession, source: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -546,29 +554,48 @@ def _linked(spark: SparkSession, source: DataFrame) -> tuple[DataFrame, DataFram
     return types, materialise(java.units(types), "units")
 
 
-@query()
-def sample_endpoints(spark: SparkSession, sf: str) -> DataFrame:
-    table = _samples(spark).where("file_path like '%.java'")
-    return web.endpoints(table, *_linked(spark, table)).select("path", "verb", "handler_fqn")
-
-
-@query()
-def sample_remote_calls(spark: SparkSession, sf: str) -> DataFrame:
-    table = _samples(spark).where("file_path like '%.java'")
-    types, units = _linked(spark, table)
-    return web.remote_calls(units, web.endpoints(table, types, units)).select("caller_fqn", "callee_fqn", "verb", "path")
-
-
-@query()
-def sample_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """(edge_type, src, dst) of the two repositories by fqn or name: all kinds of edges."""
-    table = materialise(_samples(spark), "samples")
+def _project(spark: SparkSession, sf: str) -> tuple[DataFrame, ...]:
+    """Files of the projects, their Java sources, types and units."""
+    table = materialise(project_text.projects(spark, sf), "projects")
     source = table.where("file_path like '%.java'")
-    types, units = _linked(spark, source)
+    return table, source, *_linked(spark, source)
+
+
+@query(f"with {PROJECT} select k fqn, case when c % 4 <> 3 then 'q' || r || '.Base' || r end extends, 'Api' || n || case when c % 5 = 0 then ',ev.EventHandler' else '' end implements, c % 5 = 0 handler, 'K' || f || ' dep true,Api' || n || ' plain false,Api' || n || ' second false' || case when c % 3 = 0 and fmo is not null then ',String v false' else '' end fields from x union all select distinct p || '.Api' || n, null, 'q' || r || '.Base' || r, false, '' from cu union all select distinct 'q' || r || '.Base' || r, null, '', false, '' from cu union all select distinct 'q' || r || '.Fail' || r, 'Exception', '', false, '' from cu")
+def project_types(spark: SparkSession, sf: str) -> DataFrame:
+    """What each type extends and implements, whether it handles events, and its fields with what is injected."""
+    said = F.array_join(F.transform("fields", lambda f: F.concat_ws(" ", f["type_name"], f["name"], f["is_injected"].cast("string"))), ",")
+    return _project(spark, sf)[2].select("fqn", "extends", F.array_join("implements", ",").alias("implements"), F.col("is_event_handler").alias("handler"), said.alias("fields"))
+
+
+@query(f"with {PROJECT} select m fqn, 'K' || f || ' a,int[] many' parameters, 'Api' || n return_type, 'q' || r || '.Fail' || r || ',java.io.IOException' throws, null overrides from me union all select k || '.run', '', 'void', '', case when c % 4 <> 3 then 'q' || r || '.Base' || r || '.run' end from x union all select distinct p || '.Api' || n || '.run', '', 'void', '', null from cu union all select distinct 'q' || r || '.Base' || r || '.run', '', 'void', '', null from cu")
+def project_units(spark: SparkSession, sf: str) -> DataFrame:
+    """Parameters, return type, thrown types and overridden method of each unit."""
+    said = F.array_join(F.transform("parameters", lambda f: F.concat_ws(" ", f["type_name"], f["name"])), ",")
+    return _project(spark, sf)[3].select("fqn", said.alias("parameters"), "return_type", F.array_join("throws", ",").alias("throws"), "overrides")
+
+
+@query(f"""with {PROJECT}, base as (select distinct r, 'q' || r || '.Base' || r b from cu), api as (select distinct n, r, p || '.Api' || n a, repo from cu),
+e as (select 'EXTENDS' edge_type, k src, 'q' || r || '.Base' || r dst from x where c % 4 <> 3
+union all select 'IMPLEMENTS', k, p || '.Api' || n from x union all select 'IMPLEMENTS', a, b from api join base using (r)
+union all select 'INJECTS', k, fk from x where c <> f union all select 'RECEIVES', m, fk from me union all select 'RETURNS', m, p || '.Api' || n from me
+union all select 'INSTANTIATES', m, fk from me where o = mo union all select 'THROWS', m, unnest(['q' || r || '.Fail' || r, 'java.io.IOException']) from me
+union all select 'OVERRIDES', k || '.run', 'q' || r || '.Base' || r || '.run' from x where c % 4 <> 3
+union all select 'HANDLES_EVENT', k, unnest(case when c % 4 <> 3 then ['q' || r || '.Base' || r] else [] end || ['Api' || n, 'ev.EventHandler']) from x where c % 5 = 0
+union all select 'ANNOTATED_WITH', k, 'Component' from x
+union all select 'HAS_METHOD', k, m from me union all select 'HAS_METHOD', k, k || '.run' from x union all select 'HAS_METHOD', a, a || '.run' from api union all select 'HAS_METHOD', b, b || '.run' from base
+union all select 'CONTAINS', repo, grp || ':' || art from mo union all select 'DECLARES', grp || ':' || art, k from mo join x on x.c = mo.c union all select 'DECLARES', 'h.n' || n || ':root' || n, a from api
+union all select 'DEPENDS_ON', a.grp || ':' || a.art, b.grp || ':' || b.art from dep join mo a on a.c = dep.c join mo b on b.c = d
+union all select distinct 'QUERIES_TABLE', k, name from me join tabs on name = upper('t_' || o || '_x') where c % 2 = 0 and o % 3 = 0
+union all select distinct 'READS_CONFIG', k, key from x join keys on key = case c % 3 when 0 then 'p.q' || fmo || 'q' when 1 then 'stF.o_' || fmo || '_zz' end)
+select distinct edge_type, src, dst from e""")
+def project_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """All edges of the projects by the fqn or name of their ends."""
+    table, source, types, units = _project(spark, sf)
     modules, tables, keys = files.modules(table), files.sql_tables(table), files.config_keys(table)
-    n = build.nodes(types, units, modules, tables, keys).select("id", F.coalesce("fqn", "name").alias("n"))
     found = build.edges(types, units, modules, tables, keys, web.table_uses(source, types, tables), web.config_uses(source, types, keys), web.remote_calls(units, web.endpoints(source, types, units)))
-    return found.join(n.toDF("src", "a"), "src").join(n.toDF("dst", "b"), "dst").select("edge_type", F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    name = build.nodes(types, units, modules, tables, keys).select("id", F.coalesce("fqn", "name").alias("n"))
+    return found.join(name.toDF("src", "a"), "src").join(name.toDF("dst", "b"), "dst").select("edge_type", F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
 
 
 # Sources written from the tables: parsed and linked whole, with the outcome in SQL.

@@ -1,12 +1,18 @@
 """Parsing, scanning and linking of the sample repositories, against what they hold."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
-from codegraph.operators import docs, java, web
+import codegraph
+from codegraph.operators import build, docs, java, web
+from codegraph.operators.extract import toml_keys
 from codegraph.operators.java import Source
-from codegraph.queries import QUERIES, SAMPLES
 from codegraph.sources import files
+from codegraph.storage import materialise
+
+SAMPLES = str(Path(codegraph.__file__).parent / "samples")
 
 JAVA = """package a.b; import x.y.Base; import java.util.*;
 /** Old. */
@@ -75,26 +81,68 @@ def test_chunks(spark):
     assert got["code_logic", "A.g"].text == "int g()\nint g() { return 1; }" and got["code_intent", "A.f(int)"].text == "Doc."
 
 
-def rows(spark, name):
-    return {tuple(r) for r in QUERIES[name](spark, "").collect()}
+def linked(table):
+    source = table.where("file_path like '%.java'")
+    types = materialise(java.parse(source), "types")
+    return source, types, materialise(java.units(types), "units")
+
+
+def modules(table):
+    d = F.transform("dependencies", lambda x: F.concat_ws(":", x["group_id"], x["artifact_id"], x["version"], x["scope"]))
+    return files.modules(table).select("repo", "group_id", "artifact_id", "version", F.array_join(d, ",").alias("dependencies"))
+
+
+def endpoints(table):
+    return web.endpoints(*linked(table)).select("path", "verb", "handler_fqn")
+
+
+def remote_calls(table):
+    source, types, units = linked(table)
+    return web.remote_calls(units, web.endpoints(source, types, units)).select("caller_fqn", "callee_fqn", "verb", "path")
+
+
+def named_edges(table):
+    source, types, units = linked(table)
+    m, tables, keys = files.modules(table), files.sql_tables(table), files.config_keys(table)
+    n = build.nodes(types, units, m, tables, keys).select("id", F.coalesce("fqn", "name").alias("n"))
+    found = build.edges(types, units, m, tables, keys, web.table_uses(source, types, tables), web.config_uses(source, types, keys), web.remote_calls(units, web.endpoints(source, types, units)))
+    return found.join(n.toDF("src", "a"), "src").join(n.toDF("dst", "b"), "dst").select("edge_type", F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+
+
+def rows(spark, f):
+    return {tuple(r) for r in f(files.files(spark, SAMPLES)).collect()}
+
+
+def test_toml_lines_are_trimmed(spark):
+    text = "early = 1\r\n  [a]\r\n  x = 1\n\ty.z=2\n# no = 1\n [ b.c]\n q = 1"
+    table = spark.createDataFrame([("f", text), ("g", ""), ("h", None)], "file string, text string")
+    assert {tuple(r) for r in toml_keys(table).collect()} == {("f", "[a]"), ("f", "a.x"), ("f", "a.y.z"), ("f", "[ b.c]"), ("f", " b.c.q")}
+
+
+def test_deepest_module_declares(spark):
+    """Folders are compared whole: k1 doesn't hold k10's types, and a type outside every module has none."""
+    pom = "<project><groupId>g</groupId><artifactId>{}</artifactId></project>"
+    rows_ = [("r", "r/k1/pom.xml", pom.format("k1")), ("r", "r/k1/in/pom.xml", pom.format("in")), ("r", "r/k1/A.java", "class A {}"), ("r", "r/k1/in/x/B.java", "class B {}"), ("r", "r/k10/C.java", "class C {}"), ("o", "o/D.java", "class D {}")]
+    got = {e for e in {tuple(r) for r in named_edges(spark.createDataFrame(rows_, "repo string, file_path string, text string")).collect()} if e[0] == "DECLARES"}
+    assert got == {("DECLARES", "g:k1", "A"), ("DECLARES", "g:in", "B")}
 
 
 def test_sql_tables(spark):
-    assert rows(spark, "sql_tables") == {("billing", "INVOICES", "billing/sql/schema.sql"), ("shop", "SHOP_ORDERS", "shop/dbscripts/h2.sql"), ("shop", "SHOP_ITEMS", "shop/dbscripts/h2.sql"), ("shop", "SHOP_LATE", "shop/src/main/resources/late.sql")}
+    assert rows(spark, files.sql_tables) == {("billing", "INVOICES", "billing/sql/schema.sql"), ("shop", "SHOP_ORDERS", "shop/dbscripts/h2.sql"), ("shop", "SHOP_ITEMS", "shop/dbscripts/h2.sql"), ("shop", "SHOP_LATE", "shop/src/main/resources/late.sql")}
 
 
 def test_config_keys(spark):
-    got = {(r[0], r[1], r[2]) for r in rows(spark, "config_keys")}
+    got = {(r[0], r[1], r[2]) for r in rows(spark, files.config_keys)}
     assert got == {("shop", "[server]", "toml"), ("shop", "server.port", "toml"), ("shop", "[db.main]", "toml"), ("shop", "db.main.url", "toml"), ("shop", "shop.limit", "xml"), ("shop", "xml:beans.cacheSize", "xml"), ("billing", "billing", "yaml"), ("billing", "server.port", "yaml")}
 
 
 def test_pom_modules(spark):
-    assert rows(spark, "pom_modules") == {("shop", "com.acme", "shop", "2.0", "org.lib:managed:1.1:test,com.acme:billing:1.0:compile"), ("billing", "com.acme", "billing", "UNKNOWN", "")}
+    assert rows(spark, modules) == {("shop", "com.acme", "shop", "2.0", "org.lib:managed:1.1:test,com.acme:billing:1.0:compile"), ("billing", "com.acme", "billing", "UNKNOWN", "")}
 
 
 def test_endpoints(spark):
-    assert rows(spark, "sample_endpoints") == {("/api/orders/{id}", "GET", "com.acme.shop.OrderController.find"), ("/api/orders", "POST", "com.acme.shop.OrderController.create"), ("/invoices", "GET", "com.acme.billing.InvoiceResource.handler"), ("/invoices/{id}", "GET", "com.acme.billing.InvoiceResource.read")}
-    assert rows(spark, "sample_remote_calls") == {("com.acme.billing.BillingClient.order(String)", "com.acme.shop.OrderController.find", "GET", "/api/orders")}
+    assert rows(spark, endpoints) == {("/api/orders/{id}", "GET", "com.acme.shop.OrderController.find"), ("/api/orders", "POST", "com.acme.shop.OrderController.create"), ("/invoices", "GET", "com.acme.billing.InvoiceResource.handler"), ("/invoices/{id}", "GET", "com.acme.billing.InvoiceResource.read")}
+    assert rows(spark, remote_calls) == {("com.acme.billing.BillingClient.order(String)", "com.acme.shop.OrderController.find", "GET", "/api/orders")}
 
 
 def test_endpoint_matching(spark):
@@ -105,7 +153,7 @@ def test_endpoint_matching(spark):
 
 
 def test_edges(spark):
-    got = rows(spark, "sample_edges")
+    got = rows(spark, named_edges)
     c, b = "com.acme.shop.", "com.acme.billing."
     some = {
         ("CONTAINS", "shop", "com.acme:shop"), ("DECLARES", "com.acme:billing", b + "BillingClient"), ("DEPENDS_ON", "com.acme:shop", "com.acme:billing"), ("HAS_METHOD", c + "Auditable", c + "Auditable.audit"),

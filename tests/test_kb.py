@@ -3,12 +3,15 @@
 import io
 import json
 import shutil
+from pathlib import Path
 
 import pytest
 
+import codegraph
 from codegraph import cli, kb
 from codegraph.model import Extractive
-from codegraph.queries import SAMPLES
+
+SAMPLES = str(Path(codegraph.__file__).parent / "samples")
 
 
 @pytest.fixture(scope="module")
