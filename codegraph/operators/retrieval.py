@@ -38,16 +38,37 @@ def throw_sites(nodes: DataFrame, name: str, most: int = 20) -> DataFrame:
     return nodes.where((F.col("label") == "LogicUnit") & production(F.col("file_path")) & held).orderBy("fqn", "id").limit(most)
 
 
-def embed(rows: DataFrame, embedder: Embedder, column: str = "text") -> DataFrame:
-    """rows with embedding."""
+def _halved(texts: list[str], embedder: Embedder) -> list[tuple[list[float] | None, str | None]]:
+    """A vector or an error for each text: a batch that fails is tried again in halves, down to single texts."""
+    try:
+        found = embedder.embed(texts)
+        if len(found) != len(texts):
+            raise ValueError(f"{len(found)} vectors for {len(texts)} texts")
+        return [(v, None) for v in found]
+    except Exception as e:  # any fault of the embedder is that text's result
+        if len(texts) == 1:
+            return [(None, f"{type(e).__name__}: {e}")]
+        half = len(texts) // 2
+        return _halved(texts[:half], embedder) + _halved(texts[half:], embedder)
+
+
+def tried(rows: DataFrame, embedder: Embedder, column: str = "text", batch: int = 64) -> DataFrame:
+    """rows with embedding and error, one of them null: texts go to the embedder in batches, null ones as empty."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield part.assign(embedding=embedder.embed(part[column].fillna("").tolist()))
+            texts = part[column].fillna("").tolist()
+            got = [x for i in range(0, len(texts), batch) for x in _halved(texts[i : i + batch], embedder)]
+            yield part.assign(embedding=pd.Series([v for v, _ in got], part.index, object), error=pd.Series([e for _, e in got], part.index, object))
 
     ship(rows.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInPandas(run, f"{fields}, embedding array<float>")
+    return rows.mapInPandas(run, f"{fields}, embedding array<float>, error string")
+
+
+def embed(rows: DataFrame, embedder: Embedder, column: str = "text") -> DataFrame:
+    """rows with embedding, null where the embedder fails."""
+    return tried(rows, embedder, column).drop("error")
 
 
 def semantic(spark: SparkSession, question: str, vectors: DataFrame, embedder: Embedder, k: int, where: str | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import kb
 from .functions import columns as C
 from .operators import build, communities, docs, extract, graph, java, links, postings, retrieval, tags, text, web
 from .sources import files, java_text, project_text
@@ -598,6 +599,16 @@ def project_edges(spark: SparkSession, sf: str) -> DataFrame:
     return found.join(name.toDF("src", "a"), "src").join(name.toDF("dst", "b"), "dst").select("edge_type", F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
 
 
+@query(f"with {PROJECT} select cast((select count(*) from cu) + (select count(distinct n) from cu) + 2 * (select count(distinct r) from cu) as bigint) components, cast((select count(*) from me) + (select count(*) from cu) + (select count(distinct n) from cu) + (select count(distinct r) from cu) as bigint) logic_units, cast((select count(*) from me where c % 2 = 0 and o % 3 = 0) as bigint) call_edges, cast((select sum(1 + (c % 4 <> 3)::int + (c % 5 = 0)::int) from cu) + (select count(distinct n) from cu) + (select count(distinct r) from cu) as bigint) implements_edges, (select count(*) from dep) depends_on_edges, 0 remote_calls, (select count(*) from tabs) db_tables, (select count(*) from keys) config_entries")
+def project_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """What the writes of parsing and linking count."""
+    count = kb.Counters()
+    table = materialise(project_text.projects(spark, sf), "projects")
+    kb.link(table, kb.parse(table, count), count)
+    found = count.all()
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{k} long" for k in found))
+
+
 # Sources written from the tables: parsed and linked whole, with the outcome in SQL.
 CLASS = "cls as (select c_custkey, c_mktsegment seg, c_nationkey, 'r' || n_regionkey || '.n' || n_nationkey || '.C' || c_custkey fqn from customer join nation on c_nationkey = n_nationkey), meth as (select o_orderkey, o_custkey, o_orderstatus st, o_orderpriority pr, fqn, seg, fqn || '.order' || o_orderkey mfqn, row_number() over (partition by o_custkey order by o_orderkey) i from orders join cls on c_custkey = o_custkey)"
 
