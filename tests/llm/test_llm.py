@@ -259,6 +259,24 @@ def test_html(spark):
     assert "only aaa here" in got[10].text and "every page" not in got[10].text
 
 
+def test_html_inline_chrome():
+    """Chrome within a paragraph goes, the paragraph stays and is as sure as its own text."""
+    inside = lambda x: html.blocks(f"<article>{x}</article>")
+    assert inside('<p>text <button>Share</button> more <label>Name</label> <a class="share">tweet</a></p>') == [("main", "text more")]
+    assert inside('real <span class="related">x<br>y</span> end') == [("main", "real x"), ("main", "y end")]
+    assert inside('<p class="related">all of it</p><p><span class="ad">a</span> <b class="promo">b</b></p>') == [("doubt", "all of it"), ("doubt", "a b")]
+    assert inside('<p>a<select><option>1<option>2</select>b <a href="x">link</a></p>') == [("main", "a"), ("main", "b link")]
+    assert html.blocks('<p>open <a class="share">x</a> text <!-- c --> here</p><button>no') == [("open", "open text here")]
+    assert html.blocks("") == [] and html.blocks("<p><button>only</button></p>") == []
+
+
+def test_html_is_whole_and_linear(spark):
+    """A page of a megabyte keeps all its paragraphs; repeated pages don't make each other boilerplate."""
+    page = "<article>" + "".join(f"<p>paragraph {i} says {i * 7}</p>" for i in range(30000)) + "</article>"
+    got = html.main_text(spark.createDataFrame([(1, "http://h/1", page), (1, "http://h/1", page)], "page_id long, url string, html string")).collect()
+    assert len(got) == 2 and all(r.text == "\n\n".join(f"paragraph {i} says {i * 7}" for i in range(30000)) and r.n_chars == len(r.text) for r in got)
+
+
 def test_mixing(docs, corpus, empty):
     got = mixing.mix_sources(docs).collect()
     sizes = {i: len((t or "").split()) for i, t, *_ in corpus}
