@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import kb
 from .config import Options
 from .functions.columns import intent
-from .model import Extractive
+from .model import embedder, text_model
 from .operators import answers, graph, links, retrieval, text, web
 
 
@@ -40,9 +40,10 @@ def _code(base: retrieval.Base, ids: DataFrame, context: int = 0) -> DataFrame:
 
 
 def run(args: argparse.Namespace, spark: SparkSession) -> int:
-    store, model, o = kb.Store(spark, args.store), Extractive(), Options.load()
+    o = Options.load()
+    store, model, vectors = kb.Store(spark, args.store), text_model(o), embedder(o)
     if args.command in ("ingest", "update"):
-        print(json.dumps(getattr(kb, args.command)(spark, args.mirror, args.store, model, at=args.at, gamma=o.leiden_gamma, levels=o.leiden_max_levels), default=str))
+        print(json.dumps(getattr(kb, args.command)(spark, args.mirror, args.store, model, vectors, at=args.at, gamma=o.leiden_gamma, levels=o.leiden_max_levels, options=o), default=str))
         return 0
     if args.command == "validate":
         bad = kb.validate(store)
@@ -51,7 +52,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
     if args.command == "stats":
         _show(kb.stats(store).orderBy("kind", "name"), args.json)
         return 0
-    base = kb.base(store, depth=args.depth)
+    base = kb.base(store, vectors, args.depth or o.traversal_depth)
     if args.command == "find":
         hits = retrieval.placed_hits(retrieval.search(base.lines, args.name, args.max))
         _show(hits.orderBy("place", "file_path", "line_number").select("place", "file_path", "line_number", "line"), args.json)
@@ -80,7 +81,13 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         _show(links.bridged(hits, base.nodes).orderBy("hit_id", "rn"), args.json)
         said = frames.select("exception").first()
         if said and said.exception:
-            _show(retrieval.search(base.lines, f"throw new {said.exception.rsplit('.', 1)[-1]}", 15), args.json)
+            thrown = retrieval.search(base.lines, f"throw new {said.exception.rsplit('.', 1)[-1]}", 15)
+            _show(thrown, args.json)
+            units = links.bridged(hits, base.nodes).where("rn = 1").join(base.nodes, "fqn").select("id").distinct()
+            code = answers.snippets_text(_code(base, units)).first()
+            shown = "\n".join(f"{x.class_fqn}.{x.method} ({x.file}:{x.line})" for x in frames.orderBy("frame_no").collect())
+            sites = "\n".join(f"{x.file_path}:{x.line_number}  {x.line}" for x in thrown.collect())
+            print(model.call(answers.debug_prompt(said.exception, shown, code.kept if code else "", sites), 900))
         return 0
     if args.command == "analyze-pr":
         near = [] if base.summaries is None else [r.community_id for r in retrieval.semantic_route(base, args.name, text.candidates(base.summaries.count(), args.candidates)).summaries.collect()]
@@ -105,9 +112,10 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    o = Options.load()
     p = argparse.ArgumentParser(prog="codegraph")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, depth in (("ingest", 3), ("update", 3), ("validate", 3), ("stats", 3), ("query", 3), ("explain", 2), ("trace", 2), ("callers", 2), ("find", 1), ("debug", 1), ("analyze-pr", 3)):
+    for name, depth in (("ingest", None), ("update", None), ("validate", None), ("stats", None), ("query", None), ("explain", 2), ("trace", 2), ("callers", 2), ("find", 1), ("debug", 1), ("analyze-pr", None)):
         c = sub.add_parser(name)
         c.add_argument("--store", required=True)
         c.add_argument("--json", action="store_true")
@@ -117,9 +125,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         elif name not in ("validate", "stats"):
             c.add_argument("name", help="question, name, or file of a stack trace (- for standard input)")
         c.add_argument("--depth", type=int, default=depth)
-        c.add_argument("--max", type=int, default=30)
-        c.add_argument("--context", type=int, default=6)
-        c.add_argument("--candidates", type=int, default=20)
+        c.add_argument("--max", type=int, default=o.grep_max_hits if name == "find" else 30)
+        c.add_argument("--context", type=int, default=o.context_lines)
+        c.add_argument("--candidates", type=int, default=o.candidates)
     return run(p.parse_args(argv), spark or SparkSession.builder.appName("codegraph").getOrCreate())
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import json
 import re
 import zlib
@@ -10,6 +11,8 @@ from typing import Protocol
 
 import numpy as np
 
+from .config import Options
+
 
 class TextModel(Protocol):
     def call(self, prompt: str, max_tokens: int) -> str: ...
@@ -67,3 +70,22 @@ def reflect(docstring: str, body: str, model: TextModel, rounds: int = 2, stop:
             break
         docstring = f"{docstring}\n{said}"
     return docstring
+
+
+def _made(kind: str, said: str, options: Options, default):
+    if said == "offline":
+        return default
+    module, _, name = said.partition(":")
+    if not module or not name:
+        raise ValueError(f"{kind} must be offline or module:function, not {said!r}")
+    return getattr(importlib.import_module(module), name)(options)
+
+
+def text_model(options: Options) -> TextModel:
+    """The text model that options name: the offline one, or what module:function makes of the options."""
+    return _made("text_model", options.text_model, options, Extractive())
+
+
+def embedder(options: Options) -> Embedder:
+    """The embedder that options name, likewise."""
+    return _made("embedder", options.embedder, options, HashEmbedder(options.embedding_size))

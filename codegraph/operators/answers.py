@@ -182,8 +182,26 @@ TASKS = {
 }
 
 
+#: What each kind of answer reads first, and how its evidence is headed.
+LAYOUTS = {
+    "code": (("snippets", "Source"), ("evidence", "Where it is used"), ("summaries", "Background")),
+    "safety": (("evidence", "Usages to check"), ("snippets", "Source of what changes"), ("summaries", "Areas around it")),
+    "capability": (("summaries", "What the areas do"), ("evidence", "Methods that may do it"), ("snippets", "Source")),
+    "impact": (("evidence", "What depends on it"), ("summaries", "Areas affected"), ("snippets", "Source")),
+    "narrative": (("evidence", "Steps found"), ("snippets", "Source in order"), ("summaries", "Areas passed")),
+    "general": (("summaries", "Summaries"), ("snippets", "Code"), ("evidence", "Graph")),
+}
+
+
 def prompt_for(question: str, intent: str, summaries: str, snippets: str, evidence: str) -> str:
-    return "\n\n".join([TASKS[intent], f"Question: {question}", f"Summaries:\n{summaries or '(none)'}", f"Code:\n{snippets or '(none)'}", f"Graph:\n{evidence}"])
+    have = {"summaries": summaries, "snippets": snippets, "evidence": evidence}
+    return "\n\n".join([TASKS[intent], f"Question: {question}", *(f"{head}:\n{have[name] or '(none)'}" for name, head in LAYOUTS[intent])])
+
+
+def debug_prompt(error: str, frames: str, snippets: str, throw_sites: str) -> str:
+    """What a model is asked for the cause of an error, from its frames, their source and the places that throw it."""
+    parts = (("Error", error or "(not named)"), ("Stack frames", frames or "(none)"), ("Source at the frames", snippets or "(not in the store)"), ("Places that throw it", throw_sites or "(none found)"))
+    return "\n\n".join(["Say what most likely caused this error, in which frame it began, and what to change.", *(f"{head}:\n{body}" for head, body in parts)])
 
 
 def prompt_tokens(prompt: str) -> int:

@@ -5,9 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from codegraph import model
 from codegraph.functions import columns as C
 from codegraph.model import Extractive, HashEmbedder, reflect
-from codegraph.operators import answers, extract, retrieval
+from codegraph.operators import answers, extract, graph, retrieval
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -158,3 +159,37 @@ def test_search_and_constants(spark):
 
 def test_json_of_extractive():
     assert json.loads(Extractive().call('Question: order storage\nSummary: storage of things\nAnswer {"score": 0-100}', 9)) == {"score": 50, "reason": "storage"}
+
+
+def test_prompts_by_intent():
+    """Each kind of answer has all evidence once, in its own order; what is missing is said."""
+    orders = {}
+    for kind in answers.TASKS:
+        p = answers.prompt_for("why?", kind, "SUM", "CODE", "GRAPH")
+        assert p.startswith(answers.TASKS[kind] + "\n\nQuestion: why?") and all(p.count(x) == 1 for x in ("\nSUM", "\nCODE", "\nGRAPH"))
+        orders[kind] = tuple(sorted(("SUM", "CODE", "GRAPH"), key=lambda x: p.index("\n" + x)))
+    assert orders["code"][0] == "CODE" and orders["impact"][0] == orders["safety"][0] == "GRAPH" and orders["general"] == ("SUM", "CODE", "GRAPH")
+    assert answers.prompt_for("q", "code", "", "", "G").count("(none)") == 2
+    said = answers.debug_prompt("a.B", "f1\nf2", "", "x.java:3  throw new B()")
+    assert "Error:\na.B" in said and "Stack frames:\nf1\nf2" in said and "(not in the store)" in said and said.endswith("throw new B()")
+
+
+def test_models_by_options(monkeypatch):
+    from codegraph.config import Options
+
+    assert isinstance(model.text_model(Options()), model.Extractive) and len(model.embedder(Options(embedding_size=7)).embed(["a b"])[0]) == 7
+    monkeypatch.setenv("TEXT_MODEL", "collections:Counter")
+    monkeypatch.setenv("EMBEDDING_BATCH_SIZE", "3")
+    monkeypatch.setenv("LEIDEN_RELATIONSHIPS", "CALLS, INJECTS,")
+    o = Options.load()
+    with pytest.raises(TypeError):  # the function named gets the options
+        model.text_model(o)
+    assert o.embedding_batch_size == 3 and o.relationships() == ("CALLS", "INJECTS")
+    with pytest.raises(ValueError):
+        model.embedder(Options(embedder="azure"))
+
+
+def test_order_by_community(spark):
+    found = spark.createDataFrame([("s", "b", 2), ("s", "a", 2), ("s", "c", 1), ("r", "a", 2), ("s", "d", None)], "seed string, affected string, community_id long")
+    nodes = spark.createDataFrame([("a", "z.A"), ("b", "y.B"), ("c", "x.C"), ("d", "a.D")], "id string, fqn string")
+    assert [(r.seed, r.affected) for r in graph.by_community(found, nodes).collect()] == [("r", "a"), ("s", "c"), ("s", "b"), ("s", "a"), ("s", "d")]
