@@ -3,13 +3,14 @@
 Texts are lower-cased and cut into runs of letters and digits. Each benchmark item is
 compared with item-sized windows of the documents: windows are placed where a document
 holds a shingle of an item of that size (a window that reaches the similarity must share
-one), and each gets a 64-bit SimHash of its counted five-word shingles. The multi-index cuts
-fingerprints into BLOCKS blocks; of two fingerprints within RADIUS bits, one block differs in
-RADIUS / BLOCKS bits at most, so the index holds each block of an item under all values that
-near, and a window is looked up by its own. Of the candidates within the radius, those
-whose exact weighted (counted) shingle similarity, sum of least over sum of greatest counts,
-is at least 0.8 are returned. SimHash itself may put a pair at exactly 0.8 beyond the radius,
-by chance about 1 in 100; equal word sequences are at distance 0.
+one), and each gets a SimHash of 256 bits (LONGS longs) of its counted five-word shingles. The
+multi-index cuts fingerprints into BLOCKS blocks of 16 bits; of two fingerprints within RADIUS
+bits, one block differs in RADIUS / BLOCKS bits (rounded down) at most, so the index holds each
+block of an item under all values that near, and a window is looked up by its own. Two
+unrelated fingerprints meet in the index with chance about 1 in 30. Of the candidates within
+the radius, those whose exact weighted (counted) shingle similarity, sum of least over sum of
+greatest counts, is at least 0.8 are returned. At exactly 0.8 SimHash expects 39 differing bits,
+so a few such pairs lie beyond the radius; equal word sequences are at distance 0.
 
 Edge cases: items and documents with null text or without words match nothing; an item with
 fewer than five words is one shingle, its whole sequence; a document shorter than an item is
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import fresh, materialise, table
 
-WORDS, RADIUS, BLOCKS = 5, 16, 6
+WORDS, LONGS, RADIUS, BLOCKS = 5, 4, 47, 16
+WIDTH = 64 * LONGS // BLOCKS
 #: Shingles of the benchmark up to which its index is broadcast (24 bytes each); a shuffled join beyond.
 BROADCAST = 1_000_000
 
@@ -47,23 +49,26 @@ def shingles(words: str, size: str) -> Column:
 
 
 def simhash(hashes: str) -> Column:
+    """LONGS longs: bit b of long j is the sign of the sum over shingles of bit b of their j-th rehash."""
     bit = "case when aggregate(hs, 0, (n, h) -> n + case when (shiftright(h, b) & 1L) = 1L then 1 else -1 end) > 0 then shiftleft(1L, b) else 0L end"
-    return F.expr(_let(hashes, "hs", f"aggregate(sequence(0, 63), 0L, (out, b) -> out | {bit})"))
+    long = _let("transform(all, h -> xxhash64(h, j))", "hs", f"aggregate(sequence(0, 63), 0L, (out, b) -> out | {bit})")
+    return F.expr(_let(hashes, "all", f"transform(sequence(0, {LONGS - 1}), j -> {long})"))
 
 
-_CUTS = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
+def distance(one: str, other: str) -> Column:
+    return F.expr(" + ".join(f"bit_count({one}[{j}] ^ {other}[{j}])" for j in range(LONGS)))
 
 
 def _blocks(print_: str) -> Column:
     """(block, bits) of the blocks of a fingerprint."""
-    return F.array(*(F.struct(F.lit(i).alias("block"), F.expr(f"shiftrightunsigned({print_}, {a}) & {(1 << b - a) - 1}L").alias("bits")) for i, (a, b) in enumerate(zip(_CUTS, _CUTS[1:], strict=False))))
+    places = [divmod(i * WIDTH, 64) for i in range(BLOCKS)]
+    return F.array(*(F.struct(F.lit(i).alias("block"), F.expr(f"shiftrightunsigned({print_}[{j}], {at}) & {(1 << WIDTH) - 1}L").alias("bits")) for i, (j, at) in enumerate(places)))
 
 
-def _near_bits(block: str) -> Column:
-    """All masks of a block with RADIUS / BLOCKS bits at most: a fixed number, 67 of the widest."""
-    masks = lambda width: ",".join(str(m) for m in range(1 << width) if m.bit_count() <= RADIUS // BLOCKS)
-    each = F.array(*(F.lit(masks(b - a)) for a, b in zip(_CUTS, _CUTS[1:], strict=False)))
-    return F.split(F.get(each, F.col(block)), ",").cast("array<long>")
+def _near_bits() -> Column:
+    """All masks of a block with RADIUS / BLOCKS bits at most: a fixed number, 137."""
+    masks = ",".join(str(m) for m in range(1 << WIDTH) if m.bit_count() <= RADIUS // BLOCKS)
+    return F.split(F.lit(masks), ",").cast("array<long>")
 
 
 def _matches(docs: DataFrame, benchmark: DataFrame, share: int = 80) -> DataFrame:
@@ -91,8 +96,8 @@ def _matches(docs: DataFrame, benchmark: DataFrame, share: int = 80) -> DataFram
     window = materialise(window, "windows")
     left = window.select("window", "size", "fingerprint", F.explode(_blocks("fingerprint")).alias("b")).select("window", "size", "fingerprint", "b.*")
     right = items.select("item", "size", F.col("fingerprint").alias("other"), F.explode(_blocks("fingerprint")).alias("b")).select("item", "size", "other", "b.*")
-    right = right.withColumn("mask", F.explode(_near_bits("block"))).withColumn("bits", F.col("bits").bitwiseXOR(F.col("mask"))).drop("mask")
-    pairs = left.join(right, ["size", "block", "bits"]).withColumn("distance", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("other"))))
+    right = right.withColumn("mask", F.explode(_near_bits())).withColumn("bits", F.col("bits").bitwiseXOR(F.col("mask"))).drop("mask")
+    pairs = left.join(right, ["size", "block", "bits"]).withColumn("distance", distance("fingerprint", "other"))
     pairs = pairs.where(F.col("distance") <= RADIUS).select("window", "item", "distance").distinct()
     # Counted shingles of both sides meet; the greatest counts follow from the totals.
     a = window.select("window", "key", "doc_id", "start", F.size("hashes").alias("na"), F.explode("hashes").alias("hash")).groupBy("window", "key", "doc_id", "start", "na", "hash").agg(F.count("*").alias("ca"))

@@ -1,7 +1,9 @@
 """Corpus operators against brute force, exact round trips and edge cases."""
 
+import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -178,6 +180,49 @@ def test_decontamination(spark, docs, corpus, empty):
     assert plan.columns == docs.columns and plan.count() == len(corpus) - len({r.doc_id for r in got})
 
 
+def test_decontamination_against_all_windows(spark):
+    """Every item-sized window of every document by counted shingles: found pairs are exact, recall at 0.8 and more is at least 0.9."""
+    rng = random.Random(8)
+    items = [words(rng, rng.randrange(5, 200) if i % 8 else 3, 40 if i % 5 == 0 else 4000) for i in range(40)] + [["same"] * 12]
+    items.append(list(items[3]))
+    rows = []
+    for i in range(260):
+        copy = list(items[i % len(items)])
+        for _ in range(i % 4):
+            at, how = rng.randrange(len(copy)), rng.randrange(3)
+            copy[at : at + (how < 2)] = ["edit"] * (how > 0)
+            copy = copy or ["edit"]
+        rows.append((i, " ".join(words(rng, rng.randrange(0, 40), 4000) + copy + words(rng, rng.randrange(0, 40), 4000))))
+    rows += [(900, "same " * 40), (901, ""), (902, None), (903, " ".join(items[7][:-1]))]
+
+    def counted(w):
+        k = min(5, len(w))
+        return collections.Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+
+    best = {}
+    for d, text in rows:
+        held = re.findall("[a-z0-9]+", text or "")
+        for n, item in enumerate(items):
+            b = counted(item)
+            if not set(map(tuple, (held[i : i + min(5, len(item))] for i in range(len(held))))) & b.keys():
+                continue
+            for start in range(max(0, len(held) - len(item)) + 1 if held else 0):
+                part = held[start : start + len(item)]
+                k = min(5, len(item))
+                a = collections.Counter(tuple(part[i : i + k]) for i in range(len(part) - k + 1))
+                common = (a & b).total()
+                if 100 * common >= 80 * (a | b).total():
+                    best[d, n] = max(best.get((d, n), 0), common / (a | b).total())
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert len(best) > 150 and got.keys() <= best.keys()
+    assert all(got[p] <= best[p] + 1e-12 for p in got)
+    assert {p for p in best if best[p] == 1} <= got.keys()
+    near = [p for p in best if best[p] < 1]
+    print("near pairs", len(near), "found", sum(p in got for p in near))
+    assert len(near) > 60 and sum(p in got for p in near) >= 0.9 * len(near)
+
+
 def test_decontamination_by_row(spark):
     """Rows are judged by their text: a null doc_id doesn't save one, a shared doc_id doesn't condemn another."""
     passage = " ".join(f"word{i}" for i in range(40))
