@@ -595,8 +595,35 @@ def project_edges(spark: SparkSession, sf: str) -> DataFrame:
     table, source, types, units = _project(spark, sf)
     modules, tables, keys = files.modules(table), files.sql_tables(table), files.config_keys(table)
     found = build.edges(types, units, modules, tables, keys, web.table_uses(source, types, tables), web.config_uses(source, types, keys), web.remote_calls(units, web.endpoints(source, types, units)))
-    name = build.nodes(types, units, modules, tables, keys).select("id", F.coalesce("fqn", "name").alias("n"))
-    return found.join(name.toDF("src", "a"), "src").join(name.toDF("dst", "b"), "dst").select("edge_type", F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    return _by_names(found, build.nodes(types, units, modules, tables, keys))
+
+
+def _by_names(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    name = nodes.select("id", F.coalesce("fqn", "name").alias("n"))
+    return edges.join(name.toDF("src", "a"), "src").join(name.toDF("dst", "b"), "dst").select("edge_type", F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+
+
+def project_before(table: DataFrame) -> DataFrame:
+    """A state of the projects from which they are reached: of the Java files some are missing, some declare other names and bases, some lie at two places."""
+    kind = F.when(F.col("file_path").endswith(".java"), F.crc32("file_path") % 6).otherwise(F.lit(5))
+    was = F.when(kind == 1, F.regexp_replace("text", "(class|interface) (\\w+)( extends \\w+)?", "$1 Old$2")).when(kind == 2, F.regexp_replace("text", "(\\w+) (m\\d+|run)\\(", "String $2old(")).otherwise(F.col("text"))
+    paths = F.when(kind == 0, F.array()).when(kind == 3, F.array("file_path", F.concat(F.lit("old/"), "file_path"))).otherwise(F.array("file_path"))
+    return table.select("repo", F.explode(paths.cast("array<string>")).alias("file_path"), was.alias("text"))
+
+
+@query(ORACLE["project_edges"])
+def project_edges_updated(spark: SparkSession, sf: str) -> DataFrame:
+    """project_edges by an update: links of an earlier state, of which only what changed files touch is joined again."""
+    table = materialise(project_text.projects(spark, sf), "projects")
+    before = materialise(project_before(table), "projects-before")
+    change = materialise(files.changed_files(before, table).where(F.col("file_path").endswith(".java")), "changes")
+    count = kb.Counters()
+    old = kb.parse(before, count)
+    links = materialise(kb.link(before, old, count)[1], "edges-before")
+    kept = old.join(change, ["repo", "file_path"], "left_anti")
+    types = kb.parse(table.join(change.where("change <> 'removed'"), ["repo", "file_path"], "left_semi"), kb.Counters(), kept)
+    nodes, edges, _ = kb.link(table, types, kb.Counters(), (old, links, change))
+    return _by_names(edges, nodes)
 
 
 @query(f"with {PROJECT} select cast((select count(*) from cu) + (select count(distinct n) from cu) + 2 * (select count(distinct r) from cu) as bigint) components, cast((select count(*) from me) + (select count(*) from cu) + (select count(distinct n) from cu) + (select count(distinct r) from cu) as bigint) logic_units, cast((select count(*) from me where c % 2 = 0 and o % 3 = 0) as bigint) call_edges, cast((select sum(1 + (c % 4 <> 3)::int + (c % 5 = 0)::int) from cu) + (select count(distinct n) from cu) + (select count(distinct r) from cu) as bigint) implements_edges, (select count(*) from dep) depends_on_edges, 0 remote_calls, (select count(*) from tabs) db_tables, (select count(*) from keys) config_entries")
