@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from codegraph.operators import graph
@@ -20,3 +21,15 @@ def test_blast_radius_of_many_seeds(spark, most):
     names = ["seed", "affected", "hop", "edge_type", "community_id"]
     key = lambda x: tuple(map(str, x))
     assert sorted(map(tuple, found.select(names).collect()), key=key) == sorted(map(tuple, plain.select(names).collect()), key=key) != []
+
+
+def test_postings_are_lists_of_segments(spark):
+    """A gram is one row a segment, not one for each row that holds it; keys are those that a scan finds, repeated ones once."""
+    from codegraph.operators import postings
+
+    rows = [(i, "the sea" if i % 3 else "ab", "és\U0001f600x" if i % 5 == 0 else None) for i in range(3000)] + [(1, "theory", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, more string").coalesce(1)
+    index = postings.build(d, "doc_id", ["text", "more"])
+    assert index.count() < 100
+    got = sorted(map(tuple, postings.candidates(index, ["the", "és\U0001f600", "theory"], "doc_id").collect()))
+    assert got == sorted({(w, i) for i, a, b in rows for w in ("the", "és\U0001f600", "theory") if w in a or w in (b or "")})
