@@ -23,6 +23,20 @@ def test_blast_radius_of_many_seeds(spark, most):
     assert sorted(map(tuple, found.select(names).collect()), key=key) == sorted(map(tuple, plain.select(names).collect()), key=key) != []
 
 
+def test_names_are_cut_out_where_one_may_begin(spark):
+    """Names within pieces, overlapping, short and beyond the BMP, by brute force; of a long text only what may be a name becomes a row."""
+    from codegraph.operators import web
+
+    names = ["N_1", "N_12", "T_7_X", "A", "É\U0001f600Z", "T_", "ZZZZ", ""]
+    texts = {"f": ["XN_12Y T_7_XX", "ZZZ"], "g": ["É\U0001f600ZA", None, ""], "h": ["Q" * 3000 + "N_1" + "Q" * 3000], "i": []}
+    want = sorted({(f, x) for f, ps in texts.items() for p in ps for x in names if x and p and x in p})
+    t = spark.createDataFrame(list(texts.items()), "file_path string, pieces array<string>")
+    known = spark.createDataFrame([(x,) for x in names], "name string")
+    assert sorted(map(tuple, web._contained(t, known).collect())) == want
+    cut = web._cutter({"N_1": [3, 4]})(iter([pa.RecordBatch.from_pydict({"file_path": ["h"], "pieces": [texts["h"]]})]))
+    assert sum(b.num_rows for b in cut) <= 2
+
+
 def test_postings_are_lists_of_segments(spark):
     """A gram is one row a segment, not one for each row that holds it; keys are those that a scan finds, repeated ones once."""
     from codegraph.operators import postings
