@@ -23,6 +23,18 @@ def test_blast_radius_of_many_seeds(spark, most):
     assert sorted(map(tuple, found.select(names).collect()), key=key) == sorted(map(tuple, plain.select(names).collect()), key=key) != []
 
 
+def test_types_are_given_out_in_pieces():
+    """What a task holds at once follows neither the batch nor its types: many files come out as several small batches, with the same rows."""
+    from codegraph.operators import java
+
+    text = "package a;\nclass A {\n" + "    void f() { g(); new B(); }\n" * 2000 + "}\n"
+    n = 4 * java.PIECE // len(text)
+    part = pa.RecordBatch.from_pydict({"file_path": [f"f{i}" for i in range(n)], "repo": ["r"] * n, "text": [text] * n})
+    out = list(java._rows(iter([part])))
+    assert sum(b.num_rows for b in out) == n and len(out) >= 4 and max(b.num_rows for b in out) <= n // 3
+    assert [r["file_path"] for b in out for r in b.to_pylist()] == [f"f{i}" for i in range(n)]
+
+
 def test_names_are_cut_out_where_one_may_begin(spark):
     """Names within pieces, overlapping, short and beyond the BMP, by brute force; of a long text only what may be a name becomes a row."""
     from codegraph.operators import web
