@@ -59,3 +59,12 @@ def test_postings_are_lists_of_segments(spark):
     assert index.count() < 100
     got = sorted(map(tuple, postings.candidates(index, ["the", "és\U0001f600", "theory"], "doc_id").collect()))
     assert got == sorted({(w, i) for i, a, b in rows for w in ("the", "és\U0001f600", "theory") if w in a or w in (b or "")})
+
+
+@pytest.mark.parametrize("name", ["callers_d2", "callees_d2"])
+def test_walks_carry_no_names(spark, name):
+    """What is ranked for each target are numbers; the names are ordered once, before they meet the walks."""
+    from codegraph.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "fqn" not in plan
