@@ -5,10 +5,12 @@ vector belongs to its nearest pivot; cells are cut to blocks of BLOCK vectors. E
 meets the nearest cells that hold k vectors; the k-th distance there bounds what the other cells
 can add, so of them only those remain that the bound reaches, and in them the vectors whose own
 distance to the pivot it reaches. Queries and vectors meet by an equi-join on (cell, block): no
-product of both, whatever their sizes.
+product of both, whatever their sizes. What meets is measured as a matrix product and cut to k
+for each query within its task; only those near the k-th are measured term by term, in the order
+of the metric's own expression, so distances and ties are those of the expression.
 
 The driver holds the pivots and a row for each cell, both bounded by PIVOTS. A metric without a
-known form that obeys the triangle inequality (see _TRUE) meets all blocks.
+known form that obeys the triangle inequality (see _TRUE) meets all blocks, a row for each pair.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,6 +29,8 @@ from ..storage import materialise, ship
 
 #: Pivots at most, vectors they are fitted on, vectors of a block; slack of bounds against rounding.
 PIVOTS, SAMPLE, BLOCK, SLACK = 64, 4096, 8192, 1e-6
+#: Queries that a block of vectors meets at once; elements of a matrix of distances; pairs measured term by term at once.
+ASKED, CELLS, PAIRS = 8192, 1 << 21, 1 << 16
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -50,6 +55,67 @@ _TRUE = {
 }
 
 
+def _cosines(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances nearly, and by how much at most each row of them is off."""
+    size = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    return 1 - size(q) @ size(v).T, np.full(len(q), 1e-9)
+
+
+def _squares(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    a, b = (q * q).sum(1), (v * v).sum(1)
+    return a[:, None] + b[None, :] - 2 * (q @ v.T), 1e-9 * (1 + a + b.max())
+
+
+def _sum(terms: Iterator[np.ndarray]) -> np.ndarray:
+    """Terms added one after another, as F.aggregate does."""
+    return sum(terms, 0.0)
+
+
+def _exact_cosine(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    dot = lambda x, y: _sum(x[:, i] * y[:, i] for i in range(x.shape[1]))
+    return 1 - dot(v, q) / (np.sqrt(dot(v, v)) * np.sqrt(dot(q, q)))
+
+
+def _exact_square(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return _sum((v[:, i] - q[:, i]) * (v[:, i] - q[:, i]) for i in range(v.shape[1]))
+
+
+#: By metric: distances of a block as a matrix, and of pairs term by term.
+_BLOCKS = {cosine_distance: (_cosines, _exact_cosine), squared_l2: (_squares, _exact_square)}
+
+
+def _met(metric: Callable, k: int, names: tuple[str, str], bounded: bool):
+    """The k nearest of a block's vectors for each query that asks it, ties by vec_id; bounded leaves out what the triangle inequality rules out."""
+    near, exact = _BLOCKS[metric]
+
+    def run(asked: pa.Table, placed: pa.Table) -> pa.Table:
+        asked, placed = asked.combine_chunks(), placed.combine_chunks()
+        at, which, d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if asked.num_rows and placed.num_rows:
+            q, v = (_matrix(t[c].combine_chunks(), t.num_rows) for t, c in ((asked, "query"), (placed, "embedding")))
+            place = np.empty(len(v), np.int64)
+            place[pc.sort_indices(placed["vec_id"], null_placement="at_start").to_numpy()] = np.arange(len(v))
+            if bounded:
+                away, bound, r = asked["away"].to_numpy(), asked["bound"].to_numpy(), placed["r"].to_numpy()
+            step = max(1, CELLS // len(v))
+            for low in range(0, len(q), step):
+                rough, slack = near(q[low : low + step], v)
+                if bounded:
+                    rough[np.abs(away[low : low + step, None] - r[None, :]) > bound[low : low + step, None]] = np.inf
+                last = np.partition(rough, k - 1, 1)[:, k - 1] if len(v) > k else np.full(len(rough), np.inf)
+                i, j = np.nonzero((rough <= (last + 2 * slack)[:, None]) & (rough < np.inf))
+                far = np.concatenate([np.zeros(0), *(exact(v[j[x : x + PAIRS]], q[low + i[x : x + PAIRS]]) for x in range(0, len(i), PAIRS))])
+                order = np.lexsort((place[j], far, i))
+                i, j, far = i[order], j[order], far[order]
+                first = np.arange(len(i)) - np.searchsorted(i, i) < k
+                at.append(low + i[first])
+                which.append(j[first])
+                d.append(far[first])
+        return pa.table({names[0]: asked["query_id"].take(pa.array(np.concatenate(at))), names[1]: placed["vec_id"].take(pa.array(np.concatenate(which))), "d": pa.array(np.concatenate(d))})
+
+    return run
+
+
 def _pivots(sample: np.ndarray) -> np.ndarray:
     """Centres of the sample by k-means; rows of the sample stand in for empty ones."""
     rng = np.random.default_rng(7)
@@ -139,14 +205,24 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: Callable[[Co
         both = both if near is None else both.where(near)
         return both.select("query_id", "vec_id", metric(F.col("embedding"), F.col("query")).alias("d"))
 
+    parts = max(1, -(-asked.count() // ASKED)) if metric in _BLOCKS else 1
+    part = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+
+    def met(side: DataFrame, bounded: bool) -> DataFrame:
+        """meet() by blocks: a block of vectors comes together with all queries that ask it, ASKED or so at most."""
+        side = side.join(asked, "query_id").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks[F.col("cell")].cast("long") - 1))).withColumn("part", part)
+        there = placed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        both = side.groupBy("cell", "block", "part").cogroup(there.groupBy("cell", "block", "part"))
+        return both.applyInArrow(_met(metric, k, ("query_id", "vec_id"), bounded), out)
+
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("d", "vec_id"))
     best = lambda rows: rows.withColumn("rank", rank).where(F.col("rank") <= k)
     if true is None:
         found = best(meet(asks, None))
     else:
-        begun = materialise(best(meet(asks.where("first"), None)), "begun")
+        begun = materialise(best(met(asks.where("first"), False) if metric in _BLOCKS else meet(asks.where("first"), None)), "begun")
         bound = begun.groupBy("query_id").agg((true(F.max("d")) + SLACK).alias("bound"))
         rest = asks.where("not first").join(bound, "query_id").where(F.col("least") <= F.col("bound"))
-        more = meet(rest, F.abs(F.col("away") - F.col("r")) <= F.col("bound"))
+        more = met(rest, True) if metric in _BLOCKS else meet(rest, F.abs(F.col("away") - F.col("r")) <= F.col("bound"))
         found = best(begun.drop("rank").unionByName(more))
     return found.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("d", 6).alias("distance"))

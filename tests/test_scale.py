@@ -68,3 +68,29 @@ def test_walks_carry_no_names(spark, name):
 
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan and "fqn" not in plan
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_nearest_makes_no_row_for_each_pair(spark, monkeypatch, metric):
+    """A block gives out k vectors for each query at most; distances and ties, also of copies, are those of the metric's expression."""
+    import numpy as np
+    from pyspark.sql import Window as W
+
+    from codegraph.functions.columns import squared_l2
+    from codegraph.operators import neighbours
+
+    for name, small in (("BLOCK", 40), ("ASKED", 16), ("CELLS", 300), ("PAIRS", 7)):
+        monkeypatch.setattr(neighbours, name, small)
+    F, way = graph.F, {"cosine": neighbours.cosine_distance, "l2": squared_l2}[metric]
+    x = np.random.default_rng(5).normal(size=(600, 9)).astype(np.float32)
+    x[200:300] = x[7]
+    v = spark.createDataFrame([(i, [float(a) for a in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    q = v.where("vec_id % 9 = 7").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    d = q.crossJoin(v).select("query_id", "vec_id", way(F.col("embedding"), F.col("query")).alias("d"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("d", "vec_id")).cast("long")
+    want = d.withColumn("rank", rank).where("rank <= 12").select("query_id", "vec_id", "rank", F.round("d", 6).alias("distance"))
+    found = neighbours.nearest(q, v, 12, way)
+    assert "zip_with" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    side = pa.table({"query_id": [1, 2], "query": [[1.0, 2.0], [2.0, 1.0]]})
+    assert neighbours._met(way, 3, ("query_id", "vec_id"), False)(side, pa.table({"vec_id": list(range(500)), "embedding": [[1.0, 2.0]] * 500})).num_rows == 6
