@@ -94,3 +94,18 @@ def test_nearest_makes_no_row_for_each_pair(spark, monkeypatch, metric):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
     side = pa.table({"query_id": [1, 2], "query": [[1.0, 2.0], [2.0, 1.0]]})
     assert neighbours._met(way, 3, ("query_id", "vec_id"), False)(side, pa.table({"vec_id": list(range(500)), "embedding": [[1.0, 2.0]] * 500})).num_rows == 6
+
+
+def test_groups_of_a_source_are_looked_up():
+    """A group's end and the calls of a body are found without going over their tokens again: 4,000 groups that never end take no 4,000 ways to the end of the file."""
+    import time
+
+    from codegraph.operators import java
+
+    text = "class A {\n  void f() {\n" + "    new B<x(1); g(2);\n" * 4000 + "  }\n}\n"
+    began = time.process_time()
+    unit = next(java.Source(text).types())["logic_units"][0]
+    assert time.process_time() - began < 3
+    assert unit["name"] == "f" and unit["end_line"] == 4003
+    odd = next(java.Source("/** d */ class É { // x\n int a = 1; /* ( */ void f(B b) { é.g(\"(\"); this . h(); new C<D>(); } }").types())
+    assert odd["docstring"] == "/** d */" and [(u["calls"], u["instantiates"], u["start_line"]) for u in odd["logic_units"]] == [(["é.g", "this.h"], ["C"], 2)]
