@@ -109,3 +109,17 @@ def test_groups_of_a_source_are_looked_up():
     assert unit["name"] == "f" and unit["end_line"] == 4003
     odd = next(java.Source("/** d */ class É { // x\n int a = 1; /* ( */ void f(B b) { é.g(\"(\"); this . h(); new C<D>(); } }").types())
     assert odd["docstring"] == "/** d */" and [(u["calls"], u["instantiates"], u["start_line"]) for u in odd["logic_units"]] == [(["é.g", "this.h"], ["C"], 2)]
+
+
+def test_endpoints_take_one_pass_over_the_files(spark):
+    """Annotations of all kinds in one reading of the texts for Spring and one for JAX-RS; files without one are neither cut nor searched."""
+    from codegraph.operators import java, web
+
+    texts = ['@RequestMapping("/r") class A { @GetMapping("/a") public int f() { } @PostMapping("/b")\n public int g() { } @GetMapping("/c") }', '\r\n@Path("/p")\r\n@POST\r\nclass B { public X h() { } }\n@Path( "/q" )\nint z;\n', "class C { String path; }", "@GetMapping(value) class D { }"]
+    files = spark.createDataFrame([(f"f{i}", "r", t) for i, t in enumerate(texts)], "file_path string, repo string, text string")
+    types = java.parse(files).cache()
+    found = web.endpoints(files, types, java.units(types))
+    got = [(*r.ord, r.path, r.verb, r.handler_fqn) for r in found.orderBy("ord").collect()]
+    assert got == [("f0", 0, 0, "/a", "GET", "A.f"), ("f0", 0, 1, "/c", "GET", "A.handler"), ("f0", 1, 0, "/b", "POST", "A.g"), ("f0", 6, 0, "/r", "GET", "A.f"), ("f1", 7, 1, "/p", "POST", "B.h"), ("f1", 7, 4, "/q", "POST", "B.handler")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") and plan.count("Generate ") <= 4
