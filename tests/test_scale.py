@@ -123,3 +123,12 @@ def test_endpoints_take_one_pass_over_the_files(spark):
     assert got == [("f0", 0, 0, "/a", "GET", "A.f"), ("f0", 0, 1, "/c", "GET", "A.handler"), ("f0", 1, 0, "/b", "POST", "A.g"), ("f0", 6, 0, "/r", "GET", "A.f"), ("f1", 7, 1, "/p", "POST", "B.h"), ("f1", 7, 4, "/q", "POST", "B.handler")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") and plan.count("Generate ") <= 4
+
+
+def test_edges_are_distinct_before_they_are_text(spark):
+    """Pairs are grouped as numbers: no plan of an edge kind groups by ids made of text."""
+    from codegraph.sources.derived import edges
+
+    for kind in ("CALLS", "QUERIES_TABLE", "READS_CONFIG", "INSTANTIATES", "DEPENDS_ON"):
+        plan = edges(spark, "/root/testdata/sf0.001", kind)._jdf.queryExecution().optimizedPlan().toString()
+        assert all("src" not in x.split("Aggregate [")[1].split("]")[0] for x in plan.splitlines() if "Aggregate [" in x), kind
