@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from codegraph.operators import graph
+from codegraph.operators import graph, java
 
 
 @pytest.mark.parametrize("most", [1 << 16, 12])
@@ -132,3 +132,25 @@ def test_edges_are_distinct_before_they_are_text(spark):
     for kind in ("CALLS", "QUERIES_TABLE", "READS_CONFIG", "INSTANTIATES", "DEPENDS_ON"):
         plan = edges(spark, "/root/testdata/sf0.001", kind)._jdf.queryExecution().optimizedPlan().toString()
         assert all("src" not in x.split("Aggregate [")[1].split("]")[0] for x in plan.splitlines() if "Aggregate [" in x), kind
+
+
+def test_parse_leaves_out_what_is_not_read(spark):
+    """Without units types and fields are the same; without bodies all but texts, calls and creations is."""
+    text = """package p; import q.Base;
+    /** A. */ @Component public class A<T extends Comparable<T>> extends Base implements I, J<Map<String, T>> {
+        @Autowired private B b, c[]; int n = f(1, new int[] { 2 });
+        static { g(); }
+        public A(@Named("x,y)") Map<String, List<T>> m, int... many) throws E, F { this.b = new B(m); h("}"); }
+        /** Doc. */ @Override public <X> X run(final X x) [] { if (x == null) { return make(x); } return x; }
+        abstract void none();
+        enum K { ONE { int z() { return 1; } }, TWO; void in() { } }
+    }
+    interface I { default int one() { return two(); } int two(); }"""
+    files = spark.createDataFrame([("r", "A.java", text), ("r", "broken.java", "class C { void m(int a { } "), ("r", "none.java", None)], "repo string, file_path string, text string")
+    rows = lambda **how: {r.fqn: r.asDict(True) for r in java.parse(files, **how).collect()}
+    whole, types, heads = rows(), rows(units=False), rows(bodies=False)
+    assert set(whole) >= {"p.A", "p.A.K", "p.I"} and len(whole["p.A"]["logic_units"]) == 3
+    assert [u["calls"] for u in whole["p.A"]["logic_units"]] == [["h"], ["make"], []]
+    assert types == {k: v | {"logic_units": []} for k, v in whole.items()}
+    lean = {"body_text": None, "calls": [], "instantiates": []}
+    assert heads == {k: v | {"logic_units": [u | lean for u in v["logic_units"]]} for k, v in whole.items()}
