@@ -154,3 +154,20 @@ def test_deletes(spark):
     assert [text.candidates(x) for x in (0, 10, 60, 100, 1000)] == [0, 10, 20, 25, 50]
 
 
+
+
+def test_half_sweep_tells_the_score_before(spark):
+    """The score read off a half sweep is that of the communities it began with, with links within nodes too; one half stays."""
+    r = random.Random(7)
+    rows = {(a, b): float(r.randint(1, 5)) for a, b in (sorted((r.choice("abcdefghij"), r.choice("abcdefghij"))) for _ in range(40))}
+    graph_ = spark.createDataFrame([(a, b, w) for (a, b), w in rows.items()], "a string, b string, w double")
+    k = {x: sum(w * ((a == x) + (b == x)) for (a, b), w in rows.items()) for x in "abcdefghij"}
+    both = spark.createDataFrame([(a, b, w, k[a]) for (a, b), w in rows.items()] + [(b, a, w, k[b]) for (a, b), w in rows.items() if a != b], "a string, b string, w double, k double")
+    m, loops = sum(rows.values()), sum(w for (a, b), w in rows.items() if a == b)
+    members = spark.createDataFrame([(x, "abc"[i % 3], d) for i, (x, d) in enumerate(k.items()) if d], "id string, community string, k double")
+    moved, score = communities._half_sweep(both, members, 1.5, m, loops, 0, 3)
+    assert loops and abs(score - communities._score(graph_, members, 1.5, m)) < 1e-12
+    before, after = ({r.id: r.community for r in df.collect()} for df in (members, moved))
+    assert before.keys() == after.keys() and before != after
+    still = {r.id for r in members.where("pmod(xxhash64(id, 3), 2) = 1").collect()}
+    assert all(before[x] == after[x] for x in still)
