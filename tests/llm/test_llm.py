@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codegraph.llm import decontaminate, gsaca, html, langid, media, mixing, neardup, quality, substring, suffixdedup, warc
+from codegraph.llm.textops import prefix, range_hash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -315,6 +316,44 @@ def test_html_inline_chrome():
     assert html.blocks("") == [] and html.blocks("<p><button>only</button></p>") == []
 
 
+def test_html_runs_by_suffix_arrays(spark, monkeypatch):
+    """Open pages lose the runs of eight words, and whole shorter blocks, that another page of their host holds; against brute force."""
+    r = random.Random(11)
+    words, shared = [f"w{i}" for i in range(12)], [[f"s{r.randrange(5)}" for _ in range(20)] for _ in range(6)]
+    pages = []
+    for i in range(60):
+        blocks = []
+        for _ in range(r.randint(1, 5)):
+            part = r.choice(shared)
+            a = r.randrange(12)
+            blocks.append(r.choice([[r.choice(words) for _ in range(r.randint(1, 4))], [r.choice(words) for _ in range(30)], [*(r.choice(words) for _ in range(3)), *part[a : a + r.randint(5, 12)], "é"]]))
+        pages.append((r.randrange(40), f"http://H{r.randrange(3)}/{i}", blocks))
+    runs = lambda b: {(k, min(k + html.RUN, len(b))): tuple(b[k : k + html.RUN]) for k in range(max(1, len(b) - html.RUN + 1))}
+    where = collections.defaultdict(set)
+    for page_id, url, blocks in pages:
+        for b in blocks:
+            for run in runs(b).values():
+                where[url[7:9], run].add(page_id)
+    want = []
+    for page_id, url, blocks in pages:
+        left = []
+        for b in blocks:
+            gone = {k for (x, y), run in runs(b).items() if len(where[url[7:9], run]) > 1 for k in range(x, y)}
+            left.append(" ".join(w for k, w in enumerate(b) if k not in gone))
+        want.append((url, "\n\n".join(x for x in left if x)))
+    df = spark.createDataFrame([(p, u, "".join(f"<p>{' '.join(b)}</p>" for b in x)) for p, u, x in pages], "page_id long, url string, html string")
+    got = [(x.url, x.text) for x in html.main_text(df).collect()]
+    assert sorted(got) == sorted(want) and sum(t != "\n\n".join(map(" ".join, b)) for (_, t), (_, _, b) in zip(want, pages, strict=True)) > 20
+    # The arrays decide: a block's contexts that differ share a run of words.
+    rule = html.Rule(html.RUN, html.RUN // 2, True, False, True)
+    parts = [np.array(x, np.uint64) for x in ([1, *range(10, 19), 2], [3, *range(10, 19), 4, 5], [6, 7, *range(10, 17), 8, 9])]
+    seed = range_hash(prefix(parts[0]), np.array([1]), np.array([5])).view(np.int64).repeat(3)
+    mark = lambda docs: {i: np.flatnonzero(f).tolist() for i, f in suffixdedup.marked(seed, np.array(docs), [x.tobytes() for x in parts], rule)}
+    assert mark([1, 2, 3]) == {0: [1, 2], 1: [1, 2]} and mark([1, 1, 3]) == {}
+    monkeypatch.setattr(suffixdedup, "suffix_array", lambda symbols: list(range(len(symbols))))
+    assert mark([1, 2, 3]) == {}
+
+
 def test_html_is_whole_and_linear(spark):
     """A page of a megabyte keeps all its paragraphs; repeated pages don't make each other boilerplate."""
     page = "<article>" + "".join(f"<p>paragraph {i} says {i * 7}</p>" for i in range(30000)) + "</article>"
