@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from codegraph.operators import graph, java
+from codegraph.operators import graph, java, web
 
 
 @pytest.mark.parametrize("most", [1 << 16, 12])
@@ -154,3 +154,13 @@ def test_parse_leaves_out_what_is_not_read(spark):
     assert types == {k: v | {"logic_units": []} for k, v in whole.items()}
     lean = {"body_text": None, "calls": [], "instantiates": []}
     assert heads == {k: v | {"logic_units": [u | lean for u in v["logic_units"]]} for k, v in whole.items()}
+
+
+def test_cutter_hands_on_many_files_at_once():
+    """What is cut out of many files comes in few batches, each file's names once."""
+    files = pa.RecordBatch.from_pydict({"file_path": pa.array([f"f{i}" for i in range(3000)]), "pieces": pa.array([[f"x t_{i}_x", None, f"t_{i}_x"] if i % 3 else None for i in range(3000)], pa.list_(pa.string()))})
+    out = list(web._cutter({"t_1": [5, 6, 7], "t_2": [5]})(iter([files, files.slice(0, 0)])))
+    assert len(out) == 1 and 0 < out[0].num_rows < web.CUTS
+    found = sorted(zip(out[0]["file_path"].to_pylist(), out[0]["name"].to_pylist(), strict=True))
+    want = sorted((f"f{i}", f"t_{i}_x"[:k]) for i in range(3000) if i % 3 for k in ({"1": (5, 6, 7), "2": (5,)}.get(str(i)[0], ())) if k <= len(f"t_{i}_x"))
+    assert found == want
