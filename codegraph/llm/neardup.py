@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, free, fresh, materialise, prepare, table
-from .textops import batches, column, longs, mix, prefix, range_hash, word_hashes
+from .textops import LESS, batches, column, longs, mix, prefix, range_hash, word_hashes
 
 WORDS, BUCKETS, ROWS, MANTISSA = 5, 128, 4, 10
 #: Parts into which a join deals the rows of one group.
@@ -94,7 +94,7 @@ def band_keys(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sign(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, data, offs in batches(rows):
+    for batch, data, offs in batches(rows, most=LESS):
         sets = shingle_sets(data, offs)
         index = np.arange(1, 1 + max((len(x) for x in sets), default=0), dtype=np.uint64)
         one = np.array([mix(x).sum(dtype=np.uint64) for x in sets], np.uint64)
@@ -112,7 +112,7 @@ def _bands(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, data, offs in batches(rows):
+    for batch, data, offs in batches(rows, most=LESS):
         yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([x.tobytes() for x in shingle_sets(data, offs)], pa.binary())], names=["doc_id", "hashes"])
 
 

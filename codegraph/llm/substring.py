@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .textops import batches, column, word_spans
+from .textops import LESS, batches, column, word_spans
 from .windows import Rule, cover, keyed, repeated, window_hashes
 
 WINDOW = 50
@@ -77,7 +77,7 @@ def factors(seed: np.ndarray, doc: np.ndarray, parts: list[bytes], rule: Rule) -
 
 def _strip(texts: bool):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offs in batches(rows):
+        for batch, data, offs in batches(rows, most=LESS):
             starts, ends, first = word_spans(data, offs)
             raw = data.tobytes()
             total, gone, sha, kept = [], [], [], []

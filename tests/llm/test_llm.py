@@ -4,14 +4,16 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from codegraph.llm import decontaminate, gsaca, html, langid, media, mixing, neardup, quality, substring, suffixdedup, warc
-from codegraph.llm.textops import prefix, range_hash
+from codegraph.llm import decontaminate, gsaca, html, langid, media, mixing, neardup, quality, substring, suffixdedup, warc, windows
+from codegraph.llm.textops import byte_values, prefix, range_hash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -167,6 +169,33 @@ def test_suffix_dedup(docs, corpus, empty, monkeypatch):
     assert suffixdedup.strip_documents(empty).count() == 0
 
 
+def test_suffix_blocks_take_little_memory():
+    """Comparing blocks takes some tens of bytes for each byte of the array at hand, however many blocks a task gets; the windows found are those of brute force."""
+    r = random.Random(3)
+    rule = windows.Rule(256, 24, False, True)
+    text = lambda n: bytes(r.choice(b"abcdefgh ") for _ in range(n))
+    seeds, parts, want = [], [], {}
+    for _ in range(60):
+        core, first = text(300), {}
+        seed = int(range_hash(prefix(byte_values(np.frombuffer(core, np.uint8))), np.array([100]), np.array([124])).view(np.int64)[0])
+        for k in range(12):
+            part = text(50) + (core if k % 3 else core[:60] + text(30) + core[90:]) + text(100)
+            found = [i for i in range(len(part) - 255) if first.setdefault(part[i : i + 256], k) < k]
+            if found:
+                want[seed, len(parts)] = found
+            seeds.append(seed)
+            parts.append(part)
+    order = sorted(range(len(parts)), key=lambda i: seeds[i])
+    whole = pa.RecordBatch.from_pydict({"seed": pa.array([seeds[i] for i in order]), "context": pa.array(order), "doc": pa.array(order), "edge": pa.array([True] * len(order)), "units": pa.array([parts[i] for i in order], pa.binary())})
+    run = windows._resolve(rule, suffixdedup.marked)
+    tracemalloc.start()
+    got = [x for out in run(whole.slice(i, 100) for i in range(0, len(order), 100)) for x in out.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(x["seed"], x["context"]): [i for a, b in zip(x["runs"][::2], x["runs"][1::2], strict=True) for i in range(a, b)] for x in got} == want
+    assert len(want) == 60 * 7 and sum(map(len, parts)) > 300_000 and peak < 20_000_000
+
+
 def test_decontamination(spark, docs, corpus, empty):
     passage = corpus[3][1].split()[10:40] if len(corpus[3][1].split()) > 40 else corpus[5][1].split()[:30]
     bench = spark.createDataFrame([(1, " ".join(passage).upper()), (2, "nothing like this is there at all in any text"), (3, None), (4, "w1a")], "item_id long, text string")
