@@ -190,3 +190,13 @@ def test_bodies_that_may_ask(spark):
     bodies = ['restTemplate.get("http://h/a")', 'x.get("/b")', "return 1;", None, 'new HttpPut( "/c")', "restTemplate"]
     df = spark.createDataFrame([(f"u{i}", str(i), b) for i, b in enumerate(bodies)], "fqn string, geid string, body_text string")
     assert {r.fqn for r in df.where(web.may_ask(F.col("body_text"))).collect()} == {"u0", "u1", "u4"} == {r.caller_fqn for r in web.outbound(df).collect()}
+
+
+def test_calls_meet_once(spark):
+    """A method's targets are distinct without a shuffle of their own; edges are, whoever calls."""
+    from codegraph.operators import build
+
+    units = spark.createDataFrame([(1, "a.A.f", "a.A", ["g", "this.g", "a.B.h"]), (1, "a.A.f", "a.A", ["g"]), (2, "a.A.g(int)", "a.A", []), (3, "a.B.h", "a.B", ["a.A.g"])], "geid long, fqn string, owner string, calls array<string>")
+    found = build.calls(units)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 2), (1, 3), (3, 2)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
