@@ -4,6 +4,7 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from codegraph.operators import graph, java, web
 
@@ -185,8 +186,6 @@ def test_sources_travel_as_numbers(spark):
 
 def test_bodies_that_may_ask(spark):
     """What may_ask() leaves out holds no client call."""
-    from pyspark.sql import functions as F
-
     bodies = ['restTemplate.get("http://h/a")', 'x.get("/b")', "return 1;", None, 'new HttpPut( "/c")', "restTemplate"]
     df = spark.createDataFrame([(f"u{i}", str(i), b) for i, b in enumerate(bodies)], "fqn string, geid string, body_text string")
     assert {r.fqn for r in df.where(web.may_ask(F.col("body_text"))).collect()} == {"u0", "u1", "u4"} == {r.caller_fqn for r in web.outbound(df).collect()}
@@ -200,3 +199,30 @@ def test_calls_meet_once(spark):
     found = build.calls(units)
     assert sorted(tuple(r) for r in found.collect()) == [(1, 2), (1, 3), (3, 2)]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_blast_radius_of_many_shuffles_narrow_rows(spark):
+    """One array of ids, one of hops and one a column, whatever the depth; ids stay of the type given, types are places."""
+    from codegraph.operators import graph
+
+    edges = spark.createDataFrame([("CALLS", 1, 2), ("CALLS", 2, 3), ("A", 2, 3), ("CALLS", 3, 1)], "edge_type string, src int, dst int")
+    nodes = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3)], "id int, community_id byte")
+    found = graph.blast_radius_of_many(edges, nodes.select("id"), nodes, 3)
+    assert {tuple(r) for r in found.collect()} == {(2, 1, 1, "CALLS", 1), (2, 3, 2, "CALLS", 1), (3, 2, 1, "A", 0), (3, 1, 2, "A", 1), (1, 3, 1, "CALLS", 1), (1, 2, 2, "CALLS", 0)}
+    assert dict(found.dtypes)["affected"] == "int"
+    last = found._jdf.queryExecution().optimizedPlan().toString()
+    last = last[last.index("RepartitionByExpression [seed#") :].split("\n")[1]
+    assert last.count("#") <= 8 and "Project [at#" in last and "type#" in last
+
+
+def test_numbers_say_ids(spark):
+    """Ids become numbers of either width and back, whatever the letter."""
+    from codegraph.queries import LETTERS, _kind, _letter, _number
+
+    ids = [f"{x}{k}" for x in LETTERS for k in (0, 1, 77, (1 << 26) - 1)]
+    df = spark.createDataFrame([(x,) for x in ids], "id string")
+    for kind in ("int", "long"):
+        n = df.select("id", _number(F.col("id"), kind).alias("n"))
+        assert n.select("n").distinct().count() == len(ids) and all(r[0] == r[1] for r in n.select("id", _letter(F.col("n"))).collect())
+    big = df.limit(1).select(_letter(_number(F.lit("o9000000000"))).alias("x"))
+    assert big.first().x == "o9000000000" and _kind(spark, "/root/testdata/sf0.001") == "int"
