@@ -226,3 +226,25 @@ def test_numbers_say_ids(spark):
         assert n.select("n").distinct().count() == len(ids) and all(r[0] == r[1] for r in n.select("id", _letter(F.col("n"))).collect())
     big = df.limit(1).select(_letter(_number(F.lit("o9000000000"))).alias("x"))
     assert big.first().x == "o9000000000" and _kind(spark, "/root/testdata/sf0.001") == "int"
+
+
+@pytest.mark.parametrize("incoming,most,piece", [(True, 30, 4096), (False, 4, 2)])
+def test_first_walks(spark, incoming, most, piece):
+    """What walks() finds, ranked: over circles, loops, nodes without a name, neighbours in several pieces; ends are shuffled once."""
+    r = random.Random(8)
+    rows = {("CALLS", r.randrange(25), r.randrange(25)) for _ in range(70)} | {("CALLS", i, 3) for i in range(9)} | {("CALLS", 3, 3)}
+    edges = spark.createDataFrame(sorted(rows), "edge_type string, src int, dst int")
+    names = spark.createDataFrame([(i, f"f{(i * 7) % 25:02}") for i in range(25) if i % 6], "id int, fqn string")
+    places = graph.placed(names)
+    assert [x.id for x in places.orderBy("place").collect()] == [x.id for x in names.orderBy("fqn").collect()] and dict(places.dtypes)["place"] == "int"
+    assert sorted(x.place for x in places.collect()) == list(range(20))
+    of, want = {x.id: x.place for x in places.collect()}, set()
+    found = {}
+    for x in graph.walks(edges, spark.range(25), 2, incoming).collect():
+        if x.node in of:
+            found.setdefault(x.target, set()).add((x.hop, of[x.node], x.node))
+    for target, ends in found.items():
+        want |= {(target, node, hop, i + 1) for i, (hop, _, node) in enumerate(sorted(ends)[:most])}
+    got = graph.first_walks(edges, places, most, incoming, piece)
+    assert {tuple(x) for x in got.collect()} == want != set()
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [target") == 2  # neighbours and ends
