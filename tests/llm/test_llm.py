@@ -390,6 +390,15 @@ def test_html_is_whole_and_linear(spark):
     assert len(got) == 2 and all(r.text == "\n\n".join(f"paragraph {i} says {i * 7}" for i in range(30000)) and r.n_chars == len(r.text) for r in got)
 
 
+def test_html_pages_with_a_main_element_bear_witness(spark):
+    """What stands beside an article counts against a host's open pages, main text doesn't; pages without an id take part."""
+    chrome, line = "our shop has branches in nine towns of this fair land", "a sentence of eight words and some more that articles say"
+    article = f"<div>{chrome}</div><article><p>{line}</p><p class='related'>read it and then go on to all of our others</p></article>"
+    rows = [(1, "http://h/1", f"<p>{chrome}</p><p>{line}</p><p>own text of one</p>"), (2, "http://h/2", article), (3, "http://g/3", f"<p>{chrome}</p>"), (None, "http://n/4", f"<p>{chrome}</p><p>four</p>"), (None, "http://n/5", f"<p>{chrome}</p><p>five</p>"), (6, "http://h/6", article + "<p>six</p>"), (7, "http://w/7", f"<p>{chrome}</p><p>seven</p>"), (8, "http://w/8", f"<p>{chrome}</p><main>eight</main>")]
+    got = {r.url[-1]: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {"1": f"{line}\n\nown text of one", "2": line, "3": chrome, "4": "four", "5": "five", "6": line, "7": "seven", "8": "eight"}
+
+
 def test_mixing(docs, corpus, empty):
     got = mixing.mix_sources(docs).collect()
     sizes = {i: len((t or "").split()) for i, t, *_ in corpus}
