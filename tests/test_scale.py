@@ -248,3 +248,34 @@ def test_first_walks(spark, incoming, most, piece):
     got = graph.first_walks(edges, places, most, incoming, piece)
     assert {tuple(x) for x in got.collect()} == want != set()
     assert got._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [target") == 2  # neighbours and ends
+
+
+@pytest.mark.parametrize("most", [15, 4])
+def test_path_lengths_of_all_pairs(spark, most):
+    """All entries to all sinks, more than a row's bits of them, against brute force: circles, loops, parts without a way, ends that are both."""
+    r = random.Random(4)
+    rows = {(f"n{r.randrange(150)}", f"n{r.randrange(150)}") for _ in range(150)} | {("n1", "n1")}
+    ways = {}
+    for a, b in rows:
+        ways.setdefault(a, set()).add(b)
+        ways.setdefault(b, set()).add(a)
+    entries, sinks, want = [f"n{i}" for i in range(140)], {f"n{i}" for i in range(9, 150, 2)}, set()
+    for e in entries:
+        seen, front = {e}, {e}
+        for n in range(2, most + 1):
+            front = {y for x in front for y in ways.get(x, ())} - seen
+            seen |= front
+            want |= {(e, x, n) for x in front & sinks}
+    edges = spark.createDataFrame([("CALLS", a, b) for a, b in rows], "edge_type string, src string, dst string")
+    ids = lambda xs: spark.createDataFrame([(x,) for x in [*xs, *list(xs)[:3]]], "id string")
+    got = [tuple(x) for x in graph.path_lengths(edges, ids(entries), ids(sinks), most).collect()]
+    assert len(got) == len(want) and set(got) == want and len(want) > 200
+
+
+def test_flow_path_lengths_leaves_out_no_pair(spark):
+    """More entry points and sinks than 200, which once was all the query took."""
+    from codegraph.queries import QUERIES
+
+    found = QUERIES["flow_path_lengths"](spark, "/root/testdata/sf0.001")
+    n, entries, sinks = found.agg(F.count("*"), F.count_distinct("entry"), F.count_distinct("sink")).first()
+    assert (n, entries, sinks) == (682686, 414, 1650)
