@@ -250,6 +250,20 @@ def test_first_walks(spark, incoming, most, piece):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [target") == 2  # neighbours and ends
 
 
+def test_written_edges_are_read_both_ways(spark, monkeypatch):
+    """Paths over edges that are on storage write no copy of them; edges that are there twice, or both ways, change no path."""
+    from codegraph.storage import materialise
+
+    rows = [("CALLS", "a", "b"), ("CALLS", "b", "a"), ("HAS_METHOD", "a", "b"), ("CALLS", "c", "b"), ("CALLS", "c", "b"), ("CALLS", "a", "x"), ("CALLS", "x", "c")]
+    edges = spark.createDataFrame(rows, "edge_type string, src string, dst string")
+    pairs, names = spark.createDataFrame([("a", "c"), ("x", "b")], "entry string, sink string"), []
+    monkeypatch.setattr(graph, "materialise", lambda df, name: names.append(name) or materialise(df, name))
+    got = lambda e: sorted((r.entry, r.sink, r.path) for r in graph.shortest_paths(e, pairs).collect())
+    assert got(edges) == [("a", "c", ["a", "b", "c"]), ("x", "b", ["x", "a", "b"])] and "both" in names
+    names.clear()
+    assert got(materialise(edges, "side")) == got(edges.distinct()) and names.count("both") == 1
+
+
 @pytest.mark.parametrize("most", [15, 4])
 def test_path_lengths_of_all_pairs(spark, most):
     """All entries to all sinks, more than a row's bits of them, against brute force: circles, loops, parts without a way, ends that are both."""
